@@ -17,6 +17,7 @@ class Query:
     run: Run
     covers: tuple[str, ...]
     sql: str | None
+    module: str
 
 
 QUERIES: dict[str, Query] = {}
@@ -32,7 +33,9 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
         def with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
             return run(apply_settings(spark), sf_dir)
 
-        QUERIES[name] = Query(with_settings, tuple(covers.split()), sql)
+        QUERIES[name] = Query(
+            with_settings, tuple(covers.split()), sql, run.__module__.rsplit(".", 1)[-1]
+        )
         return run
 
     return register

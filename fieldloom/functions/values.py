@@ -37,13 +37,18 @@ def is_currency(code: Column) -> Column:
     return F.coalesce(code.isin(*CURRENCY_CODES), F.lit(False))
 
 
+def is_decimal_text(text: Column) -> Column:
+    """Short enough, and digits with an optional sign and fraction."""
+    return F.when(
+        F.length(text) <= AMOUNT_TEXT_LIMIT, text.rlike("^-?[0-9]+(\\.[0-9]+)?\\z")
+    ).otherwise(F.lit(False))
+
+
 def bounded_decimal(text: Column) -> Column:
     """Parse a plain decimal; null when too long, malformed or out of range."""
-    parsed = F.when(
-        F.length(text) <= AMOUNT_TEXT_LIMIT,
-        F.when(text.rlike("^-?[0-9]+(\\.[0-9]+)?\\z"), text.try_cast(AMOUNT_TYPE)),
-    )
-    return F.when(F.abs(parsed) <= F.lit(AMOUNT_LIMIT).cast(AMOUNT_TYPE), parsed)
+    parsed = F.when(is_decimal_text(text), text.try_cast(AMOUNT_TYPE))
+    bound = F.lit(AMOUNT_LIMIT).cast(AMOUNT_TYPE)
+    return F.when(parsed.between(-bound, bound), parsed)
 
 
 def rounded_amount(amount: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import (
+    FIELD_TEXT_LIMIT,
     bounded_echo,
     bounded_value,
     bounded_warning,
@@ -17,8 +18,15 @@ from fieldloom.functions.text import (
     too_long,
     ustrip,
 )
-from fieldloom.functions.values import bounded_decimal, compact_date, is_currency
-from fieldloom.operators.line_items import summary_of_array
+from fieldloom.functions.values import (
+    AMOUNT_LIMIT,
+    AMOUNT_TYPE,
+    bounded_decimal,
+    compact_date,
+    is_currency,
+    is_decimal_text,
+)
+from fieldloom.operators.line_items import rank_array, summary_of_ranked
 
 # Size and nesting bounds, root namespace, accepted profile.
 MAX_XML_BYTES = 10 * 1024 * 1024
@@ -134,21 +142,26 @@ def _tag_outline(text: Column) -> Column:
     return F.regexp_replace(ustrip(starts), f"(?<=[{_OPEN}{_CLOSE}])[^{_OPEN}{_CLOSE}<>]+(?=[{_OPEN}{_CLOSE}])", "")
 
 
-def _outline_fault(outline: Column) -> Column:
-    """Null for one root element nested no deeper than the bound.
+def _strip_levels(outline: Column) -> Column:
+    """The outline inside the root with every allowed level taken off.
 
     Removing every adjacent start/end pair takes one level off all branches at
     once, so whatever is left after as many rounds as levels are allowed below
     the root is either too deep or unbalanced.
     """
-    single = outline.rlike(f"^{_OPEN}[{_OPEN}{_CLOSE}]*{_CLOSE}\\z")
     inner = F.substring(outline, F.lit(2), F.length(outline) - 2)
     for _ in range(MAX_XML_DEPTH - 1):
         inner = F.replace(inner, F.lit(_OPEN + _CLOSE), F.lit(""))
-    deep = inner.startswith(_OPEN) & inner.endswith(_CLOSE)
+    return inner
+
+
+def _outline_fault(outline: Column, rest: Column) -> Column:
+    """Null for one root element nested no deeper than the bound."""
+    single = outline.rlike(f"^{_OPEN}[{_OPEN}{_CLOSE}]*{_CLOSE}\\z")
+    deep = rest.startswith(_OPEN) & rest.endswith(_CLOSE)
     return (
         F.when(~single, F.lit("not well-formed"))
-        .when(inner == "", F.lit(None).cast("string"))
+        .when(rest == "", F.lit(None).cast("string"))
         .when(deep, F.lit(f"exceeds maximum XML nesting depth ({MAX_XML_DEPTH})"))
         .otherwise(F.lit("not well-formed"))
     )
@@ -184,12 +197,18 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
         F.when(size <= MAX_XML_BYTES, _xml_text(F.col(content))).alias("_text"),
     )
     text = F.col("_text")
-    outlined = decoded.withColumn(
-        "_fault",
+    # One step per select: later steps read a column, not its expression again.
+    guarded = decoded.withColumn(
+        "_early",
         F.when(F.col("_oversized"), F.lit("oversized"))
         .when(text.isNull(), F.lit("unreadable text encoding"))
-        .when(text.rlike("<!DOCTYPE"), F.lit("declares a document type"))
-        .otherwise(_outline_fault(_tag_outline(text))),
+        .when(F.contains(text, F.lit("<!DOCTYPE")), F.lit("declares a document type")),
+    )
+    traced = guarded.withColumn("_outline", F.when(F.col("_early").isNull(), _tag_outline(text)))
+    reduced = traced.withColumn("_rest", _strip_levels(F.col("_outline")))
+    outlined = reduced.withColumn(
+        "_fault",
+        F.coalesce(F.col("_early"), _outline_fault(F.col("_outline"), F.col("_rest"))),
     )
     parsed = outlined.withColumns(
         {
@@ -218,18 +237,45 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
 # ---- field mapping ---------------------------------------------------------
 
 
-def _read_item(item: Column, position: Column) -> Column:
-    names = _matches(item.getField("SpecifiedTradeProduct"), "Name")
-    totals = _matches(
-        item.getField("SpecifiedLineTradeSettlement"),
-        "SpecifiedTradeSettlementLineMonetarySummation",
-        "LineTotalAmount",
+def _read_items(lines: Column) -> Column:
+    """Line elements to (ord, name, amount); unusable values become null.
+
+    Lambdas share no subexpressions, so the work is cut into passes that each
+    hand plain fields to the next.
+    """
+    matched = F.transform(
+        lines,
+        lambda item: F.struct(
+            _matches(item.getField("SpecifiedTradeProduct"), "Name").alias("names"),
+            _matches(
+                item.getField("SpecifiedLineTradeSettlement"),
+                "SpecifiedTradeSettlementLineMonetarySummation",
+                "LineTotalAmount",
+            ).alias("totals"),
+        ),
+    )
+    texts = F.transform(
+        matched,
+        lambda m: F.struct(
+            F.when(F.size(m["names"]) == 1, ustrip(F.get(m["names"], 0))).alias("name"),
+            F.when(F.size(m["totals"]) == 1, ustrip(F.get(m["totals"], 0))).alias("total"),
+        ),
+    )
+    amounts = F.transform(
+        texts,
+        lambda t: F.struct(
+            F.when((t["name"] != "") & (F.length(t["name"]) <= FIELD_TEXT_LIMIT), t["name"]).alias("name"),
+            F.when(is_decimal_text(t["total"]), t["total"].try_cast(AMOUNT_TYPE)).alias("amount"),
+        ),
     )
-    amount = bounded_decimal(_only_text(totals))
-    return F.struct(
-        (position + 1).cast("bigint").alias("ord"),
-        bounded_value(_only_text(names)).alias("name"),
-        F.when(amount >= 0, amount).alias("amount"),
+    bound = F.lit(AMOUNT_LIMIT).cast(AMOUNT_TYPE)
+    return F.transform(
+        amounts,
+        lambda a, i: F.struct(
+            (i + 1).cast("bigint").alias("ord"),
+            a["name"].alias("name"),
+            F.when((a["amount"] >= 0) & (a["amount"] <= bound), a["amount"]).alias("amount"),
+        ),
     )
 
 
@@ -259,12 +305,13 @@ def map_fields(parsed: DataFrame, keep: list[str]) -> DataFrame:
         _matches(
             settlement, "SpecifiedTradeSettlementHeaderMonetarySummation", "GrandTotalAmount"
         ).alias("_totals"),
-        F.transform(_matches(trade, "IncludedSupplyChainTradeLineItem"), _read_item).alias("items"),
+        _read_items(_matches(trade, "IncludedSupplyChainTradeLineItem")).alias("items"),
     )
     dates = F.col("_dates")
     texts = raw.select(
         *keep,
         "items",
+        rank_array(F.col("items")).alias("_ranked"),
         *[
             (_count(F.col(c)) > 1).alias(f"{c}_repeated")
             for c in ("_dates", "_sellers", "_currencies", "_totals")
@@ -286,7 +333,7 @@ def map_fields(parsed: DataFrame, keep: list[str]) -> DataFrame:
         bounded_value(F.col("_seller")).alias("seller"),
         bounded_decimal(F.col("_total")).alias("_amount"),
         F.when(is_currency(F.col("_currency")), F.col("_currency")).alias("currency"),
-        *[c.alias(a) for c, a in zip(summary_of_array(F.col("items")), ("product_summary", "_product_warning"))],
+        *[c.alias(a) for c, a in zip(summary_of_ranked(F.col("_ranked")), ("product_summary", "_product_warning"))],
     )
     repeated = lambda c: F.col(f"{c}_repeated")
     warnings = F.array_compact(

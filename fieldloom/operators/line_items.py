@@ -89,27 +89,36 @@ def summarize_products(items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     )
 
 
-def summary_of_array(items: Column) -> tuple[Column, Column]:
-    """The same rule over one document's ARRAY<STRUCT<ord,name,amount>> column."""
+def rank_array(items: Column) -> Column:
+    """ARRAY<STRUCT<ord,name,amount>> to the counts and the two largest items."""
     ranked = F.array_sort(
         F.transform(
             items,
             lambda i: F.struct(
                 i["amount"].isNull().alias("unpriced"),
-                (-i["amount"]).alias("neg"),
+                (-i["amount"]).alias("owed"),
                 i["ord"].alias("ord"),
                 i["name"].alias("name"),
             ),
         )
     )
-    top, runner_up = F.get(ranked, 0), F.get(ranked, 1)
-    n_items = F.coalesce(F.size(items), F.lit(0))
+    return F.struct(
+        F.coalesce(F.size(items), F.lit(0)).alias("n_items"),
+        F.size(F.filter(items, lambda i: i["name"].isNull())).alias("n_unnamed"),
+        F.size(F.filter(items, lambda i: i["amount"].isNull())).alias("n_unpriced"),
+        F.slice(ranked, 1, 2).alias("top"),
+    )
+
+
+def summary_of_ranked(ranked: Column) -> tuple[Column, Column]:
+    """The summary rule over the result of ``rank_array``."""
+    first, second = F.get(ranked["top"], 0), F.get(ranked["top"], 1)
     return summary_from_ranking(
-        n_items,
-        F.size(F.filter(items, lambda i: i["name"].isNull())),
-        F.size(F.filter(items, lambda i: i["amount"].isNull())),
-        (top["name"], -top["neg"]),
-        (runner_up["name"], -runner_up["neg"]),
+        ranked["n_items"],
+        ranked["n_unnamed"],
+        ranked["n_unpriced"],
+        (first["name"], -first["owed"]),
+        (second["name"], -second["owed"]),
     )
 
 

@@ -85,6 +85,8 @@ def main() -> None:
     spark, con = local_session(), connect(sf_dir)
     failed = []
     for name, query in QUERIES.items():
+        if modules and query.module not in modules:
+            continue
         if picks and not any(p in name for p in picks):
             continue
         start = time.time()
