@@ -19,6 +19,22 @@ TABLES = (
 # The line order inside one order: (l_orderkey, l_linenumber) is not unique.
 _LINE_ORDER = "order by l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
+# Pairs (m, r) with r <= m: an order with key%7 = m has revisions 0..m.
+_REVISIONS = " union all ".join(f"select {m} m, {r} r" for m in range(7) for r in range(m + 1))
+
+
+def _scorer(model_id: str, k: int) -> str:
+    return f"""
+select '{model_id}' model_id, o_orderkey doc_id,
+ case when o_orderkey%{k}=0 then null when o_orderkey%{k}=1 then c_name||' - Region 1'
+      when o_orderkey%{k}=2 then substr(c_name,1,4) else c_name end seller,
+ case when o_orderkey%{k}=3 then cast(o_totalprice as decimal(18,2))+1
+      else cast(o_totalprice as decimal(18,2)) end gross_total,
+ o_orderkey%53=0 failed, o_orderkey%53<>0 timing_complete, o_orderkey%900 total_ms,
+ o_orderkey%700 inference_ms
+from $orders join $customer on o_custkey=c_custkey"""
+
+
 VIEWS: dict[str, str] = {
     "v_head": """
 select o_orderkey doc_id,
@@ -61,25 +77,21 @@ select l_orderkey doc_id, 1 page_number,
  p_name text, l_quantity conf, cast(l_suppkey%10 as double) x, cast(l_partkey%20 as double) y,
  cast(2 as double) w, cast(1+l_linenumber%3 as double) h
 from $lineitem left join $part on l_partkey=p_partkey""",
-    "v_attach": """
+    "v_attach": f"""
 select o_orderkey doc_id, r revision_no,
  case (o_orderkey+r)%4 when 0 then 'factur-x.xml' when 1 then 'Factur-X.XML'
       when 2 then 'xrechnung.xml' else 'notes.txt' end attachment_name,
  case when (o_orderkey+r)%11=0 then '' when o_orderkey%3=0
       then 'inv '||cast(o_orderkey as string)||'/'||cast(r as string)
       else 'inv '||cast(o_orderkey as string) end content
-from $orders cross join (select 0 r union all select 1 union all select 2 union all select 3
-   union all select 4 union all select 5 union all select 6) k
-where r <= o_orderkey%7""",
+from $orders join ({_REVISIONS}) k on o_orderkey%7 = m""",
     # Known names only, with enough equal revisions to pass the per-name bound.
-    "v_revisions": """
+    "v_revisions": f"""
 select o_orderkey doc_id, r revision_no,
  case when o_orderkey%5=0 then 'factur-x.xml' when r%2=0 then 'xrechnung.xml'
       else 'XRechnung.xml' end attachment_name,
  case when o_orderkey%4=0 then '' else 'inv '||cast(o_orderkey as string) end content
-from $orders cross join (select 0 r union all select 1 union all select 2 union all select 3
-   union all select 4 union all select 5 union all select 6) k
-where r <= o_orderkey%7""",
+from $orders join ({_REVISIONS}) k on o_orderkey%7 = m""",
     "v_calls": """
 select o_orderkey doc_id, 'extraction' phase, 0 attempt,
  case when o_orderkey%37=0 then 'length' else 'stop' end finish_reason,
@@ -119,16 +131,7 @@ where doc_id%3<>0
 union all
 select o_orderkey, 'gross_total', case when o_orderkey%8=2 then null
    else cast(cast(o_totalprice as decimal(18,2)) as string) end from $orders where o_orderkey%4<>0""",
-    "v_eval": """
-select m.model_id, o_orderkey doc_id,
- case when o_orderkey%m.k=0 then null when o_orderkey%m.k=1 then c_name||' - Region 1'
-      when o_orderkey%m.k=2 then substr(c_name,1,4) else c_name end seller,
- case when o_orderkey%m.k=3 then cast(o_totalprice as decimal(18,2))+1
-      else cast(o_totalprice as decimal(18,2)) end gross_total,
- o_orderkey%53=0 failed, o_orderkey%53<>0 timing_complete, o_orderkey%900 total_ms,
- o_orderkey%700 inference_ms
-from $orders join $customer on o_custkey=c_custkey
-cross join (select 'a' model_id, 7 k union all select 'b', 11) m""",
+    "v_eval": _scorer("a", 7) + "\nunion all" + _scorer("b", 11),
     "v_runs": """
 select o_orderkey doc_id, o_orderkey%500-2 total_ms, o_orderkey%9 pages_total, (o_orderkey*3)%10 ocr_page,
  o_orderkey%3=0 inference_ran,
@@ -183,11 +186,13 @@ from $events""",
     "v_timing": """
 select user_id config_id, row_number() over (partition by user_id order by ts, event_id) run_no,
  value total, case when event_id%5=0 then null else value/2 end entry from $events""",
+    # Host and artefact pairs that occur together in the line items.
     "v_fleet": """
-select s_suppkey host_id, s_suppkey%5*8 memory_gb, abs(s_acctbal)/100 free_disk_gb, p_partkey model_id,
+select host_id, s_suppkey%5*8 memory_gb, abs(s_acctbal)/100 free_disk_gb, model_id,
  case p_partkey%3 when 0 then 'small' when 1 then 'medium' else 'large' end memory_tier,
  p_retailprice/50 size_gb, (s_suppkey+p_partkey)%6=0 installed
-from $supplier cross join $part""",
+from (select distinct l_suppkey host_id, l_partkey model_id from $lineitem) pairs
+join $supplier on s_suppkey=host_id join $part on p_partkey=model_id""",
     "v_manifest": """
 select p_partkey%20 model_id, p_name||cast(p_partkey as string) path, p_size expected_size,
  digest expected_digest,
