@@ -91,21 +91,22 @@ def text_equality(spark, sf_dir):
     "num3_numeric_match",
     "NUM-3",
     oracle(
-        """, raw as (select doc_id, cast(gross_total as varchar) l, case doc_id%4 when 0 then cast(gross_total as varchar)||'0'
-   when 1 then 'n/a' when 2 then cast(gross_total+1 as varchar) else ' '||cast(gross_total as varchar) end r from v_eval where model_id='a')
-select doc_id, case when l is null or r is null then l is null and r is null else coalesce(try_cast(l as decimal(30,4))=try_cast(trim(r) as decimal(30,4)),false) end same from raw""",
+        """, raw as (select model_id, doc_id, cast(gross_total as varchar) l, case doc_id%4 when 0 then cast(gross_total as varchar)||'0'
+   when 1 then 'n/a' when 2 then cast(gross_total+1 as varchar) else ' '||cast(gross_total as varchar) end r from v_eval)
+select model_id, doc_id, case when l is null or r is null then l is null and r is null else coalesce(try_cast(l as decimal(30,4))=try_cast(trim(r) as decimal(30,4)),false) end same from raw""",
         "v_eval",
     ),
 )
 def numeric_match(spark, sf_dir):
-    raw = spark_view(spark, sf_dir, "v_eval").filter("model_id='a'").selectExpr(
+    raw = spark_view(spark, sf_dir, "v_eval").selectExpr(
+        "model_id",
         "doc_id",
         "cast(gross_total as string) l",
         """case doc_id%4 when 0 then cast(gross_total as string)||'0' when 1 then 'n/a'
         when 2 then cast(gross_total+1 as string) else ' '||cast(gross_total as string) end r""",
     )
     return raw.select(
-        "doc_id", evaluation.field_matches("gross_total", F.col("l"), F.col("r")).alias("same")
+        "model_id", "doc_id", evaluation.field_matches("gross_total", F.col("l"), F.col("r")).alias("same")
     )
 
 
@@ -245,9 +246,17 @@ def model_evaluation(spark, sf_dir):
     return measured.select("model_id", *[F.round(n, 9).alias(n) for n in names])
 
 
-@query("snk2_incremental_results", "SNK-2")
+@query(
+    "snk2_incremental_results",
+    "SNK-2",
+    oracle(
+        f", {SCORES_SQL} select model_id, doc_id, failed, needs needs_correction from scored where not timing_complete",
+        "v_eval",
+        "v_labels",
+    ),
+)
 def incremental_results(spark, sf_dir):
     """The rows a resumable writer still has to append: finished ones are skipped."""
-    rows = scored(spark, sf_dir).select("model_id", "doc_id", "failed", "needs_correction")
-    finished = rows.filter(F.col("doc_id") % 2 == 0).select("model_id", "doc_id")
-    return reports.unfinished(rows, finished)
+    rows = scored(spark, sf_dir)
+    finished = rows.filter("timing_complete").select("model_id", "doc_id")
+    return reports.unfinished(rows.select("model_id", "doc_id", "failed", "needs_correction"), finished)
