@@ -161,8 +161,8 @@ select 'b'||cast(o_custkey%10 as string) batch_id, o_orderkey ordinal,
 from $orders""",
     # Requests whose names run into each other's numbering, and own-name requests.
     "v_clash": """
-select 'b'||cast(o_custkey%40 as string) batch_id, o_orderkey ordinal,
- 'r'||cast(o_orderkey as string) request_id, '/c'||cast(o_custkey%80 as string) dir,
+select 'b'||cast(o_custkey%50 as string) batch_id, o_orderkey ordinal,
+ 'r'||cast(o_orderkey as string) request_id, '/c'||cast(o_custkey%200 as string) dir,
  case when o_orderkey%29=0 then 'n ('||cast(o_orderkey%9+1 as string)||').pdf'
       else 's'||cast(o_orderkey as string)||'.pdf' end source_name,
  case when o_orderkey%13=0 then 'n ('||cast(o_orderkey%5+1 as string)||').pdf'
@@ -202,6 +202,31 @@ from (select p_partkey, p_name, p_size, md5(p_name) digest from $part) t""",
 }
 
 
+def _listing(view: str) -> str:
+    """Names on disk: the sources, some desired names, some generated ones."""
+    rows = VIEWS[view]
+    return f"""
+select dir, source_name name from ({rows}) a
+union select dir, desired_filename from ({rows}) b where on_disk
+union select dir, replace(desired_filename,'.pdf',' ('||cast(ordinal%7 as string)||').pdf') from ({rows}) c where ordinal%30=0"""
+
+
+VIEWS["v_rename_files"] = _listing("v_rename")
+VIEWS["v_clash_files"] = _listing("v_clash")
+
+# Applied renames, one batch per customer, some of them undone since.
+VIEWS["v_history"] = """
+select 'u'||cast(o_custkey as string) batch_id, o_custkey seq, o_orderdate applied_at,
+ '/h'||cast(o_custkey%50 as string) dir, 's'||cast(o_orderkey as string)||'.pdf' source_name,
+ 't'||cast(o_orderkey as string)||'.pdf' destination_name, 'i'||cast(o_orderkey as string) identity,
+ o_orderkey ordinal, o_orderkey%5=0 undone from $orders"""
+# The folders now: most renamed files in place, some gone, replaced or blocked.
+VIEWS["v_history_files"] = f"""
+select dir, destination_name name, case when ordinal%103=0 then 'other' else identity end identity
+from ({VIEWS['v_history']}) a where ordinal%101<>0
+union all select dir, source_name, 'new' from ({VIEWS['v_history']}) b where ordinal%107=0"""
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
     return spark.sql(Template(VIEWS[name]).substitute(tables))

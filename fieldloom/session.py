@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan can count on. Partition counts stay with the
 # cluster: AQE coalesces and splits what the static setting gets wrong.
@@ -42,14 +44,29 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is used
-    (and set) only where the session names none, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where the session names
+    none, ``fallback`` is set, or a temporary folder for a local master only.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
     if fallback is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        fallback = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    context.setCheckpointDir(fallback)
     return fallback
+
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Writes ``rows`` to the shared checkpoint folder and reads them back.
+
+    For results that several later steps use: they are computed once, and a
+    lost executor costs a re-read instead of a recomputation.
+    """
+    spark = rows.sparkSession
+    root = checkpoint_root(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return rows.checkpoint(eager=True)
