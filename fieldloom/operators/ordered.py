@@ -1,4 +1,4 @@
-"""Running totals and ranks over ordered groups of any size.
+"""Running sums, maxima and positions over ordered groups of any size.
 
 A plain window sorts a whole group in one task. Here a group is cut into
 stretches of the order column, each stretch is summed on its own, and the
@@ -11,40 +11,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Order values per stretch. Order columns here are row positions, so a
-# stretch holds at most about this many rows of a group.
+# Order values per stretch. For row positions, a stretch holds at most about
+# this many rows of a group.
 STRETCH = 1 << 18
+DAY_MICROS = 24 * 3600 * 1_000_000
 
 
-def running_total(
+def _running(
     rows: DataFrame,
     keys: list[str],
     order: str,
-    weight: str,
+    fold,
+    combine,
     out: str,
-    ties: tuple[str, ...] = (),
-    stretch: int = STRETCH,
+    ties: tuple[str, ...],
+    stretch: int,
 ) -> DataFrame:
-    """Adds ``out``: the sum of ``weight`` over earlier rows of the group."""
     cut = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
     local = Window.partitionBy(*keys, "_stretch").orderBy(order, *ties)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    summed = cut.withColumn("_local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
-    totals = cut.groupBy(*keys, "_stretch").agg(F.sum(weight).alias("_sum"))
+    folded = cut.withColumn("_local", fold().over(before))
+    totals = cut.groupBy(*keys, "_stretch").agg(fold().alias("_total"))
     across = Window.partitionBy(*keys).orderBy("_stretch")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        "_stretch",
-        F.coalesce(
-            F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
+        *keys, "_stretch", fold("_total").over(earlier).alias("_offset")
     )
-    joined = summed.join(offsets, [*keys, "_stretch"])
-    return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop(
+    joined = folded.join(offsets, [*keys, "_stretch"])
+    return joined.withColumn(out, combine(F.col("_offset"), F.col("_local"))).drop(
         "_stretch", "_local", "_offset"
     )
 
 
+def running_total(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    weight: str,
+    out: str,
+    ties: tuple[str, ...] = (),
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """Adds ``out``: the sum of ``weight`` over earlier rows of the group."""
+    zero = F.lit(0)
+    return _running(
+        rows,
+        keys,
+        order,
+        lambda column=weight: F.sum(column),
+        lambda offset, local: F.coalesce(offset, zero) + F.coalesce(local, zero),
+        out,
+        ties,
+        stretch,
+    )
+
+
+def running_max(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    value: str,
+    out: str,
+    ties: tuple[str, ...] = (),
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """Adds ``out``: the largest ``value`` among earlier rows; null for the first."""
+    return _running(
+        rows,
+        keys,
+        order,
+        lambda column=value: F.max(column),
+        lambda offset, local: F.greatest(offset, local),
+        out,
+        ties,
+        stretch,
+    )
+
+
 def position(
     rows: DataFrame, keys: list[str], order: str, out: str, stretch: int = STRETCH
 ) -> DataFrame:
