@@ -50,7 +50,7 @@ select item_id, cast(generation as bigint) generation, state status, asked cance
     ),
 )
 def job_lifecycle(spark, sf_dir):
-    return job_table(spark, sf_dir).filter("generation > 0").select(
+    return job_table(spark, sf_dir).select(
         "item_id",
         "generation",
         "status",

@@ -201,12 +201,6 @@ def fields_to_ask(spark, sf_dir):
     return responses.fields_to_ask(first_answers(spark, sf_dir)).select("doc_id", "field", "message")
 
 
-def _pick(field: str, column: str) -> str:
-    """Value of one field after the second attempt, as SQL over a0 and a1."""
-    usable = f"coalesce(trim(r.{column}),'')<>''" if column in ("v_seller", "v_product", "v_cur") else f"r.{column} is not null"
-    return f"case when mode='narrow' and replied and asked_{field} and {usable} then r.{column} when mode='full' then full_{field} else b.{column} end"
-
-
 _FIELDS = {"date": "v_date", "seller": "v_seller", "product": "v_product", "total": "v_total", "cur": "v_cur", "lang": "v_lang"}
 _LABELS = {
     "date": "invoice_date",
@@ -241,8 +235,9 @@ def _warn(key: str) -> str:
     )
 
 
-REPAIR_SQL = f"""
-{_BOTH}, {answers_sql('both_attempts')},
+# Needs a CTE both_attempts(doc_id, attempt, response, error); ends in resolved.
+RESOLVE_SQL = f"""
+{answers_sql('both_attempts')},
 a0 as (select * from answers where attempt=0), a1 as (select * from answers where attempt=1),
 paired as (select b.doc_id, case when b.verdict='failed' then 'full' else 'narrow' end mode,
    r.error, r.response second_response, r.fault second_fault, r.verdict second_verdict,
@@ -262,7 +257,7 @@ resolved as (
     "plan2_extraction_with_repair",
     "PIPE-2 JSON-4 SET-3",
     oracle(
-        f""", {REPAIR_SQL}
+        f""", {_BOTH}, {RESOLVE_SQL}
 select doc_id, strftime(f_date,'%Y-%m-%d') invoice_date, f_seller seller, f_product product_summary,
   cast(f_total as double) gross_total, f_cur currency, coalesce(f_lang,'unknown') lang, resolved_warnings from resolved""",
         "v_calls",
