@@ -172,8 +172,8 @@ def filename_segment(spark, sf_dir):
     )
     return segments.select(
         "doc_id",
-        F.coalesce("seg", F.lit(text.MISSING_SEGMENT)).alias("segment"),
-        F.col("seg").isNull().alias("missing"),
+        F.when(F.col("seg") == "", F.lit(text.MISSING_SEGMENT)).otherwise(F.col("seg")).alias("segment"),
+        (F.col("seg") == "").alias("missing"),
     )
 
 

@@ -85,31 +85,49 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(sources), "".join(targets), longer
 
 
-def ascii_fold(text: Column) -> Column:
-    """Decompose (NFKD) and drop everything outside ASCII, all inside the JVM.
+def _ascii_forms(text: Column, also: str = "", becomes: str = "") -> Column:
+    """Every character with an ASCII form replaced by it; others kept.
 
-    Plain ASCII rows skip the work. Characters with a one-letter form go
-    through ``translate``; the few with a longer form (ligatures, fractions,
-    unit signs) take a per-character lookup on the rows that hold one.
+    Characters with a one-letter form go through ``translate``, together with
+    the characters of ``also``; the few with a longer form (ligatures,
+    fractions, unit signs) take a per-character lookup on rows that hold one.
     """
     sources, targets, longer = _fold_tables()
-    pairs = [F.lit(part) for item in longer.items() for part in item]
-    lookup = F.create_map(*pairs)
-    rare = char_class(longer)
+    # One literal, folded to a constant map when the plan is optimised.
+    listed = "\x01".join(f"{c}\x02{form}" for c, form in longer.items())
+    lookup = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(lookup, c), c)), ""
     )
-    widened = F.when(text.rlike(rare), spelled).otherwise(text)
-    folded = F.regexp_replace(F.translate(widened, sources, targets), "[^\\x00-\\x7F]", "")
+    widened = F.when(text.rlike(char_class(longer)), spelled).otherwise(text)
+    kept = [(s, t) for s, t in zip(sources, targets) if s not in also]
+    return F.translate(
+        widened, also + "".join(s for s, _ in kept), becomes + "".join(t for _, t in kept)
+    )
+
+
+def ascii_fold(text: Column) -> Column:
+    """Decompose (NFKD) and drop everything outside ASCII, all inside the JVM.
+
+    Plain ASCII rows skip the work.
+    """
+    folded = F.regexp_replace(_ascii_forms(text), "[^\\x00-\\x7F]+", "")
     return F.when(text.rlike("[^\\x00-\\x7F]"), folded).otherwise(text)
 
 
 def filename_segment(text: Column) -> Column:
-    """A filename-safe segment, or null when nothing usable is left."""
-    folded = squeeze(ascii_fold(spell_german(text)), "-")
-    allowed = F.regexp_replace(folded, "[^A-Za-z0-9_-]", "")
-    dashed = F.btrim(F.regexp_replace(allowed, "-{2,}", "-"), F.lit("-"))
-    return F.nullif(dashed, F.lit(""))
+    """A filename-safe segment; empty when nothing usable is left.
+
+    White space becomes dashes character by character: runs of dashes collapse
+    and outer dashes fall away in the end, so stripping and squeezing first
+    would change nothing. Dropping what is not allowed drops non-ASCII too.
+    """
+    dashes = "-" * len(WHITESPACE)
+    plain = F.translate(text, WHITESPACE, dashes)
+    foreign = _ascii_forms(spell_german(text), WHITESPACE, dashes)
+    spaced = F.when(text.rlike("[^\\x00-\\x7F]"), foreign).otherwise(plain)
+    allowed = F.regexp_replace(spaced, "[^A-Za-z0-9_-]+", "")
+    return F.btrim(F.regexp_replace(allowed, "--+", "-"), F.lit("-"))
 
 
 def fold_for_match(text: Column) -> Column:

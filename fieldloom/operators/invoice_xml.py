@@ -132,14 +132,54 @@ def _xml_text(content: Column) -> Column:
 
 
 def _tag_outline(text: Column) -> Column:
-    """The nesting of a document, one mark per start tag and one per end tag."""
-    bare = F.regexp_replace(
-        text, "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>", ""
+    """The nesting of a document, one mark per start tag and one per end tag.
+
+    One pass over the text leaves ``.`` per start tag, ``/.`` per end tag and
+    ``>.`` per empty element; text between tags goes with the tag after it.
+    """
+    body = F.regexp_replace(text, "^\\s*<\\?xml[^>]*\\?>", "")
+    bare = F.when(
+        body.rlike("<[!?]"),
+        F.regexp_replace(body, "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>", ""),
+    ).otherwise(body)
+    tag = f"[^<]*+<(?:(/)[^<>]*+>|{_ATTRIBUTES}(?<=/)(>)|{_ATTRIBUTES}>)"
+    marks = F.regexp_replace(ustrip(bare), tag, "$1$2.")
+    for raw, mark in (("/.", _CLOSE), (">.", _OPEN + _CLOSE), (".", _OPEN)):
+        marks = F.replace(marks, F.lit(raw), F.lit(mark))
+    return marks
+
+
+def _quick_outline(text: Column) -> Column:
+    """The same marks without a pattern scan, for documents without comments,
+    CDATA or further instructions: what follows each ``<`` tells the tag kind.
+
+    A ``/>`` inside text or an attribute is taken for an empty element. The
+    marks are unbalanced then, and the exact outline is taken instead.
+    """
+    pieces = F.split(F.regexp_replace(text, "^\\s*<\\?xml[^>]*\\?>", ""), "<")
+    marks = F.transform(
+        pieces,
+        lambda piece, i: F.when(i == 0, F.lit(""))
+        .when(piece.startswith("/"), F.lit(_CLOSE))
+        .when(F.contains(piece, F.lit("/>")), F.lit(_OPEN + _CLOSE))
+        .otherwise(F.lit(_OPEN)),
+    )
+    return F.array_join(marks, "")
+
+
+def _is_plain(text: Column) -> Column:
+    """Ends with an end tag and holds no comment, CDATA or later instruction."""
+    last = F.substring_index(text, "<", -1)
+    later = F.substring(text, F.lit(10), F.length(text))
+    return (
+        last.rlike("^/[^<>]*>\\s*\\z")
+        & ~F.contains(text, F.lit("<!"))
+        & ~F.contains(later, F.lit("<?"))
     )
-    ends = F.regexp_replace(bare, "</[^<>]*>", _CLOSE)
-    empties = F.regexp_replace(ends, f"<{_ATTRIBUTES}(?<=/)>", _OPEN + _CLOSE)
-    starts = F.regexp_replace(empties, f"<{_ATTRIBUTES}>", _OPEN)
-    return F.regexp_replace(ustrip(starts), f"(?<=[{_OPEN}{_CLOSE}])[^{_OPEN}{_CLOSE}<>]+(?=[{_OPEN}{_CLOSE}])", "")
+
+
+def _is_single(outline: Column) -> Column:
+    return outline.rlike(f"^{_OPEN}[{_OPEN}{_CLOSE}]*{_CLOSE}\\z")
 
 
 def _strip_levels(outline: Column) -> Column:
@@ -157,30 +197,34 @@ def _strip_levels(outline: Column) -> Column:
 
 def _outline_fault(outline: Column, rest: Column) -> Column:
     """Null for one root element nested no deeper than the bound."""
-    single = outline.rlike(f"^{_OPEN}[{_OPEN}{_CLOSE}]*{_CLOSE}\\z")
     deep = rest.startswith(_OPEN) & rest.endswith(_CLOSE)
     return (
-        F.when(~single, F.lit("not well-formed"))
+        F.when(~_is_single(outline), F.lit("not well-formed"))
         .when(rest == "", F.lit(None).cast("string"))
         .when(deep, F.lit(f"exceeds maximum XML nesting depth ({MAX_XML_DEPTH})"))
         .otherwise(F.lit("not well-formed"))
     )
 
 
-def _root_tag(text: Column) -> Column:
-    """The root element as ``{namespace}name``, prefixes resolved on the root."""
-    start = F.regexp_extract(
-        text, f"(?s)^\\s*(?:<\\?.*?\\?>\\s*|<!--.*?-->\\s*)*(<{_ATTRIBUTES}>)", 1
+def _with_root_tag(rows: DataFrame) -> DataFrame:
+    """Adds root_tag: ``{namespace}name``, prefixes resolved on the root."""
+    opening = f"(?s)^\\s*(?:<\\?.*?\\?>\\s*|<!--.*?-->\\s*)*(<{_ATTRIBUTES}>)"
+    started = rows.withColumn(
+        "_start", F.when(F.col("_fault").isNull(), F.regexp_extract("_text", opening, 1))
     )
-    name = F.regexp_extract(start, "^<(?:[^\\s:/>]+:)?([^\\s:/>]+)", 1)
+    start = F.col("_start")
     prefixed = "(?s)^<([^\\s:/>]+):[^\\s/>]+\\s(?:.*?\\s)?xmlns:\\1\\s*=\\s*[\"']([^\"']*)[\"']"
     plain = "(?s)^<[^\\s:/>]+\\s(?:.*?\\s)?xmlns\\s*=\\s*[\"']([^\"']*)[\"']"
-    namespace = F.when(start.rlike(prefixed), F.regexp_extract(start, prefixed, 2)).when(
-        start.rlike(plain), F.regexp_extract(start, plain, 1)
+    named = started.withColumns(
+        {
+            "_prefixed": F.regexp_extract(start, prefixed, 2),
+            "_plain": F.regexp_extract(start, plain, 1),
+            "_name": F.regexp_extract(start, "^<(?:[^\\s:/>]+:)?([^\\s:/>]+)", 1),
+        }
     )
-    return F.when(
-        namespace.isNotNull(), F.concat(F.lit("{"), namespace, F.lit("}"), name)
-    ).otherwise(name)
+    space = F.coalesce(F.nullif(F.col("_prefixed"), F.lit("")), F.nullif(F.col("_plain"), F.lit("")))
+    qualified = F.concat(F.coalesce(F.concat(F.lit("{"), space, F.lit("}")), F.lit("")), F.col("_name"))
+    return named.withColumn("root_tag", qualified)
 
 
 def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
@@ -204,17 +248,20 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
         .when(text.isNull(), F.lit("unreadable text encoding"))
         .when(F.contains(text, F.lit("<!DOCTYPE")), F.lit("declares a document type")),
     )
-    traced = guarded.withColumn("_outline", F.when(F.col("_early").isNull(), _tag_outline(text)))
-    reduced = traced.withColumn("_rest", _strip_levels(F.col("_outline")))
-    outlined = reduced.withColumn(
+    clean = F.col("_early").isNull()
+    traced = guarded.withColumn("_quick", F.when(clean & _is_plain(text), _quick_outline(text)))
+    reduced = traced.withColumn("_quick_rest", _strip_levels(F.col("_quick")))
+    sound = F.coalesce(_is_single(F.col("_quick")) & (F.col("_quick_rest") == ""), F.lit(False))
+    exact = reduced.withColumn("_outline", F.when(clean & ~sound, _tag_outline(text)))
+    peeled = exact.withColumn("_rest", _strip_levels(F.col("_outline")))
+    outlined = peeled.withColumn(
         "_fault",
-        F.coalesce(F.col("_early"), _outline_fault(F.col("_outline"), F.col("_rest"))),
+        F.when(~clean, F.col("_early")).when(
+            F.col("_outline").isNotNull(), _outline_fault(F.col("_outline"), F.col("_rest"))
+        ),
     )
-    parsed = outlined.withColumns(
-        {
-            "x": F.when(F.col("_fault").isNull(), F.from_xml(text, _SCHEMA, _OPTIONS)),
-            "root_tag": F.when(F.col("_fault").isNull(), _root_tag(text)),
-        }
+    parsed = _with_root_tag(
+        outlined.withColumn("x", F.when(F.col("_fault").isNull(), F.from_xml(text, _SCHEMA, _OPTIONS)))
     )
     fault = F.coalesce(
         F.col("_fault"), F.when(F.col("x._corrupt_record").isNotNull(), F.lit("not well-formed"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ordered import DAY_MICROS, running_max, running_total
+from fieldloom.operators.ordered import DAY_MICROS, running_max, running_total, running_totals
 from fieldloom.session import cut_lineage
 
 JOB = ["item_id", "generation"]
@@ -230,8 +230,9 @@ def admit_jobs(jobs: DataFrame, cap: int = MAX_PENDING_BYTES, stretch: int = DAY
         ),
     ).filter(F.col("at").isNotNull())
     ties = ("delta", "item_id", "generation")
-    loaded = running_total(deltas, ["batch_id"], "at", "delta", "_bytes", ties, stretch)
-    counted = running_total(loaded, ["batch_id"], "at", "open", "_open", ties, stretch)
+    counted = running_totals(
+        cut_lineage(deltas), ["batch_id"], "at", {"_bytes": "delta", "_open": "open"}, ties, stretch
+    )
     begins = ((F.col("_open") == 0) & (F.col("open") == 1)).cast("int")
     flagged = counted.withColumn("_begins", begins)
     numbered = running_total(flagged, ["batch_id"], "at", "_begins", "_earlier", ties, stretch)

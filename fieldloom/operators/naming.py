@@ -44,8 +44,9 @@ def propose_filenames(extractions: DataFrame, extension: Column | str = ".pdf")
             "_amount": rounded_amount(F.col("gross_total")),
         }
     )
-    seller = F.coalesce(F.col("_seller"), F.lit(MISSING_SEGMENT))
-    product = F.coalesce(F.col("_product"), F.lit(MISSING_SEGMENT))
+    unusable = {c: F.coalesce(F.col(c), F.lit("")) == "" for c in ("_seller", "_product")}
+    seller = F.when(unusable["_seller"], F.lit(MISSING_SEGMENT)).otherwise(F.col("_seller"))
+    product = F.when(unusable["_product"], F.lit(MISSING_SEGMENT)).otherwise(F.col("_product"))
     staged = parts.withColumns(
         {
             "_suffix": F.concat(
@@ -72,8 +73,8 @@ def propose_filenames(extractions: DataFrame, extension: Column | str = ".pdf")
     missing = present_names(
         [
             ("date", F.col("invoice_date").isNull()),
-            ("seller", F.col("_seller").isNull()),
-            ("product", F.col("_product").isNull()),
+            ("seller", unusable["_seller"]),
+            ("product", unusable["_product"]),
             ("amount", F.col("gross_total").isNull()),
             ("currency", F.col("currency").isNull()),
         ]

@@ -21,28 +21,50 @@ def _running(
     rows: DataFrame,
     keys: list[str],
     order: str,
+    columns: dict[str, str],
     fold,
     combine,
-    out: str,
     ties: tuple[str, ...],
     stretch: int,
 ) -> DataFrame:
+    """``columns`` maps each result to the column folded over earlier rows."""
     cut = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
     local = Window.partitionBy(*keys, "_stretch").orderBy(order, *ties)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    folded = cut.withColumn("_local", fold().over(before))
-    totals = cut.groupBy(*keys, "_stretch").agg(fold().alias("_total"))
+    folded = cut.withColumns({f"_local_{o}": fold(c).over(before) for o, c in columns.items()})
+    totals = cut.groupBy(*keys, "_stretch").agg(
+        *[fold(c).alias(f"_total_{o}") for o, c in columns.items()]
+    )
     across = Window.partitionBy(*keys).orderBy("_stretch")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_stretch", fold("_total").over(earlier).alias("_offset")
+        *keys,
+        "_stretch",
+        *[fold(f"_total_{o}").over(earlier).alias(f"_offset_{o}") for o in columns],
     )
     joined = folded.join(offsets, [*keys, "_stretch"])
-    return joined.withColumn(out, combine(F.col("_offset"), F.col("_local"))).drop(
-        "_stretch", "_local", "_offset"
+    return joined.select(
+        *rows.columns,
+        *[combine(F.col(f"_offset_{o}"), F.col(f"_local_{o}")).alias(o) for o in columns],
     )
 
 
+def running_totals(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    columns: dict[str, str],
+    ties: tuple[str, ...] = (),
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """Adds each result column: the sum of its weight over earlier rows."""
+
+    def add(offset, local):
+        return F.coalesce(offset, F.lit(0)) + F.coalesce(local, F.lit(0))
+
+    return _running(rows, keys, order, columns, F.sum, add, ties, stretch)
+
+
 def running_total(
     rows: DataFrame,
     keys: list[str],
@@ -53,17 +75,7 @@ def running_total(
     stretch: int = STRETCH,
 ) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` over earlier rows of the group."""
-    zero = F.lit(0)
-    return _running(
-        rows,
-        keys,
-        order,
-        lambda column=weight: F.sum(column),
-        lambda offset, local: F.coalesce(offset, zero) + F.coalesce(local, zero),
-        out,
-        ties,
-        stretch,
-    )
+    return running_totals(rows, keys, order, {out: weight}, ties, stretch)
 
 
 def running_max(
@@ -76,16 +88,7 @@ def running_max(
     stretch: int = STRETCH,
 ) -> DataFrame:
     """Adds ``out``: the largest ``value`` among earlier rows; null for the first."""
-    return _running(
-        rows,
-        keys,
-        order,
-        lambda column=value: F.max(column),
-        lambda offset, local: F.greatest(offset, local),
-        out,
-        ties,
-        stretch,
-    )
+    return _running(rows, keys, order, {out: value}, F.max, F.greatest, ties, stretch)
 
 
 def position(
