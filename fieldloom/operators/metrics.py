@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.values import present_names
+from fieldloom.operators.ordered import position
 
 TIMINGS = ("total_ms", "pdf_extraction_ms", "ocr_ms", "inference_ms", "xml_ms")
 FILENAME_FIELD_COUNT = 5
@@ -76,13 +77,8 @@ def xml_detection(status: Column, n_fields: Column, profile_id: Column) -> Colum
 
 
 def label_calls(calls: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Numbers the calls of a run within their phase and labels them.
-
-    One run makes a handful of calls (the repair budget bounds them), so the
-    window group is small by construction.
-    """
-    order = Window.partitionBy(*keys, "phase").orderBy("call_no")
-    numbered = calls.withColumn("phase_index", F.row_number().over(order) - 1)
+    """Numbers the calls of a run within their phase and labels them."""
+    numbered = position(calls, [*keys, "phase"], "call_no", "phase_index")
     pairs = [F.lit(part) for item in PHASE_LABELS.items() for part in item]
     phase = F.element_at(F.create_map(*pairs), F.col("phase"))
     ordinal = F.when(F.col("phase_index") == 0, phase).otherwise(

@@ -55,9 +55,8 @@ def apply_actions(items: DataFrame, actions: DataFrame) -> DataFrame:
             F.when(F.col("action") == "edit", F.col("seq")),
         ).alias("last_edit"),
     )
-    approve_all = actions.filter(F.col("action") == "approve_all").agg(F.max("seq").alias("all_seq"))
-    # A global aggregate is one row by construction, so its broadcast is bounded.
-    joined = items.join(latest, "item_id", "left").join(F.broadcast(approve_all), how="left")
+    approve_all = actions.filter(F.col("action") == "approve_all").agg(F.max("seq"))
+    joined = items.join(latest, "item_id", "left").withColumn("all_seq", approve_all.scalar())
     own = F.when(F.col("last_action") == "approve", F.lit("approved")).when(
         F.col("last_action") == "unapprove", F.lit("needs_review")
     )

@@ -91,21 +91,12 @@ def undo_pages(batches: DataFrame) -> DataFrame:
     One row per batch takes part. The index is a running position over
     stretches of the append order, and neighbours are found by index.
     """
-    total = batches.agg(F.count(F.lit(1)).alias("_total"))
-    keyed = batches.withColumn("_all", F.lit(0))
-    placed = position(keyed, ["_all"], "seq", "_from_oldest").drop("_all")
-    # The total is a one-row aggregate, so its broadcast is bounded.
-    indexed = placed.join(F.broadcast(total)).withColumn(
-        "page", F.col("_total") - 1 - F.col("_from_oldest")
-    )
+    keyed = batches.withColumns({"_all": F.lit(0), "_newest_first": -F.col("seq")})
+    indexed = position(keyed, ["_all"], "_newest_first", "page").drop("_all", "_newest_first")
     ids = indexed.select("page", "batch_id")
     older = ids.select((F.col("page") - 1).alias("page"), F.col("batch_id").alias("older"))
     newer = ids.select((F.col("page") + 1).alias("page"), F.col("batch_id").alias("newer"))
-    return (
-        indexed.drop("_total", "_from_oldest")
-        .join(older, "page", "left")
-        .join(newer, "page", "left")
-    )
+    return indexed.join(older, "page", "left").join(newer, "page", "left")
 
 
 def recent_batches(batches: DataFrame) -> DataFrame:

@@ -22,6 +22,9 @@ SAME_TYPE = {
 }
 
 
+SMALL_SF_DIR = "/root/testdata/sf0.001"
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
