@@ -365,7 +365,7 @@ def test_response_verdicts(spark):
     ]
     assert got[5]["warnings"] == [
         "seller: must be a string",
-        "currency: 'ABC' is not a recognized ISO-4217 currency code"[:60] + "...",
+        "currency: 'ABC' is not a recognized ISO-4217 currency code",
     ]
     assert float(got[5]["gross_total"]) == 1000.0
     assert got[8]["seller"] == "B"
