@@ -35,6 +35,10 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans here hold thousands of expressions; recording the Python line
+        # of each takes longer than building them. A static setting, so other
+        # sessions have to be created with it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
