@@ -234,16 +234,16 @@ def batch_outcomes(spark, sf_dir):
     "join6_merged_outcomes",
     "JOIN-6",
     oracle(
-        """, old_rows as (select request_id, 'failed' outcome, 'old'||ordinal message from v_rename where ordinal%3<>0),
-new_rows as (select request_id, 'renamed' outcome, 'new'||ordinal message from v_rename where ordinal%2=0)
+        """, old_rows as (select request_id, 'failed' outcome, 'old'||ordinal message from v_rename where desired_filename<>'n0.pdf'),
+new_rows as (select request_id, 'renamed' outcome, 'new'||ordinal message from v_rename where on_disk)
 select request_id, coalesce(n.outcome, o.outcome) outcome, coalesce(n.message, o.message) message from old_rows o full join new_rows n using (request_id)""",
         "v_rename",
     ),
 )
 def merged_outcomes(spark, sf_dir):
-    view = requests(spark, sf_dir)
-    old = view.filter("ordinal%3<>0").selectExpr("request_id", "'failed' outcome", "'old'||ordinal message")
-    new = view.filter("ordinal%2=0").selectExpr("request_id", "'renamed' outcome", "'new'||ordinal message")
+    view = spark_view(spark, sf_dir, "v_rename")
+    old = view.filter("desired_filename<>'n0.pdf'").selectExpr("request_id", "'failed' outcome", "'old'||ordinal message")
+    new = view.filter("on_disk").selectExpr("request_id", "'renamed' outcome", "'new'||ordinal message")
     return undo.merge_outcomes(old, new)
 
 
@@ -348,7 +348,7 @@ def recent_batches(spark, sf_dir):
     "join8_redo_requests",
     "JOIN-8",
     oracle(
-        """select case when ordinal%3=0 then 'r'||ordinal else dir||'/'||source_name end request_id, dir||'/'||source_name source_path, dir, destination_name desired_filename
+        """select case when dir<>'/h7' then 'r'||ordinal else dir||'/'||source_name end request_id, dir||'/'||source_name source_path, dir, destination_name desired_filename
 from v_history where undone""",
         "v_history",
     ),
@@ -358,7 +358,7 @@ def redo_requests(spark, sf_dir):
     undone = view.filter("undone").selectExpr(
         "dir||'/'||destination_name source_path", "dir||'/'||source_name destination_path"
     )
-    outcomes = view.filter("ordinal%3=0").selectExpr(
+    outcomes = view.filter("dir<>'/h7'").selectExpr(
         "'r'||ordinal request_id", "'renamed' outcome", "dir||'/'||destination_name destination_path"
     )
     return undo.redo_requests(undone, outcomes)
