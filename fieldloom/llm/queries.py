@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import exact_dedup, mixing, simhash
+from fieldloom.llm import exact_dedup, mixing, simhash, token_counts, token_files
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -21,13 +22,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.token_digest(documents(spark, sf_dir), path)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(documents(spark, sf_dir), path)
+
+
 QUERIES: dict[str, Run] = {
     run.__name__: run
-    for run in (op1_mixing, op2_simhash, op8_exact_dedup)
+    for run in (op1_mixing, op2_simhash, op3_token_files, op8_exact_dedup, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
