@@ -62,47 +62,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_bytes: int):
     """mapInArrow function: documents in blocks, as numbers of the block's sorted words."""
-    number, made = TaskContext.get().partitionId(), 0
-    known: dict[bytes, int] = {}
-    ids, held, rows, size = [], [], [], 0
-
-    def block() -> pa.RecordBatch:
-        hashes = word_hashes(list(known))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(hashes), np.uint32)
-        place[order] = np.arange(len(hashes), dtype=np.uint32)
-        words = place[np.concatenate(rows)] if rows else np.zeros(0, np.uint32)
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        learnt = np.repeat(~np.array(held, bool), lengths)
-        train = np.bincount(words[learnt], minlength=len(hashes)).astype(np.uint32)
-        return pa.RecordBatch.from_pylist(
-            [
-                {
-                    "block": (number << 32) + made, "n_train_docs": held.count(False),
-                    "n_train_words": int(learnt.sum()), "n_words": len(words), "n_vocab": len(hashes),
-                    "doc_ids": ids, "held": held, "lengths": lengths.tolist(),
-                    "vocab": pack(hashes[order]), "words": pack(words), "train": pack(train),
-                }
-            ],
-            _BLOCK_ARROW,
-        )
-
-    for batch in slices(batches, "text"):
-        columns = (batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist())
-        for doc_id, out, text in zip(*columns, as_bytes(batch.column("text"))):
-            words = text.lower().split()
-            rows.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
-            ids.append(doc_id)
-            held.append(out)
-            size += len(text)
-            if size >= BLOCK_BYTES:
-                yield block()
-                made += 1
-                known, ids, held, rows, size = {}, [], [], [], 0
-    if ids:
-        yield block()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, made = TaskContext.get().partitionId(), 0
+        known: dict[bytes, int] = {}
+        ids, held, rows, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            hashes = word_hashes(list(known))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(hashes), np.uint32)
+            place[order] = np.arange(len(hashes), dtype=np.uint32)
+            words = place[np.concatenate(rows)] if rows else np.zeros(0, np.uint32)
+            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            learnt = np.repeat(~np.array(held, bool), lengths)
+            train = np.bincount(words[learnt], minlength=len(hashes)).astype(np.uint32)
+            return pa.RecordBatch.from_pylist(
+                [
+                    {
+                        "block": (number << 32) + made, "n_train_docs": held.count(False),
+                        "n_train_words": int(learnt.sum()), "n_words": len(words), "n_vocab": len(hashes),
+                        "doc_ids": ids, "held": held, "lengths": lengths.tolist(),
+                        "vocab": pack(hashes[order]), "words": pack(words), "train": pack(train),
+                    }
+                ],
+                _BLOCK_ARROW,
+            )
+
+        for batch in slices(batches, "text"):
+            columns = (batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist())
+            for doc_id, out, text in zip(*columns, as_bytes(batch.column("text"))):
+                words = text.lower().split()
+                rows.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
+                ids.append(doc_id)
+                held.append(out)
+                size += len(text)
+                if size >= block_bytes:
+                    yield block()
+                    made += 1
+                    known, ids, held, rows, size = {}, [], [], [], 0
+        if ids:
+            yield block()
+
+    return blocks
 
 
 def _word_asks(groups: int):
@@ -305,7 +309,9 @@ def _runs_by_part(walk: _Walk) -> tuple[np.ndarray, np.ndarray]:
     return walk.states[edges], np.diff(np.append(edges, len(walk.states)))
 
 
-def lm_scores(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with its log10 probability.
 
     Columns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the
@@ -318,7 +324,7 @@ def lm_scores(docs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """
     held = F.coalesce(fold("doc_id", FOLDS) == HELD_FOLD, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text")
-    table = written(rows.mapInArrow(_blocks, _BLOCK), "blocks")
+    table = written(rows.mapInArrow(_blocks(block_bytes), _BLOCK), "blocks")
     sums = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train_docs", "n_train_words", "n_words", "n_vocab")))
     n_docs, n_words, walked, asked = sums.first()
     n_tokens = n_docs + n_words

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import exact_dedup, mixing, simhash, token_counts, token_files
+from fieldloom.llm import exact_dedup, mixing, ngram_lm, simhash, token_counts, token_files
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(documents(spark, sf_dir), path)
@@ -38,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     run.__name__: run
-    for run in (op1_mixing, op2_simhash, op3_token_files, op8_exact_dedup, op10_token_counts)
+    for run in (op1_mixing, op2_simhash, op3_token_files, op8_exact_dedup, op9_lm_scores, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}

@@ -54,7 +54,7 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _blocks(groups: int):
+def _blocks(groups: int, block_bytes: int):
     """mapInArrow function: rows of blocks (part null) and of their asks (part set)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _blocks(groups: int):
                 sizes.append(len(text))
                 distinct.append(len(found))
                 held += len(text)
-                if held >= BLOCK_BYTES:
+                if held >= block_bytes:
                     yield from flush()
                     held = 0
         if ids:
@@ -152,7 +152,9 @@ def _sum_pieces(block: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+def token_counts(
+    docs: DataFrame, path: str, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     Counts are those of the tokenizer at ``path`` for the whole text, without
@@ -164,7 +166,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(12, -(-size // GROUP_BYTES))
-    table = written(rows.mapInArrow(_blocks(groups), _BLOCK), "pretokens")
+    table = written(rows.mapInArrow(_blocks(groups, block_bytes), _BLOCK), "pretokens")
     answers = (
         table.where("part is not null")
         .select("block", "part", "words")

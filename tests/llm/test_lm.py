@@ -69,9 +69,8 @@ def check(found, rows):
 @pytest.mark.parametrize("keys,block", [(1_500_000, 16 << 20), (2_000, 50_000)])
 def test_scores_of_a_whole_table(spark, keys, block, monkeypatch):
     monkeypatch.setattr(ngram_lm, "GROUP_KEYS", keys)
-    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", block)
     docs = documents(spark, SMALL)
-    found = ngram_lm.lm_scores(docs).collect()
+    found = ngram_lm.lm_scores(docs, block_bytes=block).collect()
     check(found, [tuple(r) for r in docs.select("doc_id", "text").collect()])
     out = [r for r in found if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)

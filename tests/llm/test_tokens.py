@@ -64,13 +64,13 @@ def test_parts_are_contiguous_and_mapped(spark, make, folder):
     assert len(docs) == len(offsets) - 1
 
 
-@pytest.mark.parametrize("group", [24 << 20, 1 << 14])
-def test_token_counts(spark, make, group, monkeypatch):
+@pytest.mark.parametrize("group,block", [(24 << 20, 16 << 20), (1 << 14, 100_000)])
+def test_token_counts(spark, make, group, block, monkeypatch):
     monkeypatch.setattr(token_counts, "GROUP_BYTES", group)
     rows = ODD + [
         {"doc_id": 1000 + r.doc_id, "text": r.text} for r in documents(spark, SMALL).select("doc_id", "text").collect()
     ]
-    found = token_counts.token_counts(make(rows), BYTES).collect()
+    found = token_counts.token_counts(make(rows), BYTES, block_bytes=block).collect()
     ids = library(BYTES, [r["text"] for r in rows])
     expected = [(r["doc_id"], len((r["text"] or "").encode()), len(i), len(i) > 512) for r, i in zip(rows, ids)]
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
