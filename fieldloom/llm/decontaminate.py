@@ -4,7 +4,7 @@ Numbers, number words, units after a number and names become typed slots, so a
 question with other values has the same template. Windows of eight template
 tokens are joined by hash. The windows a document shares with an item are then
 put on one alignment, and a slot value of the item must stand for one value in
-the document, and the other way round. A fixed bitmap of the items' window
+the document. A fixed bitmap of the items' window
 hashes keeps the windows of clean text out of the join; it has no false
 negatives, and its size does not depend on the data.
 """
@@ -12,6 +12,7 @@ negatives, and its size does not depend on the data.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ RUN = 13
 SHARE = 0.5
 #: Bits of the bitmap, as a power of two (2 MB).
 BITMAP_BITS = 24
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 # Number words and units (fixed values).
 NUMBER_WORDS = (
@@ -52,38 +53,41 @@ _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNITS)
 _PART = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’\-][^\W\d_]+)*|[%$€£]")
 _END = re.compile(r"[.!?…:]\W*$")
 
-_TOKEN = [
-    ("text", object), ("hash", np.uint64), ("number", bool), ("unit", bool), ("titled", bool), ("ends", bool)
-]
+IS_NUMBER, IS_UNIT, IS_TITLED, IS_END = 1, 2, 4, 8
 
 
 class Reader:
-    """Turns texts into template tokens; remembers the tokens of words."""
+    """Turns texts into numbers of template tokens; remembers the tokens of words."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
         self.parts: dict[bytes, list[int]] = {}
-        self.tokens: list[tuple] = []
-        self.known: dict[tuple, int] = {}
+        self.known: dict[tuple[str, int], int] = {}
+        self.values: list[str] = []
+        self.hashed, self.flags = array("Q"), bytearray()
 
     def _learn(self, word: bytes) -> list[int]:
         shown = word.decode("utf-8", "replace")
-        found, ends = _PART.findall(shown), bool(_END.search(shown))
-        numbers = []
+        found, numbers = _PART.findall(shown), []
         for i, part in enumerate(found):
             low = part.lower()
-            titled = len(part) > 1 and part[0].isupper() and part[1:].islower()
-            number = part[0].isdigit() or low in _NUMBERS
-            hashed = xxhash.xxh3_64_intdigest(low.encode())
-            token = (low, hashed, number, low in _UNITS, titled, ends and i == len(found) - 1)
-            numbers.append(self.known.setdefault(token, len(self.known)))
-            if len(self.known) > len(self.tokens):
-                self.tokens.append(token)
+            flags = IS_NUMBER * (part[0].isdigit() or low in _NUMBERS) + IS_UNIT * (low in _UNITS)
+            flags += IS_TITLED * (len(part) > 1 and part[0].isupper() and part[1:].islower())
+            flags += IS_END * (i == len(found) - 1 and bool(_END.search(shown)))
+            at = self.known.setdefault((low, flags), len(self.known))
+            if at == len(self.values):
+                self.values.append(low)
+                self.hashed.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")))
+                self.flags.append(flags)
+            numbers.append(at)
         return numbers
 
-    def read(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its token numbers and their kinds."""
+    def read(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The token numbers of each text; they hold until the next call."""
         if len(self.parts) > REMEMBERED:
-            self.parts, self.tokens, self.known = {}, [], {}
+            self.forget()
         known, rows = self.parts, []
         for text in texts:
             words = text.split()
@@ -91,21 +95,17 @@ class Reader:
                 if w not in known:
                     known[w] = self._learn(w)
             rows.append(np.array([n for w in words for n in known[w]], np.int64))
-        flags = np.array([t[2:] for t in self.tokens], bool).reshape(-1, 4)
-        return [(row, _kinds(flags[row])) for row in rows]
-
-    def hashes(self) -> np.ndarray:
-        return np.array([t[1] for t in self.tokens], np.uint64)
+        return rows
 
 
 def _kinds(flags: np.ndarray) -> np.ndarray:
-    number, unit, titled, ends = flags.T if len(flags) else np.zeros((4, 0), bool)
+    """Slot types; a name is a capitalised word that does not begin a sentence."""
     kinds = np.zeros(len(flags), np.int64)
-    # A name is a capitalised word that does not begin a sentence.
-    inner = np.concatenate((np.zeros(1, bool), ~ends[:-1]))[: len(flags)]
-    kinds[titled & inner] = NAME
-    kinds[unit & np.concatenate((np.zeros(1, bool), number[:-1]))[: len(flags)]] = UNIT
-    kinds[number] = NUMBER
+    if len(flags):
+        number, before = flags & IS_NUMBER > 0, flags[:-1]
+        kinds[1:][(flags[1:] & IS_TITLED > 0) & (before & IS_END == 0)] = NAME
+        kinds[1:][(flags[1:] & IS_UNIT > 0) & (before & IS_NUMBER > 0)] = UNIT
+        kinds[number] = NUMBER
     return kinds
 
 
@@ -125,7 +125,7 @@ def window_hashes(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np
 
 def _slots(row: np.ndarray, kinds: np.ndarray, reader: Reader, at: int, width: int) -> list[str]:
     """The window's slot values in order, each with its place."""
-    return [f"{i}:{reader.tokens[row[at + i]][0]}" for i in range(width) if kinds[at + i] != WORD]
+    return [f"{i}:{reader.values[row[at + i]]}" for i in range(width) if kinds[at + i] != WORD]
 
 
 _WINDOW_ROW = "id long, n_tokens long, n_windows long, at long, width long, hash long, slots array<string>"
@@ -145,9 +145,11 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
         reader = _READER[0]
         for batch in slices(batches, "text"):
             out = []
-            texts = reader.read(as_bytes(batch.column("text")))
-            hashes = reader.hashes()
-            for one, (row, kinds) in zip(batch.column(key).to_pylist(), texts):
+            rows = reader.read(as_bytes(batch.column("text")))
+            hashes = np.array(reader.hashed, np.uint64)
+            flags = np.frombuffer(bytes(reader.flags), np.uint8)
+            for one, row in zip(batch.column(key).to_pylist(), rows):
+                kinds = _kinds(flags[row])
                 for width in widths or (min(WINDOW, len(row)),):
                     if width == 0:
                         continue
@@ -159,6 +161,12 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
                         at, found = at[hit], found[hit]
                     for a, h in zip(at.tolist(), found.astype(np.int64).tolist()):
                         out.append((one, len(row), n, a, width, h, _slots(row, kinds, reader, a, width)))
+                    if not widths and n and at[0] == 0 and flags[row[0]] & IS_TITLED and kinds[0] == WORD:
+                        # Within a document the item's first word may follow a sentence without end.
+                        kinds = np.concatenate(([NAME], kinds[1:]))
+                        first = window_hashes(hashes[row[:width]], kinds[:width], width)[1]
+                        for h in first.astype(np.int64).tolist():
+                            out.append((one, len(row), n, 0, width, h, _slots(row, kinds, reader, 0, width)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW
@@ -171,7 +179,7 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     """Bits of the items' windows, or-ed together per byte of the map."""
     bit = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
     bytes_ = rows.groupBy(F.shiftright(bit, 3).alias("byte")).agg(
-        F.bit_or(F.shiftleft(F.lit(1), (bit.bitwiseAND(F.lit(7))).cast("int"))).alias("bits")
+        F.bit_or(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int"))).alias("bits")
     )
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for row in bytes_.toLocalIterator():  # at most one row for each byte of the map
@@ -220,9 +228,7 @@ def leaks(
     bare = F.array_distinct(
         F.transform("pairs", lambda p: F.struct(value(p["s"]).alias("s"), value(p["d"]).alias("d")))
     )
-    one_to_one = (F.size(F.array_distinct(F.col("bare.s"))) == F.size("bare")) & (
-        F.size(F.array_distinct(F.col("bare.d"))) == F.size("bare")
-    )
+    consistent = F.size(F.array_distinct(F.col("bare.s"))) == F.size("bare")
     width = F.col("places")[0]["width"]
     runs = F.aggregate(
         "places",
@@ -237,7 +243,7 @@ def leaks(
     )["most"]
     judged = (
         hits.withColumn("bare", bare)
-        .where(one_to_one)
+        .where(consistent)
         .withColumn("matched", F.size("places").cast("long"))
         .withColumn("run", runs + width - 1)
         .withColumn("exact", F.forall("bare", lambda p: p["s"] == p["d"]))

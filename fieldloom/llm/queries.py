@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import exact_dedup, mixing, ngram_lm, simhash, token_counts, token_files
+from fieldloom.llm import decontaminate, exact_dedup, mixing, ngram_lm, simhash, token_counts, token_files
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(documents(spark, sf_dir), path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir), items)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -42,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     run.__name__: run
-    for run in (op1_mixing, op2_simhash, op3_token_files, op8_exact_dedup, op9_lm_scores, op10_token_counts)
+    for run in (op1_mixing, op2_simhash, op3_token_files, op4_decontamination, op8_exact_dedup, op9_lm_scores, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
