@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, exact_dedup, mixing, ngram_lm, simhash, token_counts, token_files
+from fieldloom.llm import decontaminate, exact_dedup, licenses, mixing, ngram_lm, simhash, token_counts, token_files
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), items)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -47,7 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     run.__name__: run
-    for run in (op1_mixing, op2_simhash, op3_token_files, op4_decontamination, op8_exact_dedup, op9_lm_scores, op10_token_counts)
+    for run in (op1_mixing, op2_simhash, op3_token_files, op4_decontamination, op7_license_scan, op8_exact_dedup, op9_lm_scores, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_license_scan": licenses.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
+}
