@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, exact_dedup, licenses, mixing, ngram_lm, simhash, token_counts, token_files
+from fieldloom.llm import decontaminate, exact_dedup, langid, licenses, mixing, ngram_lm, quality, simhash, token_counts, token_files
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), items)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_scores(documents(spark, sf_dir), labels)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
@@ -51,10 +61,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     run.__name__: run
-    for run in (op1_mixing, op2_simhash, op3_token_files, op4_decontamination, op7_license_scan, op8_exact_dedup, op9_lm_scores, op10_token_counts)
+    for run in (
+        op1_mixing,
+        op2_simhash,
+        op3_token_files,
+        op4_decontamination,
+        op5_quality,
+        op6_language_id,
+        op7_license_scan,
+        op8_exact_dedup,
+        op9_lm_scores,
+        op10_token_counts,
+    )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
+#: What SQL can express; the other queries are tested against plain Python.
 ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
