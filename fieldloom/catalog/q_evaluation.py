@@ -205,7 +205,7 @@ union all select model_id, runs, origin from fresh"""
 
 def _upsert(spark, sf_dir):
     counts = spark_view(spark, sf_dir, "v_eval").groupBy("model_id").agg(F.count(F.lit(1)).alias("runs"))
-    kept = counts.limit(1).select(F.lit("kept").alias("model_id"), F.lit(1).cast("bigint").alias("runs"))
+    kept = spark.range(1).select(F.lit("kept").alias("model_id"), F.lit(1).cast("bigint").alias("runs"))
     old = counts.unionByName(kept).withColumn("origin", F.lit("old"))
     fresh = counts.filter("model_id='a'").withColumn("origin", F.lit("new"))
     return evaluation.upsert_reports(old, fresh)

@@ -234,7 +234,7 @@ def batch_outcomes(spark, sf_dir):
     "join6_merged_outcomes",
     "JOIN-6",
     oracle(
-        """, old_rows as (select request_id, 'failed' outcome, 'old'||ordinal message from v_rename where desired_filename<>'n0.pdf'),
+        """, old_rows as (select request_id, 'failed' outcome, 'old'||ordinal message from v_rename),
 new_rows as (select request_id, 'renamed' outcome, 'new'||ordinal message from v_rename where on_disk)
 select request_id, coalesce(n.outcome, o.outcome) outcome, coalesce(n.message, o.message) message from old_rows o full join new_rows n using (request_id)""",
         "v_rename",
@@ -242,7 +242,8 @@ select request_id, coalesce(n.outcome, o.outcome) outcome, coalesce(n.message, o
 )
 def merged_outcomes(spark, sf_dir):
     view = spark_view(spark, sf_dir, "v_rename")
-    old = view.filter("desired_filename<>'n0.pdf'").selectExpr("request_id", "'failed' outcome", "'old'||ordinal message")
+    # All requests have failed once; those whose file is there were tried again.
+    old = view.selectExpr("request_id", "'failed' outcome", "'old'||ordinal message")
     new = view.filter("on_disk").selectExpr("request_id", "'renamed' outcome", "'new'||ordinal message")
     return undo.merge_outcomes(old, new)
 
@@ -348,8 +349,8 @@ def recent_batches(spark, sf_dir):
     "join8_redo_requests",
     "JOIN-8",
     oracle(
-        """select case when dir<>'/h7' then 'r'||ordinal else dir||'/'||source_name end request_id, dir||'/'||source_name source_path, dir, destination_name desired_filename
-from v_history where undone""",
+        """select case when not undone_failed then 'r'||ordinal else dir||'/'||source_name end request_id, dir||'/'||source_name source_path, dir, destination_name desired_filename
+from (select *, ordinal%7=0 undone_failed from v_history) where undone""",
         "v_history",
     ),
 )
@@ -358,8 +359,11 @@ def redo_requests(spark, sf_dir):
     undone = view.filter("undone").selectExpr(
         "dir||'/'||destination_name source_path", "dir||'/'||source_name destination_path"
     )
-    outcomes = view.filter("dir<>'/h7'").selectExpr(
-        "'r'||ordinal request_id", "'renamed' outcome", "dir||'/'||destination_name destination_path"
+    # Outcomes of all requests; a failed one has no destination.
+    outcomes = view.selectExpr(
+        "'r'||ordinal request_id",
+        "if(ordinal%7=0, 'failed', 'renamed') outcome",
+        "if(ordinal%7=0, null, dir||'/'||destination_name) destination_path",
     )
     return undo.redo_requests(undone, outcomes)
 

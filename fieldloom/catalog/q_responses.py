@@ -46,10 +46,10 @@ def answers_sql(source: str, name: str = "answers") -> str:
    case when k_seller not in ('NULL','VARCHAR') then 'must be a string' end e_seller,
    case when k_product not in ('NULL','VARCHAR') then 'must be a string' end e_product,
    case when k_total<>'NULL' and (n_total is null or n_total<0) then
-      case when n_total<0 then 'gross_total must not be negative' else 'must be a decimal number' end end e_total,
+      case when n_total<0 then 'a total below zero is not accepted' else 'must be a decimal number' end end e_total,
    case when k_cur<>'NULL' and v_cur is null then case when k_cur<>'VARCHAR' then 'must be a string'
-      when not regexp_full_match(t_cur,'[A-Z]{{3}}') then 'must be a 3-letter uppercase ISO-4217 code'
-      else ''''||t_cur||''' is not a recognized ISO-4217 currency code' end end e_cur,
+      when not regexp_full_match(t_cur,'[A-Z]{{3}}') then 'three capital letters of a currency are expected'
+      else ''''||t_cur||''' names no currency in use' end end e_cur,
    case when k_lang is not null and v_lang is null then 'must be ''de'', ''en'' or ''unknown''' end e_lang
    from {name}_valued),
 {name}_listed as (select *,
@@ -192,7 +192,7 @@ nulls as (select doc_id, 'invoice_date' field from answers where v_date is null
   union all select doc_id, 'gross_total' from answers where v_total is null
   union all select doc_id, 'currency' from answers where v_cur is null)
 select coalesce(n.doc_id, r.doc_id) doc_id, coalesce(n.field, r.field) field,
-  coalesce(r.message, 'no value found - it may be labeled differently or appear elsewhere in the text above') message
+  coalesce(r.message, 'nothing was given; look for it on other pages or under another name') message
 from nulls n full join refused r on n.doc_id=r.doc_id and n.field=r.field""",
         "v_calls",
     ),

@@ -90,15 +90,15 @@ def _ascii_forms(text: Column, also: str = "", becomes: str = "") -> Column:
 
     Characters with a one-letter form go through ``translate``, together with
     the characters of ``also``; the few with a longer form (ligatures,
-    fractions, unit signs) take a per-character lookup on rows that hold one.
+    fractions, unit signs) are replaced one distinct character at a time, on
+    rows that hold one.
     """
     sources, targets, longer = _fold_tables()
     # One literal, folded to a constant map when the plan is optimised.
     listed = "\x01".join(f"{c}\x02{form}" for c, form in longer.items())
     lookup = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(lookup, c), c)), ""
-    )
+    wide = F.array_distinct(F.regexp_extract_all(text, F.lit(char_class(longer)), F.lit(0)))
+    spelled = F.aggregate(wide, text, lambda done, c: F.replace(done, c, F.element_at(lookup, c)))
     widened = F.when(text.rlike(char_class(longer)), spelled).otherwise(text)
     kept = [(s, t) for s, t in zip(sources, targets) if s not in also]
     return F.translate(

@@ -86,12 +86,59 @@ def attachment_facts(attachments: DataFrame, order: str = "revision_no") -> Data
     return invoice_xml.map_fields(checked, keep + checks).select(*keep, *checks, *FIELD_COLUMNS)
 
 
+ROOT_TAG = f"{{{ROOT_NAMESPACE}}}{ROOT_NAME}"
+
+
+def content_cases(fact, shown: Column) -> list[tuple]:
+    """(condition, status, warning) for one attachment's content; none holds if it is supported.
+
+    ``fact`` gives xml_fault, root_tag, n_profiles and profile_id by name.
+    """
+    return [
+        (
+            fact("xml_fault") == "oversized",
+            "invalid",
+            F.concat(shown, F.lit(f" exceeds the {MAX_XML_BYTES}-byte limit for invoice XML")),
+        ),
+        (
+            fact("xml_fault").isNotNull(),
+            "invalid",
+            F.concat(shown, F.lit(" is not valid XML: "), fact("xml_fault")),
+        ),
+        (
+            fact("root_tag") != ROOT_TAG,
+            "unsupported",
+            F.concat(shown, F.lit(" has an unsupported root element "), quoted_echo(fact("root_tag"))),
+        ),
+        (
+            fact("n_profiles") > 1,
+            "invalid",
+            F.concat(shown, F.lit(" declares more than one conflicting invoice profile")),
+        ),
+        (
+            F.coalesce(fact("profile_id"), F.lit("")) != SUPPORTED_PROFILE,
+            "unsupported",
+            F.concat(
+                shown, F.lit(" uses an unsupported invoice profile "), quoted_echo(fact("profile_id"))
+            ),
+        ),
+    ]
+
+
+def first_case(cases: list[tuple]) -> tuple[Column, Column]:
+    """Status and warning of the first case that holds; "supported" and null if none does."""
+    status = warning = None
+    for condition, name, text in cases:
+        status = F.when(condition, F.lit(name)) if status is None else status.when(condition, F.lit(name))
+        warning = F.when(condition, text) if warning is None else warning.when(condition, text)
+    return status.otherwise(F.lit("supported")), warning
+
+
 def classify(counted: DataFrame) -> DataFrame:
     """The decision per document from its counts and its first content."""
     fact = lambda name: F.col(f"facts.{name}")
     shown = quoted_echo(fact("attachment_name"))
     no_text = F.lit(None).cast("string")
-    root = f"{{{ROOT_NAMESPACE}}}{ROOT_NAME}"
     broken = fact("xml_fault").isNotNull()
     cases = [
         (F.col("n_names").isNull(), "none", no_text),
@@ -126,40 +173,13 @@ def classify(counted: DataFrame) -> DataFrame:
                 F.lit("); skipping XML extraction"),
             ),
         ),
-        (
-            fact("xml_fault") == "oversized",
-            "invalid",
-            F.concat(shown, F.lit(f" exceeds the {MAX_XML_BYTES}-byte limit for invoice XML")),
-        ),
-        (broken, "invalid", F.concat(shown, F.lit(" is not valid XML: "), fact("xml_fault"))),
-        (
-            fact("root_tag") != root,
-            "unsupported",
-            F.concat(shown, F.lit(" has an unsupported root element "), quoted_echo(fact("root_tag"))),
-        ),
-        (
-            fact("n_profiles") > 1,
-            "invalid",
-            F.concat(shown, F.lit(" declares more than one conflicting invoice profile")),
-        ),
-        (
-            F.coalesce(fact("profile_id"), F.lit("")) != SUPPORTED_PROFILE,
-            "unsupported",
-            F.concat(
-                shown, F.lit(" uses an unsupported invoice profile "), quoted_echo(fact("profile_id"))
-            ),
-        ),
+        *content_cases(fact, shown),
     ]
-    status = warning = None
-    for condition, name, text in cases:
-        status = F.when(condition, F.lit(name)) if status is None else status.when(condition, F.lit(name))
-        warning = F.when(condition, text) if warning is None else warning.when(condition, text)
-    decided = counted.withColumns(
-        {"xml_status": status.otherwise(F.lit("supported")), "xml_warning": warning}
-    )
+    status, warning = first_case(cases)
+    decided = counted.withColumns({"xml_status": status, "xml_warning": warning})
     single = F.col("xml_status").isin("supported", "unsupported", "invalid")
     # The profile is known once the root and its single profile were accepted.
-    profiled = single & ~broken & (fact("root_tag") == root) & (fact("n_profiles") <= 1)
+    profiled = single & ~broken & (fact("root_tag") == ROOT_TAG) & (fact("n_profiles") <= 1)
     return decided.select(
         "doc_id",
         "xml_status",

@@ -115,9 +115,31 @@ _ATTRIBUTES = "(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _OPEN, _CLOSE = "\x01", "\x02"
 
 
+#: Code pages of one byte per character that are read besides Latin-1.
+CODE_PAGES = {
+    "windows-1250": "cp1250", "windows-1252": "cp1252", "cp1252": "cp1252",
+    "iso-8859-2": "iso8859-2", "iso-8859-15": "iso8859-15", "latin9": "iso8859-15",
+}
+
+
+def _code_page(content: Column, codec: str) -> Column:
+    """Latin-1 text with the characters exchanged that the code page has elsewhere."""
+    latin = [chr(c) for c in range(0x80, 0x100)]
+    meant = [bytes([ord(c)]).decode(codec, "ignore") or c for c in latin]
+    pairs = [(a, b) for a, b in zip(latin, meant) if a != b]
+    return F.translate(
+        F.decode(content, "ISO-8859-1"), "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    )
+
+
+def _without_comments(text: Column) -> Column:
+    return F.regexp_replace(text, "(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>", "")
+
+
 def _xml_text(content: Column) -> Column:
     """Bytes to text by byte order mark or declared encoding; null when unreadable."""
-    head = F.left(content.cast("string"), F.lit(200))
+    # The whole XML declaration, however long.
+    head = F.substring_index(content.cast("string"), "?>", 1)
     declared = F.lower(
         F.regexp_extract(head, "^\\s*<\\?xml[^>]*?encoding\\s*=\\s*[\"']([^\"']*)", 1)
     )
@@ -128,6 +150,8 @@ def _xml_text(content: Column) -> Column:
         .when(declared.isin("iso-8859-1", "latin1"), F.decode(content, "ISO-8859-1"))
         .when(declared.isin("", "utf-8", "utf8", "us-ascii", "ascii") & F.is_valid_utf8(utf8), utf8)
     )
+    for name, codec in CODE_PAGES.items():
+        text = text.when(declared == name, _code_page(content, codec))
     return F.regexp_replace(text, "^\\x{feff}", "")
 
 
@@ -246,7 +270,11 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
         "_early",
         F.when(F.col("_oversized"), F.lit("oversized"))
         .when(text.isNull(), F.lit("unreadable text encoding"))
-        .when(F.contains(text, F.lit("<!DOCTYPE")), F.lit("declares a document type")),
+        .when(
+            F.contains(text, F.lit("<!DOCTYPE"))
+            & F.contains(_without_comments(text), F.lit("<!DOCTYPE")),
+            F.lit("declares a document type"),
+        ),
     )
     clean = F.col("_early").isNull()
     traced = guarded.withColumn("_quick", F.when(clean & _is_plain(text), _quick_outline(text)))

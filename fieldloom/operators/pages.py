@@ -46,24 +46,21 @@ def pages_block(pages: Column) -> Column:
 
 
 def assemble_pages(routed: DataFrame) -> DataFrame:
-    """One row per document with its pages in order and the OCR counters.
+    """One row per document with all its pages in order and the OCR counters.
 
-    At most MAX_PAGES pages enter the array. Documents with more are refused
-    by the page ceiling, so they keep their counters and get no pages.
+    Page numbers may have gaps. Documents are refused for their page count
+    before this step (``sources.documents``), and never here.
     """
     page = F.struct("page_number", "text", "needs_ocr", "ocr_confidence")
-    within = F.col("page_number") <= MAX_PAGES
-    grouped = routed.groupBy("doc_id").agg(
+    return routed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pages_total"),
-        F.array_sort(F.collect_list(F.when(within, page))).alias("_pages"),
-        F.array_sort(
-            F.collect_list(F.when(within & F.col("needs_ocr"), F.col("page_number")))
-        ).alias("_ocr"),
-    )
-    accepted = F.col("pages_total") <= MAX_PAGES
-    return grouped.select(
-        "doc_id",
-        "pages_total",
-        F.when(accepted, F.col("_ocr")).alias("pages_ocr"),
-        F.when(accepted, F.col("_pages")).alias("pages"),
+        F.array_sort(F.collect_list(F.when(F.col("needs_ocr"), F.col("page_number")))).alias("pages_ocr"),
+        F.array_sort(F.collect_list(page)).alias("pages"),
     )
+
+
+def refused_documents(pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
+    """(doc_id, pages_total, reason) of documents with more than ``most`` pages."""
+    counted = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_total"))
+    reason = F.concat(F.col("pages_total").cast("string"), F.lit(f" pages, at most {most} are taken"))
+    return counted.where(F.col("pages_total") > most).withColumn("reason", reason)

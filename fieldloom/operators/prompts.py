@@ -134,6 +134,25 @@ def pending_prompts(states: DataFrame) -> DataFrame:
     )
 
 
+def _once(load: Callable[[], Callable]) -> Callable:
+    """Calls the loaded function and gives (result, error); loads once, at the first call."""
+    loaded: list = []
+
+    def call(value):
+        try:
+            if not loaded:
+                try:
+                    loaded.append((load(), None))
+                except Exception as error:  # noqa: BLE001 - recorded with every call
+                    loaded.append((None, repr(error)))
+            function, fault = loaded[0]
+            return (None, fault) if fault else (function(value), None)
+        except Exception as error:  # noqa: BLE001 - recorded with the call
+            return None, repr(error)
+
+    return call
+
+
 def score_prompts(
     prompts: DataFrame, load_scorer: Callable[[], Callable[[str], str]]
 ) -> DataFrame:
@@ -141,26 +160,20 @@ def score_prompts(
 
     ``load_scorer`` is called once per partition, on its first row, so a
     partition without prompts loads nothing. A raised error becomes the
-    call's ``error`` and fails neither the row nor the task.
+    call's ``error`` and fails neither the row nor the task; a failed load is
+    not tried again and is the error of every row of the partition.
     """
     kept = [f for f in prompts.schema.fields if f.name not in ("response", "error")]
     names = [f.name for f in kept]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator) -> Iterator:
-        scorer = None
+        score = _once(load_scorer)
         for pdf in batches:
-            responses, errors = [], []
-            for prompt in pdf["prompt"]:
-                try:
-                    if scorer is None:
-                        scorer = load_scorer()
-                    responses.append(scorer(prompt))
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001 - recorded with the call
-                    responses.append(None)
-                    errors.append(repr(error))
-            yield pdf[names].assign(response=responses, error=errors)
+            results = [score(prompt) for prompt in pdf["prompt"]]
+            yield pdf[names].assign(
+                response=[r for r, _ in results], error=[error for _, error in results]
+            )
 
     return prompts.mapInPandas(run, f"{ddl}, response string, error string")
 
@@ -171,23 +184,29 @@ def recognise_pages(
     """Runs a user's recogniser over sparse pages only.
 
     ``pages`` has doc_id, page_number, image and needs_ocr; the filter sits
-    below the Python step because Spark pushes none through it.
+    below the Python step because Spark pushes none through it. A page that
+    cannot be recognised, or has no image, is a row with ``error``; the others
+    go on. The keys keep their types.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator) -> Iterator:
-        recogniser = None
+        recognise = _once(load_recogniser)
         for pdf in batches:
-            texts, scores = [], []
-            for image in pdf["image"]:
-                if recogniser is None:
-                    recogniser = load_recogniser()
-                text, score = recogniser(bytes(image))
-                texts.append(text)
-                scores.append(score)
-            out = pdf[["doc_id", "page_number"]].assign(ocr_text=texts, ocr_confidence=scores)
+            results = [
+                recognise(bytes(image)) if image is not None else (None, "the page has no image")
+                for image in pdf["image"]
+            ]
+            out = pdf[["doc_id", "page_number"]].assign(
+                ocr_text=[r[0] if r else None for r, _ in results],
+                ocr_confidence=[r[1] if r else None for r, _ in results],
+                error=[error for _, error in results],
+            )
             yield out.astype({"ocr_confidence": "float64"})
 
     sparse = pages.filter("needs_ocr").select("doc_id", "page_number", "image")
     return sparse.mapInPandas(
-        run, "doc_id long, page_number long, ocr_text string, ocr_confidence double"
+        run,
+        f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, ocr_text string,"
+        " ocr_confidence double, error string",
     )

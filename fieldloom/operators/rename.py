@@ -67,7 +67,10 @@ def occupied_elsewhere(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 def preflight(requests: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``problem`` per request and ``batch_ok`` for the whole batch."""
-    sources = files.select("dir", F.col("name").alias("source_name"), "is_file").distinct()
+    # A path listed twice is one path.
+    sources = files.groupBy("dir", F.col("name").alias("source_name")).agg(
+        F.bool_or("is_file").alias("is_file")
+    )
     checked = requests.join(sources, ["dir", "source_name"], "left")
     path = F.concat_ws("/", "dir", "source_name")
     problem = (

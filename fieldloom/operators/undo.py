@@ -29,8 +29,9 @@ def remaining_entries(history: DataFrame) -> DataFrame:
 
 def validate_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``problem``: null where the entry can still be undone safely."""
-    listed = files.select(
-        F.concat_ws("/", "dir", "name").alias("_path"), F.col("identity").alias("_identity")
+    # A path listed twice is one path.
+    listed = files.groupBy(F.concat_ws("/", "dir", "name").alias("_path")).agg(
+        F.max("identity").alias("_identity")
     )
     at_destination = listed.select(
         F.col("_path").alias("destination_path"),

@@ -15,8 +15,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # JSON objects keep the last of two equal keys instead of failing the row.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Rows grow after the shuffle (XML, prompts): small inputs keep all cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
 
@@ -42,6 +40,8 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Rows grow after the shuffle (XML, prompts): small inputs keep all cores.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     return apply_settings(spark)
 
 

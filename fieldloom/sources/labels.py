@@ -12,10 +12,28 @@ def explode_labels(files: DataFrame) -> DataFrame:
     """JSON text (column ``value``) to (document, field, expected) rows.
 
     A row exists exactly where a label exists, so absent and null stay apart.
+    Of a key that a file repeats, the last one counts.
     """
-    parsed = files.select(F.from_json("value", LABEL_TYPE, {"mode": "FAILFAST"}).alias("labels"))
-    documents = parsed.select(F.explode("labels").alias("document", "fields"))
-    return documents.select("document", F.explode("fields").alias("field", "expected"))
+    parsed = files.select(
+        F.monotonically_increasing_id().alias("_file"),
+        F.from_json("value", LABEL_TYPE, {"mode": "FAILFAST"}).alias("labels"),
+    )
+    listed = parsed.select("_file", F.posexplode(F.map_entries("labels")).alias("_at", "_entry"))
+    documents = listed.groupBy("_file", F.col("_entry.key").alias("document")).agg(
+        F.max_by("_entry.value", "_at").alias("fields")
+    )
+    fields = F.map_entries("fields")
+    # A document has few fields, so looking for a later one of the same name is cheap.
+    last = F.filter(
+        fields,
+        lambda e, i: ~F.exists(
+            F.slice(fields, i + 2, F.size(fields)), lambda later: later["key"] == e["key"]
+        ),
+    )
+    kept = documents.select("document", F.explode(last).alias("_field"))
+    return kept.select(
+        "document", F.col("_field.key").alias("field"), F.col("_field.value").alias("expected")
+    )
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +42,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labels_to_json(labels: DataFrame) -> DataFrame:
-    """Long labels to label JSON, one object per document."""
+    """Long labels to label JSON, one object per document.
+
+    Rows that repeat a field are one entry: the last by column ``seq`` where
+    there is one, else the largest value.
+    """
+    last = F.max_by("expected", "seq") if "seq" in labels.columns else F.max("expected")
+    single = labels.groupBy("doc_id", "field").agg(last.alias("expected"))
     fields = F.map_from_entries(F.collect_list(F.struct("field", "expected")))
-    per_document = labels.groupBy("doc_id").agg(fields.alias("fields"))
+    per_document = single.groupBy("doc_id").agg(fields.alias("fields"))
     nested = F.create_map(F.col("doc_id").cast("string"), F.col("fields"))
     return per_document.select(F.to_json(nested, {"ignoreNullFields": "false"}).alias("value"))

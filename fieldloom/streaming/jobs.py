@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.jobs import MAX_PENDING_BYTES
+from fieldloom.operators.jobs import IDLE_MICROS, MAX_PENDING_BYTES
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -190,11 +190,17 @@ def admission_stream(moves: DataFrame, cap: int = MAX_PENDING_BYTES) -> DataFram
 
 
 def residency_stream(
-    events: DataFrame, keys: list[str], idle: str = "5 minutes", late: str = "10 minutes"
+    events: DataFrame, keys: list[str], idle: int = IDLE_MICROS, late: str = "10 minutes"
 ) -> DataFrame:
-    """Activity sessions, emitted once the watermark has passed their end."""
+    """Activity sessions, emitted once the watermark has passed their end.
+
+    As in the batch form, events exactly ``idle`` microseconds apart are two
+    sessions; session windows merge where they touch, so the gap is one less.
+    Events later than ``late`` are dropped by the watermark, and the query's
+    progress counts them (``numRowsDroppedByWatermark``).
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    grouped = timed.groupBy(*keys, F.session_window("ts", idle).alias("span"))
+    grouped = timed.groupBy(*keys, F.session_window("ts", f"{idle - 1} microseconds").alias("span"))
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")).select(
         *keys, F.col("span.start").alias("start_ts"), "last_ts", "n"
     )
