@@ -16,8 +16,11 @@ def first_answers(spark, sf_dir):
 
 
 def fence_sql(column: str) -> str:
-    fence = "(?s)^```[a-zA-Z]*\\s*\\n?(.*?)\\n?```\\s*$"
-    return f"case when regexp_matches(trim({column}),'{fence}') then regexp_extract(trim({column}),'{fence}',1) else {column} end"
+    whole = f"trim({column}, ' '||chr(9)||chr(10)||chr(13))"
+    inside = f"regexp_replace(substr({whole}, 4, length({whole})-6), '^[A-Za-z]*', '')"
+    inside = f"ltrim({inside}, ' '||chr(9)||chr(10)||chr(13))"
+    fenced = f"starts_with({whole}, '```') and ends_with({whole}, '```') and length({whole})>=6"
+    return f"case when {fenced} then case when ends_with({inside}, chr(10)) then {inside}[:-2] else {inside} end else {column} end"
 
 
 def answers_sql(source: str, name: str = "answers") -> str:

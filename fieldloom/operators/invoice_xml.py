@@ -104,10 +104,22 @@ def _count(matches: Column) -> Column:
     return F.coalesce(F.size(matches), F.lit(0))
 
 
+# An element within text: an empty tag, or a tag that is closed further on.
+_NESTED = "(?s)<([A-Za-z_][\\w.:-]*)(?:\\s[^<>]*)?(?:/>|>.*</\\1\\s*>)"
+
+
+def own_text(value: Column) -> Column:
+    """The text of an element before its first inner element."""
+    return F.when(value.rlike(_NESTED), F.substring_index(value, "<", 1)).otherwise(value)
+
+
 def _only_text(matches: Column) -> Column:
     """The stripped text of a single match; null when empty, absent or repeated."""
-    return F.when(_count(matches) == 1, F.nullif(ustrip(F.get(matches, 0)), F.lit("")))
+    return F.when(_count(matches) == 1, F.nullif(ustrip(own_text(F.get(matches, 0))), F.lit("")))
+
 
+# Fixed value: what the namespaces of an invoice have in common.
+_INVOICE_SPACES = "=\\s*[\"']urn:un:unece:uncefact:"
 
 # ---- safety checks ---------------------------------------------------------
 
@@ -230,6 +242,23 @@ def _outline_fault(outline: Column, rest: Column) -> Column:
     )
 
 
+def _foreign_renamed(text: Column) -> Column:
+    """The text with the elements of foreign namespaces under names that match nothing.
+
+    The parser matches local names; a prefix that the document binds to another
+    vocabulary than the invoice's must not lend its elements to it.
+    """
+    bound = F.regexp_extract_all(
+        text, F.lit("\\sxmlns:([^\\s=]+)\\s*=\\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0)
+    )
+    foreign = F.filter(bound, lambda b: ~b.rlike(_INVOICE_SPACES))
+    prefixes = F.transform(foreign, lambda b: F.regexp_extract(b, "xmlns:([^\\s=]+)", 1))
+    # A prefix with pattern characters is no name an XML parser takes.
+    names = F.filter(F.array_distinct(prefixes), lambda p: p.rlike("^[\\w-]+$"))
+    pattern = F.concat(F.lit("<(/?)(?:"), F.array_join(names, "|"), F.lit("):"))
+    return F.when(F.size(names) > 0, F.regexp_replace(text, pattern, F.lit("<$1foreign_"))).otherwise(text)
+
+
 def _with_root_tag(rows: DataFrame) -> DataFrame:
     """Adds root_tag: ``{namespace}name``, prefixes resolved on the root."""
     opening = f"(?s)^\\s*(?:<\\?.*?\\?>\\s*|<!--.*?-->\\s*)*(<{_ATTRIBUTES}>)"
@@ -289,7 +318,7 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
         ),
     )
     parsed = _with_root_tag(
-        outlined.withColumn("x", F.when(F.col("_fault").isNull(), F.from_xml(text, _SCHEMA, _OPTIONS)))
+        outlined.withColumn("x", F.when(F.col("_fault").isNull(), F.from_xml(_foreign_renamed(text), _SCHEMA, _OPTIONS)))
     )
     fault = F.coalesce(
         F.col("_fault"), F.when(F.col("x._corrupt_record").isNotNull(), F.lit("not well-formed"))
@@ -332,8 +361,8 @@ def _read_items(lines: Column) -> Column:
     texts = F.transform(
         matched,
         lambda m: F.struct(
-            F.when(F.size(m["names"]) == 1, ustrip(F.get(m["names"], 0))).alias("name"),
-            F.when(F.size(m["totals"]) == 1, ustrip(F.get(m["totals"], 0))).alias("total"),
+            F.when(F.size(m["names"]) == 1, ustrip(own_text(F.get(m["names"], 0)))).alias("name"),
+            F.when(F.size(m["totals"]) == 1, ustrip(own_text(F.get(m["totals"], 0)))).alias("total"),
         ),
     )
     amounts = F.transform(

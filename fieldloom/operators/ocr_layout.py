@@ -64,10 +64,9 @@ def boxes_to_pages(boxes: DataFrame) -> DataFrame:
     pages = boxes.groupBy(*PAGE).agg(
         F.array_sort(F.collect_list(box)).alias("boxes"), F.avg("conf").alias("confidence")
     )
-    cell = "struct<row int, x double, pos int, text string>"
     start = F.expr(
-        f"named_struct('row', 0, 'down', cast(null as double), 'h', cast(null as double), "
-        f"'cells', cast(array() as array<{cell}>))"
+        "named_struct('at', 0, 'down', cast(null as double), 'h', cast(null as double), "
+        "'starts', cast(array() as array<int>))"
     )
 
     def place(state, b):
@@ -76,28 +75,27 @@ def boxes_to_pages(boxes: DataFrame) -> DataFrame:
             <= F.lit(ROW_TOLERANCE) * F.greatest(b["h"], state["h"]),
             F.lit(False),
         )
-        row = F.when(joins, state["row"]).otherwise(state["row"] + 1)
-        placed = F.struct(
-            row.alias("row"),
-            b["x"].alias("x"),
-            F.size(state["cells"]).alias("pos"),
-            b["text"].alias("text"),
-        )
         return F.struct(
-            row.alias("row"),
+            (state["at"] + 1).alias("at"),
             F.when(joins, state["down"]).otherwise(b["down"]).alias("down"),
             F.when(joins, state["h"]).otherwise(b["h"]).alias("h"),
-            F.concat(state["cells"], F.array(placed)).alias("cells"),
+            F.when(joins, state["starts"])
+            .otherwise(F.concat(state["starts"], F.array(state["at"])))
+            .alias("starts"),
         )
 
-    cells = F.aggregate(F.col("boxes"), start, place, lambda s: F.array_sort(s["cells"]))
-    laid_out = pages.select(*PAGE, "confidence", cells.alias("cells"))
-    previous = lambda i: F.get(F.col("cells"), i - 1)["row"]
-    pieces = F.transform(
-        F.col("cells"),
-        lambda c, i: F.concat(
-            F.when(i == 0, F.lit("")).when(previous(i) == c["row"], F.lit(" ")).otherwise(F.lit("\n")),
-            c["text"],
-        ),
-    )
-    return laid_out.select(*PAGE, F.array_join(pieces, "").alias("text"), "confidence")
+    # The state keeps where rows start, not the boxes, which would be copied each time.
+    starts = F.aggregate(F.col("boxes"), start, place, lambda s: s["starts"])
+    ruled = pages.select(*PAGE, "confidence", "boxes", starts.alias("starts"))
+    boxes_, starts = F.col("boxes"), F.col("starts")
+
+    def row_text(first, k):
+        after = F.coalesce(F.get(starts, k + 1), F.size(boxes_))
+        cells = F.transform(
+            F.slice(boxes_, first + 1, after - first),
+            lambda b, i: F.struct(b["x"].alias("x"), i.alias("pos"), b["text"].alias("text")),
+        )
+        return F.array_join(F.transform(F.array_sort(cells), lambda c: c["text"]), " ")
+
+    text = F.array_join(F.transform(starts, row_text), "\n")
+    return ruled.select(*PAGE, text.alias("text"), "confidence")

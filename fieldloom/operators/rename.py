@@ -240,11 +240,13 @@ def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None
         *FAMILY,
         (F.col("number") - F.col("_rank")).alias("_place"),
         one.alias("_weight"),
-        zero.alias("_order"),
-        F.lit(None).cast("bigint").alias("ordinal"),
     )
     unsettled = requests.join(settled, ["batch_id", "ordinal"], "left_anti")
-    steps = cut_lineage(ranked)
+    # Contiguous names on disk all stand at one place: they count as one row.
+    steps = ranked.groupBy(*FAMILY, "_place").agg(F.sum("_weight").alias("_weight"))
+    steps = cut_lineage(steps).select(
+        *FAMILY, "_place", "_weight", zero.alias("_order"), F.lit(None).cast("bigint").alias("ordinal")
+    )
     waiting = cut_lineage(
         position(unsettled.select(*FAMILY, "ordinal"), FAMILY, "ordinal", "_place", **options)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import base_name, parent_dir
 from fieldloom.operators.ordered import position
+from fieldloom.session import cut_lineage
 
 
 def merge_outcomes(previous: DataFrame, results: DataFrame) -> DataFrame:
@@ -94,6 +95,7 @@ def undo_pages(batches: DataFrame) -> DataFrame:
     """
     keyed = batches.withColumns({"_all": F.lit(0), "_newest_first": -F.col("seq")})
     indexed = position(keyed, ["_all"], "_newest_first", "page").drop("_all", "_newest_first")
+    indexed = cut_lineage(indexed)  # three readers
     ids = indexed.select("page", "batch_id")
     older = ids.select((F.col("page") - 1).alias("page"), F.col("batch_id").alias("older"))
     newer = ids.select((F.col("page") + 1).alias("page"), F.col("batch_id").alias("newer"))
