@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.catalog.q_naming import naming_sql
-from fieldloom.catalog.q_pages import routed_pages
+from fieldloom.catalog.q_pages import ROUTED_SQL, routed_pages
 from fieldloom.catalog.q_responses import RESOLVE_SQL, both_attempts, first_answers, short_attempts
 from fieldloom.catalog.q_responses import answers_sql
 from fieldloom.catalog.q_xml import FROM_XML_SQL, mapped_documents
@@ -186,6 +186,55 @@ def xml_first_analysis(spark, sf_dir):
     )
 
 
+@query(
+    "plan1_pages_and_images",
+    "PIPE-1 PIPE-4",
+    oracle(
+        f""", {ANALYSIS_SQL}, {ROUTED_SQL.replace("routed as", "paged as")},
+counted as (select doc_id, count(*) n, string_agg(case when needs_ocr then cast(page_number as varchar) end, ',' order by page_number) ocr from paged group by doc_id),
+kinds as (select doc_id, doc_id%10=0 image, complete and doc_id%10<>0 alone, some_xml and doc_id%10<>0 some_xml from valued)
+select doc_id, case when not alone and doc_id%59=0 and not some_xml then 'failed' else 'done' end state,
+  case when alone or doc_id%59=0 then 'xml' when some_xml then 'xml_and_model' else 'model' end extraction_source,
+  case when image then 1 else coalesce(n, 0) end pages_total,
+  case when image then '1' when alone then '' else coalesce(ocr, '') end pages_ocr from kinds left join counted using (doc_id)""",
+        *_XML,
+        "v_calls",
+        "v_repairs",
+        "v_short",
+        "v_pages",
+    ),
+)
+def pages_and_images(spark, sf_dir):
+    documents, attached, calls = analysis_inputs(spark, sf_dir)
+    extension = F.when(F.col("doc_id") % 10 == 0, F.lit(".JPG")).otherwise(F.col("extension"))
+    analysed = analysis.analyse(
+        documents.withColumn("extension", extension), attached, calls, 1, 0, routed_pages(spark, sf_dir)
+    )
+    return analysed.select(
+        "doc_id", "state", "extraction_source", "pages_total", F.array_join("pages_ocr", ",").alias("pages_ocr")
+    )
+
+
+@query(
+    "str12_shortening_prompts",
+    "STR-12",
+    oracle(
+        f""", {ANALYSIS_SQL}
+select doc_id, 'seller: '||coalesce(seller,'null')||chr(10)||'product_summary: '||coalesce(product_summary,'null')||chr(10)||chr(10)||'{prompts.SHORTEN}' prompt
+from valued where not crashed and (seller is not null or product_summary is not null)""",
+        *_XML,
+        "v_calls",
+        "v_repairs",
+        "v_short",
+    ),
+)
+def shortening_prompts(spark, sf_dir):
+    documents, attached, calls = analysis_inputs(spark, sf_dir)
+    extracted = calls.filter("phase = 'extraction'")
+    analysed = analysis.analyse(documents, attached, extracted, max_repairs=1, short_repairs=0)
+    return prompts.pending_shortening(analysed, extracted).select("doc_id", "prompt")
+
+
 def prompt_states(spark, sf_dir):
     """Documents with pages and, where there is one, a first answer."""
     documents = pages.assemble_pages(routed_pages(spark, sf_dir))

@@ -107,6 +107,26 @@ def shorten_prompt(seller: Column, product: Column) -> Column:
     )
 
 
+def pending_shortening(analysed: DataFrame, calls: DataFrame) -> DataFrame:
+    """The shortening prompt of every analysed document that has none answered yet.
+
+    Documents without seller and product have nothing to shorten, and those
+    saved by their XML after a failed call are not sent again.
+    """
+    tried = calls.filter(F.col("phase") == "shortening").select("doc_id").distinct()
+    given = F.col("seller").isNotNull() | F.col("product_summary").isNotNull()
+    return (
+        analysed.filter(F.col("shortenable") & given)
+        .join(tried, "doc_id", "left_anti")
+        .select(
+            "doc_id",
+            F.lit("shortening").alias("phase"),
+            F.lit(0).alias("attempt"),
+            shorten_prompt(F.col("seller"), F.col("product_summary")).alias("prompt"),
+        )
+    )
+
+
 def pending_prompts(states: DataFrame) -> DataFrame:
     """The next prompt of every document that still needs an answer.
 

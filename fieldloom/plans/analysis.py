@@ -27,18 +27,30 @@ def _fact(name: str) -> Column:
     return F.col(f"facts.{name}")
 
 
+def _page_counters(pages: DataFrame) -> DataFrame:
+    """Pages of each document and the numbers of those that needed recognition."""
+    return pages.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("_pages"),
+        F.array_sort(F.collect_list(F.when(F.col("needs_ocr"), F.col("page_number").cast("long")))).alias("_ocr"),
+    )
+
+
 def analyse(
     documents: DataFrame,
     attachments: DataFrame,
     calls: DataFrame,
     max_repairs: int = 1,
     short_repairs: int = 1,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """One proposal row per document.
 
     ``documents``: doc_id, extension, shorten. ``attachments``: doc_id,
     attachment_name, revision_no, content. ``calls``: doc_id, phase, attempt,
-    response, finish_reason, error.
+    response, finish_reason, error. ``pages``: routed pages (``route_pages``);
+    with them the result has pages_total and pages_ocr. Documents that XML
+    answers alone are not read, so no page of theirs counts as recognised. An
+    image (extension .jpg or .jpeg) is one recognised page and holds no XML.
 
     Discovery and the calls are each brought to one row per document; the rest
     is projection. Responses of documents that XML answers alone are blanked
@@ -52,6 +64,13 @@ def analyse(
         .join(discovered, "doc_id")
         .join(wide, "doc_id", "left")
     )
+    image = F.lower("extension").isin(".jpg", ".jpeg")
+    found = [c for c in discovered.columns if c not in ("doc_id", "xml_status")]
+    joined = joined.withColumns({c: F.when(~image, F.col(c)) for c in found}).withColumn(
+        "xml_status", F.when(image, F.lit("none")).otherwise(F.col("xml_status"))
+    )
+    if pages is not None:
+        joined = joined.join(_page_counters(pages), "doc_id", "left")
     complete = merge.supplies_filename(_fact)
     routed = settle(
         joined,
@@ -116,6 +135,15 @@ def analyse(
     )
     proposals = naming.propose_filenames(shortened, F.col("extension"))
     failed = F.col("state") == "failed"
+    counters = []
+    if pages is not None:
+        nothing = F.array().cast("array<bigint>")
+        total = F.when(image, 1).otherwise(F.coalesce("_pages", F.lit(0))).cast("bigint")
+        read = F.when(image, F.array(F.lit(1).cast("bigint"))).when(F.col("complete"), nothing)
+        counters = [
+            total.alias("pages_total"),
+            read.otherwise(F.coalesce("_ocr", nothing)).alias("pages_ocr"),
+        ]
     return proposals.select(
         "doc_id",
         "state",
@@ -136,6 +164,8 @@ def analyse(
         "missing_fields",
         "naming_warnings",
         "requires_review",
+        (F.col("shorten") & ~F.col("fallback_used") & (F.col("state") == "done")).alias("shortenable"),
+        *counters,
     )
 
 
