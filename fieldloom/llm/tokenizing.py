@@ -68,6 +68,18 @@ def encode_parts(path: str, parts: list[bytes], between: str) -> tuple[np.ndarra
 _MARKS = b".,;:!?&*#$%|)]}>\"+-=_/~@^"
 
 
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+_PROBES = "a the word größe élève niño ÿ øre straßenbahnhaltestelle".split()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level BPE: printable Latin-1 stands for
+    itself, and the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that lower-cases and drops white space.
 
@@ -80,12 +92,33 @@ class WordEncoder:
     def __init__(self, path: str, dtype: str, special: bytes = b"<|"):
         self.path, self.dtype, self.special = path, dtype, special
         self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+        self.pieces = tokenizer(path).model.tokenize
+        # Words of plain letters are one piece to the model, if the tokenizer is of this family.
+        self.simple = all(
+            [t.id for t in self.pieces(self._shown(w))] == tokenizer(path).encode(w, add_special_tokens=False).ids
+            for w in _PROBES
+        )
+
+    def _shown(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        learnt: dict[bytes, bytes] = {}
+        if self.simple:
+            pieces, dtype, rest = self.pieces, self.dtype, []
+            for w in words:
+                shown = w.decode("utf-8", "replace")
+                if _SIMPLE.fullmatch(shown):
+                    learnt[w] = np.array([t.id for t in pieces(self._shown(shown))], dtype).tobytes()
+                else:
+                    rest.append(w)
+            words = rest
         ids, counts = encode_parts(self.path, words, " ")
         data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         ends = (np.cumsum(counts) * width).tolist()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        learnt.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+        return learnt
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
