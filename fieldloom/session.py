@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,27 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to Python workers that would not find it by themselves.
+
+    They find it where it is installed, on PYTHONPATH or in the working folder.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or root in map(os.path.realpath, filter(None, places)):
+        return
+    name = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="package-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
+    _shipped.add(context.applicationId)
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
