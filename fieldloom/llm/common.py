@@ -11,13 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.session import checkpoint_root
+from fieldloom.session import checkpoint_root, ship_package
 
 #: Rows per Arrow batch at most; long texts end a batch earlier (BATCH_BYTES).
 BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -19,7 +19,9 @@ from fieldloom.llm.common import as_bytes, fold, slices
 
 UNDETERMINED = "und"
 FOLDS, HELD_FOLD = 4, 2
-#: The bounded training sample: documents of each language, windows of each, bytes of a window.
+#: The bounded training sample: the most frequent languages that are learned, documents of
+#: each, windows of each, bytes of a window.
+LANGUAGES = 200
 DOCS, WINDOWS, LENGTH = 150, 8, 64
 HIDDEN, STEPS = 12, 300
 #: The pipeline rejects texts whose best language has less than this probability.
@@ -50,9 +52,12 @@ def fit(docs: DataFrame, per_language: int = DOCS, steps: int = STEPS) -> tuple[
     """A network and its languages, from documents outside the held-out fold.
 
     Of each language, the ``per_language`` documents of the smallest hashes of
-    doc_id and text give WINDOWS windows each: a bounded sample.
+    doc_id and text give WINDOWS windows each; of over LANGUAGES languages the
+    most frequent are learned. So the sample is bounded.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    known = known.where(F.col("lang").isin([r.lang for r in frequent.collect()]))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     chosen = (
         known.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
