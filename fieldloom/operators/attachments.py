@@ -94,6 +94,7 @@ def content_cases(fact, shown: Column) -> list[tuple]:
 
     ``fact`` gives xml_fault, root_tag, n_profiles and profile_id by name.
     """
+    # The texts of the messages below are results that must come out the same.
     return [
         (
             fact("xml_fault") == "oversized",
@@ -139,6 +140,7 @@ def classify(counted: DataFrame) -> DataFrame:
     fact = lambda name: F.col(f"facts.{name}")
     shown = quoted_echo(fact("attachment_name"))
     no_text = F.lit(None).cast("string")
+    # The texts of the messages below are results that must come out the same.
     broken = fact("xml_fault").isNotNull()
     cases = [
         (F.col("n_names").isNull(), "none", no_text),

@@ -45,6 +45,7 @@ def fit_hosts(pairs: DataFrame) -> DataFrame:
     memory, disk = F.col("memory_gb").cast("double"), F.col("free_disk_gb").cast("double")
     size = F.col("size_gb").cast("double")
     installed = F.coalesce(F.col("installed"), F.lit(False))
+    # The texts of the messages below are results that must come out the same.
     reasons = F.array_compact(
         F.array(
             F.when(

@@ -11,6 +11,7 @@ from fieldloom.functions.text import FIELD_TEXT_LIMIT
 DOMINANCE_RATIO = 2
 COMBINE_SEPARATOR = " + "
 
+# The texts of the messages below are results that must come out the same.
 _FALLBACK = "; falling back to AI extraction"
 NO_NAME_WARNING = "product_summary: multiple XML line items include one with no usable name" + _FALLBACK
 NO_AMOUNT_WARNING = (

@@ -51,6 +51,7 @@ def source_label(source: Column, pages_ocr: Column) -> Column:
 
 def xml_detection(status: Column, n_fields: Column, profile_id: Column) -> Column:
     """What embedded XML was found; null when none was."""
+    # The texts of the messages below are results that must come out the same.
     return (
         F.when(
             status == "supported",

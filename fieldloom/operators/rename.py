@@ -73,6 +73,7 @@ def preflight(requests: DataFrame, files: DataFrame) -> DataFrame:
     )
     checked = requests.join(sources, ["dir", "source_name"], "left")
     path = F.concat_ws("/", "dir", "source_name")
+    # The texts of the messages below are results that must come out the same.
     problem = (
         F.when(
             ~is_plain_filename(F.col("desired_filename")),

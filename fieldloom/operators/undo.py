@@ -43,6 +43,7 @@ def validate_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
     joined = entries.join(at_destination, "destination_path", "left").join(
         at_source, "source_path", "left"
     )
+    # The texts of the messages below are results that must come out the same.
     problem = (
         F.when(
             F.col("_there").isNull(), F.concat("destination_path", F.lit(": no longer exists"))

@@ -67,6 +67,7 @@ def with_format(documents: DataFrame, content: str = "content") -> DataFrame:
 def reject_reason(byte_len: Column, fmt: Column, pages: Column, width: Column, height: Column) -> Column:
     """The first rule a document breaks, or null."""
     pdf, jpeg = fmt == "pdf", fmt == "jpeg"
+    # The texts of the messages below are results that must come out the same.
     return (
         F.when(byte_len > MAX_DOCUMENT_BYTES, F.lit(f"upload exceeds the {MAX_DOCUMENT_BYTES}-byte limit"))
         .when(fmt.isNull(), F.lit("upload must be a PDF or JPEG file"))

@@ -38,6 +38,11 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
 
     ``previous`` is the status before the trigger, so a consumer can turn the
     rows into +1/-1 changes. A job that has ended emits nothing more.
+
+    Events of a trigger are applied by (ts, seq); triggers are applied as they
+    come. The source must deliver a job's events in order, as a log with one
+    partition per job does. Where it does not, ``newest_generation_stream``
+    gives the state that does not depend on the order of arrival.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
