@@ -12,7 +12,9 @@ from fieldloom.catalog.q_xml import FROM_XML_SQL, mapped_documents
 from fieldloom.catalog.registry import query
 from fieldloom.catalog.views import oracle, spark_view, xml_documents
 from fieldloom.operators import merge, pages, prompts, responses
+from fieldloom.operators.evaluation import FAILURE_MARKER
 from fieldloom.plans import analysis
+from fieldloom.plans.evaluation import evaluate_modes
 
 _XML = ("v_head", "v_lines")
 
@@ -235,6 +237,39 @@ def shortening_prompts(spark, sf_dir):
     return prompts.pending_shortening(analysed, extracted).select("doc_id", "prompt")
 
 
+@query(
+    "plan5_evaluation_modes",
+    "PIPE-5",
+    oracle(
+        f""", {ANALYSIS_SQL},
+lab as (select doc_id, bool_or(field='seller') hs, max(case when field='seller' then expected end) l_seller,
+  bool_or(field='gross_total') ht, max(case when field='gross_total' then expected end) l_total, bool_or(expected is null) hn from v_labels group by doc_id),
+mode_runs as (select 'xml_first' model_id, doc_id, seller, gross_total, crashed and not some_xml crashed, contains(warn, '{FAILURE_MARKER}') marked from valued
+  union all select 'text_only', doc_id, case when doc_id%59<>0 then f_seller end, case when doc_id%59<>0 then f_total end, doc_id%59=0,
+    doc_id%59<>0 and contains(coalesce(resolved_warnings,''), '{FAILURE_MARKER}') from resolved),
+judged2 as (select m.model_id, m.crashed or coalesce(m.marked, false) failed, coalesce(hn,false) hn,
+  case when not coalesce(hs,false) then null when crashed then false when seller is null or l_seller is null then seller is null and l_seller is null
+    else regexp_matches(lower(seller), '(^|[^0-9a-z_#])'||lower(l_seller)||'($|[^0-9a-z_])') end ms,
+  case when not coalesce(ht,false) then null when crashed then false when gross_total is null or l_total is null then gross_total is null and l_total is null
+    else gross_total = cast(l_total as decimal(18,2)) end mt,
+  not crashed and ((coalesce(hs,false) and l_seller is null and seller is not null) or (coalesce(ht,false) and l_total is null and gross_total is not null)) invented
+  from mode_runs m left join lab using (doc_id))
+select model_id, count(*) runs, round(avg(ms::int),9) accuracy_seller, round(avg(mt::int),9) accuracy_gross_total, round(avg(failed::int),9) failure_rate,
+  round(avg(case when hn then invented::int end),9) hallucination_rate from judged2 group by model_id""",
+        *_XML,
+        "v_calls",
+        "v_repairs",
+        "v_short",
+        "v_labels",
+    ),
+)
+def evaluation_modes(spark, sf_dir):
+    labels = spark_view(spark, sf_dir, "v_labels")
+    report = evaluate_modes(*analysis_inputs(spark, sf_dir), labels, max_repairs=1, short_repairs=0)
+    rates = ("accuracy_seller", "accuracy_gross_total", "failure_rate", "hallucination_rate")
+    return report.select("model_id", "runs", *[F.round(n, 9).alias(n) for n in rates])
+
+
 def prompt_states(spark, sf_dir):
     """Documents with pages and, where there is one, a first answer."""
     documents = pages.assemble_pages(routed_pages(spark, sf_dir))
