@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import as_bytes, fold, slices, written
-from fieldloom.llm.packing import BLOCK_BYTES, group_of, group_slices, pack, unpack, word_hashes
+from fieldloom.llm.packing import group_of, group_slices, pack, unpack, word_hashes
 
 DISCOUNT = 0.75
+#: Text of a block: its walk takes some twenty times as much memory.
+BLOCK_BYTES = 9 << 20
 FOLDS, HELD_FOLD = 10, 0
 #: Keys counted in one group, about.
 GROUP_KEYS = 1_500_000
