@@ -69,6 +69,20 @@ def anchors(templates: dict[str, str]) -> list[str]:
     return sorted(found)
 
 
+def phrase_pattern(templates: dict[str, str]) -> str:
+    """A pattern that every text with a shingle of a template matches: two of its words in a row."""
+    pairs: set[tuple[str, ...]] = set()
+    for text in templates.values():
+        words = _words(text)
+        for i in range(max(1, len(words) - SHINGLE + 1)):
+            shingle = words[i : i + SHINGLE]
+            own = list(zip(shingle, shingle[1:])) or [tuple(shingle)]
+            if shingle and not pairs & set(own):
+                pairs.add(max(own, key=lambda pair: len("".join(pair))))
+    listed = "|".join("[^A-Za-z0-9]+".join(pair) for pair in sorted(pairs))
+    return f"(?i)(?<![A-Za-z0-9])(?:{listed})(?![A-Za-z0-9])"
+
+
 def _shingles(words: Column) -> Column:
     """Distinct hashes of the five-word shingles; shorter windows are one."""
     places = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
@@ -127,11 +141,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
         least, window = len({tuple(_words(text)[i : i + SHINGLE]) for i in range(max(1, n - SHINGLE + 1))}), window_of(n)
         bands[window] = max(bands.get(window, 0), bands_for(window, least))
     marks = anchors(templates)
-    # Texts and windows without any anchor cannot hold a shingle of a template.
+    # Texts without any of the phrases, and windows without any anchor, cannot hold a shingle.
     words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
     rows = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .where(F.col("text").rlike("(?i)" + "|".join(marks)))
+        .where(F.col("text").rlike(phrase_pattern(templates)))
         .select("doc_id", words.alias("words"))
     )
     starts = [_starts(window) for window in sorted(bands)]
