@@ -197,13 +197,15 @@ def near_duplicates(
     ``docs`` are left aside. An empty table gives an empty table.
     """
     prints = written(fingerprints(docs, words), "prints")
-    distinct = written(prints.select("bits").distinct(), "distinct")
-    roots = components(close_links(distinct, distance, tile))
-    named = prints.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
+    # Equal fingerprints are one node, so a large group of copies is one row from here on.
+    distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(close_links(distinct.select("bits"), distance, tile))
+    rooted = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
         "root", F.coalesce("root", "bits")
     )
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select(
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("bits", "component_id")
+    return prints.join(named, "bits").select(
         "doc_id",
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         "component_id",
