@@ -63,26 +63,36 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.known: dict[tuple[str, int], int] = {}
         self.values: list[str] = []
         self.hashed, self.flags = array("Q"), bytearray()
 
-    def _learn(self, word: bytes) -> list[int]:
-        shown = word.decode("utf-8", "replace")
-        found, numbers = _PART.findall(shown), []
-        for i, part in enumerate(found):
+    def _number(self, low: str, flags: int) -> bytes:
+        at = self.known.setdefault((low, flags), len(self.known))
+        if at == len(self.values):
+            self.values.append(low)
+            self.hashed.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")))
+            self.flags.append(flags)
+        return at.to_bytes(4, "little")
+
+    def _learn(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?")
+        bare = core.decode("utf-8", "replace")
+        if bare.isalpha():  # most words: letters, then marks
+            found, ended = (bare,), bool(word[len(core) :].strip(b",;"))
+        else:
+            shown = word.decode("utf-8", "replace")
+            found, ended = _PART.findall(shown), bool(_END.search(shown))
+        numbers = []
+        for i, part in enumerate(found, 1):
             low = part.lower()
-            flags = IS_NUMBER * (part[0].isdigit() or low in _NUMBERS) + IS_UNIT * (low in _UNITS)
-            flags += IS_TITLED * (len(part) > 1 and part[0].isupper() and part[1:].islower())
-            flags += IS_END * (i == len(found) - 1 and bool(_END.search(shown)))
-            at = self.known.setdefault((low, flags), len(self.known))
-            if at == len(self.values):
-                self.values.append(low)
-                self.hashed.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")))
-                self.flags.append(flags)
-            numbers.append(at)
-        return numbers
+            flags = IS_NUMBER if part[0].isdigit() or low in _NUMBERS else 0
+            flags |= IS_UNIT if low in _UNITS else 0
+            flags |= IS_TITLED if low != part and len(part) > 1 and part.istitle() else 0
+            flags |= IS_END if ended and i == len(found) else 0
+            numbers.append(self._number(low, flags))
+        return b"".join(numbers)
 
     def read(self, texts: list[bytes]) -> list[np.ndarray]:
         """The token numbers of each text; they hold until the next call."""
@@ -91,10 +101,9 @@ class Reader:
         known, rows = self.parts, []
         for text in texts:
             words = text.split()
-            for w in set(words):
-                if w not in known:
-                    known[w] = self._learn(w)
-            rows.append(np.array([n for w in words for n in known[w]], np.int64))
+            for w in set(words).difference(known):
+                known[w] = self._learn(w)
+            rows.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
         return rows
 
 
