@@ -3,17 +3,20 @@
 Numbers, number words, units after a number and names become typed slots, so a
 question with other values has the same template. Windows of eight template
 tokens are joined by hash. The windows a document shares with an item are then
-put on one alignment, and a slot value of the item must stand for one value in
-the document. A fixed bitmap of the items' window
+put on one alignment. Within a run, or within the windows that count as a share,
+a slot value of the item must stand for one value in the document; other windows
+of the alignment do not matter. A fixed bitmap of the items' window
 hashes keeps the windows of clean text out of the join; it has no false
 negatives, and its size does not depend on the data.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ RUN = 13
 SHARE = 0.5
 #: Bits of the bitmap, as a power of two (2 MB).
 BITMAP_BITS = 24
+#: Choices of values that are tried on one alignment to count its consistent windows.
+CHOICES = 256
 REMEMBERED = 300_000
 
 # Number words and units (fixed values).
@@ -137,11 +142,16 @@ def _slots(row: np.ndarray, kinds: np.ndarray, reader: Reader, at: int, width: i
     return [f"{i}:{reader.values[row[at + i]]}" for i in range(width) if kinds[at + i] != WORD]
 
 
-_WINDOW_ROW = "id long, n_tokens long, n_windows long, at long, width long, hash long, slots array<string>"
+_WINDOW_ROW = "id long, text_key long, n_tokens long, n_windows long, at long, width long, hash long, slots array<string>"
 _ARROW = pa.schema(
-    [("id", pa.int64()), ("n_tokens", pa.int64()), ("n_windows", pa.int64()), ("at", pa.int64()),
+    [("id", pa.int64()), ("text_key", pa.int64()), ("n_tokens", pa.int64()), ("n_windows", pa.int64()), ("at", pa.int64()),
      ("width", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
 )
+_LEAK_ROW = "doc_id long, item_id long, n_windows long, matched long, run long, exact boolean"
+_LEAK_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("matched", pa.int64()),
+     ("run", pa.int64()), ("exact", pa.bool_())]
+)
 _READER: list[Reader] = []
 
 
@@ -154,11 +164,12 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
         reader = _READER[0]
         for batch in slices(batches, "text"):
             out = []
-            rows = reader.read(as_bytes(batch.column("text")))
+            texts = as_bytes(batch.column("text"))
+            rows = reader.read(texts)
             hashes = np.array(reader.hashed, np.uint64)
             flags = np.frombuffer(bytes(reader.flags), np.uint8)
-            for one, row in zip(batch.column(key).to_pylist(), rows):
-                kinds = _kinds(flags[row])
+            for one, text, row in zip(batch.column(key).to_pylist(), texts, rows):
+                kinds, text_key = _kinds(flags[row]), None
                 for width in widths or (min(WINDOW, len(row)),):
                     if width == 0:
                         continue
@@ -168,14 +179,16 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
                         bit = (found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                         hit = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7) & 1)
                         at, found = at[hit], found[hit]
+                    if len(at) and text_key is None:
+                        text_key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     for a, h in zip(at.tolist(), found.astype(np.int64).tolist()):
-                        out.append((one, len(row), n, a, width, h, _slots(row, kinds, reader, a, width)))
+                        out.append((one, text_key, len(row), n, a, width, h, _slots(row, kinds, reader, a, width)))
                     if not widths and n and at[0] == 0 and flags[row[0]] & IS_TITLED and kinds[0] == WORD:
                         # Within a document the item's first word may follow a sentence without end.
                         kinds = np.concatenate(([NAME], kinds[1:]))
                         first = window_hashes(hashes[row[:width]], kinds[:width], width)[1]
                         for h in first.astype(np.int64).tolist():
-                            out.append((one, len(row), n, 0, width, h, _slots(row, kinds, reader, 0, width)))
+                            out.append((one, text_key, len(row), n, 0, width, h, _slots(row, kinds, reader, 0, width)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW
@@ -196,6 +209,81 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _longest(places: list[int], pairs: dict[int, tuple[str, str]], width: int) -> int:
+    """Tokens of the longest run of matched windows in which each item value stands for one value."""
+    most, stands, start, last = 0, {}, 0, None
+    for at in places:
+        if last is None or at > last + 1:  # windows that do not follow each other are two runs
+            stands, start, fresh = {}, at, at
+        else:
+            fresh = at + width - 1
+        for place in range(fresh, at + width):
+            if place in pairs:
+                value, shown = pairs[place]
+                old, seen = stands.get(value, (shown, place))
+                if old != shown:
+                    start = max(start, seen + 1)
+                stands[value] = (shown, place)
+            most = max(most, place + 1 - start)
+        last = at
+    return most if most >= width else 0
+
+
+def _mappings(pairs: dict[int, tuple[str, str]]) -> Iterator[dict[str, str]]:
+    """Choices of one value in the document for each value of the item.
+
+    All of them up to CHOICES; beyond that the most frequent values, and equal values.
+    """
+    counts: dict[str, dict[str, int]] = {}
+    for value, shown in pairs.values():
+        options = counts.setdefault(value, {})
+        options[shown] = options.get(shown, 0) + 1
+    total = 1
+    for options in counts.values():
+        total = min(total * len(options), CHOICES + 1)
+    if total <= CHOICES:
+        for chosen in product(*counts.values()):
+            yield dict(zip(counts, chosen))
+    else:
+        often = {v: max(o, key=lambda d: (o[d], d == v, d)) for v, o in counts.items()}
+        yield often
+        yield {v: v if v in o else often[v] for v, o in counts.items()}
+
+
+def _judge(run: int, share: float):
+    """mapInArrow function over alignments: those that are leaks."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                width, pairs = row["width"], {}
+                for window in row["found"]:
+                    for s, d in zip(window["slots"], window["doc_slots"]):
+                        place, _, value = s.partition(":")
+                        pairs[window["at"] + int(place)] = (value, d.partition(":")[2])
+                places = sorted({window["at"] for window in row["found"]})
+                longest = _longest(places, pairs, width)
+                matched = max(
+                    sum(
+                        all(chosen[pairs[p][0]] == pairs[p][1] for p in range(at, at + width) if p in pairs)
+                        for at in places
+                    )
+                    for chosen in _mappings(pairs)
+                )
+                matched = max(matched, longest - width + 1 if longest else 0)
+                least = math.ceil(row["n_windows"] * share)
+                if longest >= min(run, row["n_tokens"]) or matched >= max(least, 1):
+                    exact = all(s == d for s, d in pairs.values())
+                    out.append((row["doc_id"], row["item_id"], row["n_windows"], matched, longest, exact))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), _LEAK_ARROW.types)], schema=_LEAK_ARROW
+                )
+
+    return judge
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -205,14 +293,15 @@ def leaks(
     """Documents (doc_id, text) that hold an item (item_id, text): one row per pair.
 
     Columns doc_id, item_id, n_windows (windows of the item), matched (of them
-    found on the best alignment), run (longest run of matched tokens), exact
-    (whether all slot values agree). A pair is a leak if, on one alignment with
-    consistent slots, a run has ``run`` tokens (all of a shorter item), or
-    ``share`` of the item's windows are found. Items of under eight tokens are
-    one window. Items without words enough (numbers only, empty, null) match
-    nothing. Null and empty documents match nothing; rows without an id are
-    left out, as a pair could not name them; repeated rows count once. Other
-    columns are left aside.
+    found with consistent slots on the best alignment), run (longest run of
+    matched tokens with consistent slots), exact (whether all slot values of the
+    alignment agree). A pair is a leak if, on one alignment, a run with
+    consistent slots has ``run`` tokens (all of a shorter item), or ``share`` of
+    the item's windows are found with consistent slots. Items of under eight
+    tokens are one window. Items without words enough (numbers only, empty, null)
+    match nothing. Null and empty documents match nothing; rows without an id are
+    left out, as a pair could not name them; repeated rows count once, and texts
+    that share an id are judged apart. Other columns are left aside.
     """
     items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
     wanted = written(items.mapInArrow(_windows("item_id", None, None), _WINDOW_ROW), "items")
@@ -220,47 +309,18 @@ def leaks(
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     found = rows.mapInArrow(_windows("doc_id", widths or (WINDOW,), _bitmap(wanted)), _WINDOW_ROW)
     found = found.select(
-        F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")
-    )
-    wanted = wanted.withColumnRenamed("id", "item_id").distinct()
-    hits = found.join(wanted, "hash").select(
-        "doc_id", "item_id", "n_tokens", "n_windows", "at", "width", (F.col("doc_at") - F.col("at")).alias("shift"),
-        F.arrays_zip(F.col("slots").alias("s"), F.col("doc_slots").alias("d")).alias("pairs"),
+        F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), "hash",
+        F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"),
     )
+    wanted = wanted.withColumnRenamed("id", "item_id").distinct()
     # An item has few windows: the windows of one alignment are a bounded list.
-    hits = hits.groupBy("doc_id", "item_id", "n_tokens", "n_windows", "shift").agg(
-        F.array_sort(F.collect_set(F.struct("at", "width"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-    )
-    # Values stand behind their place in the window; the place itself is the same on both sides.
-    value = lambda x: F.substring_index(x, ":", -1)
-    bare = F.array_distinct(
-        F.transform("pairs", lambda p: F.struct(value(p["s"]).alias("s"), value(p["d"]).alias("d")))
-    )
-    consistent = F.size(F.array_distinct(F.col("bare.s"))) == F.size("bare")
-    width = F.col("places")[0]["width"]
-    runs = F.aggregate(
-        "places",
-        F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("most")),
-        lambda state, p: F.struct(
-            p["at"].alias("last"),
-            F.when(p["at"] == state["last"] + 1, state["now"] + 1).otherwise(1).cast("long").alias("now"),
-            F.greatest(
-                state["most"], F.when(p["at"] == state["last"] + 1, state["now"] + 1).otherwise(1)
-            ).cast("long").alias("most"),
-        ),
-    )["most"]
-    judged = (
-        hits.withColumn("bare", bare)
-        .where(consistent)
-        .withColumn("matched", F.size("places").cast("long"))
-        .withColumn("run", runs + width - 1)
-        .withColumn("exact", F.forall("bare", lambda p: p["s"] == p["d"]))
-        .where(
-            (F.col("run") >= F.least(F.lit(run).cast("long"), "n_tokens"))
-            | (F.col("matched") >= F.ceil(F.col("n_windows") * F.lit(share)))
-        )
+    hits = (
+        found.join(wanted, "hash")
+        .withColumn("shift", F.col("doc_at") - F.col("at"))
+        .groupBy("doc_id", "doc_key", "item_id", "text_key", "n_tokens", "n_windows", "width", "shift")
+        .agg(F.collect_set(F.struct("at", "slots", "doc_slots")).alias("found"))
     )
+    judged = hits.mapInArrow(_judge(run, share), _LEAK_ROW)
     best = F.max(F.struct("matched", "run", "exact", "n_windows"))
     return (
         judged.groupBy("doc_id", "item_id")

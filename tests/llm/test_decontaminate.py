@@ -75,3 +75,19 @@ def test_whole_table_against_word_runs(spark):
             if (d.doc_id, i.item_id) in pairs:
                 assert own8 & long[8][i.item_id]
     assert pairs
+
+
+def test_a_long_run_counts_whatever_the_other_windows_say(make, items):
+    mixed = ITEMS[0][1].replace("at 7", "at 9")  # pairs (7, 9) and (7, 7), far apart
+    # A run of under RUN tokens on each side of every change, and under half of the windows.
+    broken = ITEMS[1][1].replace("jumps", "leaps").replace("runs", "goes")
+    rows = decontaminate.leaks(make([{"doc_id": 1, "text": mixed}, {"doc_id": 2, "text": broken}]), items).collect()
+    # From the token after the first value, the seventh, to the end.
+    n = len(re.findall(r"\w+", mixed))
+    assert [(r.doc_id, r.item_id, r.run, r.exact) for r in rows] == [(1, 1, n - 7, False)]
+
+
+def test_texts_that_share_an_id_are_judged_apart(make, items):
+    one = ITEMS[0][1]
+    texts = [(1, one.replace("7", "9")), (1, one.replace("7", "8")), (2, one), (2, "other")]
+    assert found(make, items, texts) == [(1, 1, False), (2, 1, True)]
