@@ -2,7 +2,8 @@
 
 Numbers, number words, units after a number and names become typed slots, so a
 question with other values has the same template. Windows of eight template
-tokens are joined by hash. The windows a document shares with an item are then
+tokens are joined by hash; each window has a second hash of the tokens
+themselves, by which exact copies meet however few words they hold. The windows a document shares with an item are then
 put on one alignment. Within a run, or within the windows that count as a share,
 a slot value of the item must stand for one value in the document; other windows
 of the alignment do not matter. A fixed bitmap of the items' window
@@ -54,6 +55,8 @@ UNITS = (
 
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _SLOT = np.array([mark * 0x9E3779B97F4A7C15 % 2**64 for mark in (0, 11, 12, 13)], np.uint64)
+#: Sets the hashes of tokens apart from those of templates.
+_TOKENS = np.uint64(0xD6E8FEB86659FD93)
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNITS)
 _PART = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’\-][^\W\d_]+)*|[%$€£]")
 _END = re.compile(r"[.!?…:]\W*$")
@@ -123,18 +126,36 @@ def _kinds(flags: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def window_hashes(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of a text's windows that hold words enough."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    marks = np.where(kinds == WORD, hashes, _SLOT[kinds])
-    total = np.zeros(n, np.uint64)
-    for i in range(width):
-        total = total * np.uint64(0x100000001B3) + (marks[i : i + n] ^ (total >> np.uint64(29)))
+def _rolled(marks: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each stretch of ``width`` marks."""
+    n = len(marks) - width + 1
+    total = np.zeros(max(n, 0), np.uint64)
+    if n > 0:
+        for i in range(width):
+            total = total * np.uint64(0x100000001B3) + (marks[i : i + n] ^ (total >> np.uint64(29)))
+    return total ^ np.uint64(width)
+
+
+def rich_windows(kinds: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the windows that hold words enough for a template."""
+    if len(kinds) < width:
+        return np.zeros(0, np.int64)
     words = np.concatenate(([0], np.cumsum(kinds == WORD)))
-    enough = np.flatnonzero(words[width:] - words[:-width] >= min(LEAST_WORDS, width))
-    return enough, total[enough] ^ np.uint64(width)
+    return np.flatnonzero(words[width:] - words[:-width] >= min(LEAST_WORDS, width))
+
+
+def window_hashes(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and template hashes of a text's windows that hold words enough."""
+    enough = rich_windows(kinds, width)
+    if not len(enough):
+        return enough, np.zeros(0, np.uint64)
+    return enough, _rolled(np.where(kinds == WORD, hashes, _SLOT[kinds]), width)[enough]
+
+
+def token_hashes(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all windows by the tokens themselves, slot or not."""
+    found = _rolled(hashes, width)
+    return np.arange(len(found)), found ^ _TOKENS
 
 
 def _slots(row: np.ndarray, kinds: np.ndarray, reader: Reader, at: int, width: int) -> list[str]:
@@ -142,10 +163,10 @@ def _slots(row: np.ndarray, kinds: np.ndarray, reader: Reader, at: int, width: i
     return [f"{i}:{reader.values[row[at + i]]}" for i in range(width) if kinds[at + i] != WORD]
 
 
-_WINDOW_ROW = "id long, text_key long, n_tokens long, n_windows long, at long, width long, hash long, slots array<string>"
+_WINDOW_ROW = "id long, text_key long, n_tokens long, n_windows long, n_rich long, at long, rich boolean, width long, hash long, slots array<string>"
 _ARROW = pa.schema(
-    [("id", pa.int64()), ("text_key", pa.int64()), ("n_tokens", pa.int64()), ("n_windows", pa.int64()), ("at", pa.int64()),
-     ("width", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
+    [("id", pa.int64()), ("text_key", pa.int64()), ("n_tokens", pa.int64()), ("n_windows", pa.int64()), ("n_rich", pa.int64()),
+     ("at", pa.int64()), ("rich", pa.bool_()), ("width", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
 )
 _LEAK_ROW = "doc_id long, item_id long, n_windows long, matched long, run long, exact boolean"
 _LEAK_ARROW = pa.schema(
@@ -170,25 +191,35 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
             flags = np.frombuffer(bytes(reader.flags), np.uint8)
             for one, text, row in zip(batch.column(key).to_pylist(), texts, rows):
                 kinds, text_key = _kinds(flags[row]), None
+                if not widths and (kinds == NUMBER).all():
+                    continue
                 for width in widths or (min(WINDOW, len(row)),):
-                    if width == 0:
+                    if width == 0 or width > len(row):
                         continue
-                    at, found = window_hashes(hashes[row], kinds, width)
-                    n = len(found)
-                    if bitmap is not None:
-                        bit = (found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                        hit = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7) & 1)
-                        at, found = at[hit], found[hit]
-                    if len(at) and text_key is None:
-                        text_key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    for a, h in zip(at.tolist(), found.astype(np.int64).tolist()):
-                        out.append((one, text_key, len(row), n, a, width, h, _slots(row, kinds, reader, a, width)))
-                    if not widths and n and at[0] == 0 and flags[row[0]] & IS_TITLED and kinds[0] == WORD:
+                    own, n = hashes[row], len(row) - width + 1
+                    rich, marked = window_hashes(own, kinds, width)
+                    of = len(rich)
+                    for tokens in (False, True):
+                        at, found = token_hashes(own, width) if tokens else (rich, marked)
+                        if bitmap is not None:
+                            bit = (found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                            hit = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7) & 1)
+                            at, found = at[hit], found[hit]
+                        if not len(at):
+                            continue
+                        if text_key is None:
+                            text_key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                        for a, r, h in zip(at.tolist(), np.isin(at, rich).tolist(), found.astype(np.int64).tolist()):
+                            # In a document, windows met by their tokens have the item's own values.
+                            slots = None if tokens and widths else _slots(row, kinds, reader, a, width)
+                            out.append((one, text_key, len(row), n, of, a, r, width, h, slots))
+                    if not widths and of and rich[0] == 0 and flags[row[0]] & IS_TITLED and kinds[0] == WORD:
                         # Within a document the item's first word may follow a sentence without end.
                         kinds = np.concatenate(([NAME], kinds[1:]))
-                        first = window_hashes(hashes[row[:width]], kinds[:width], width)[1]
+                        first = window_hashes(own[:width], kinds[:width], width)[1]
                         for h in first.astype(np.int64).tolist():
-                            out.append((one, text_key, len(row), n, 0, width, h, _slots(row, kinds, reader, 0, width)))
+                            slots = _slots(row, kinds, reader, 0, width)
+                            out.append((one, text_key, len(row), n, of, 0, True, width, h, slots))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW
@@ -259,21 +290,26 @@ def _judge(run: int, share: float):
             for row in batch.to_pylist():
                 width, pairs = row["width"], {}
                 for window in row["found"]:
-                    for s, d in zip(window["slots"], window["doc_slots"]):
+                    same = window["doc_slots"] is None
+                    for s, d in zip(window["slots"], window["slots"] if same else window["doc_slots"]):
                         place, _, value = s.partition(":")
                         pairs[window["at"] + int(place)] = (value, d.partition(":")[2])
                 places = sorted({window["at"] for window in row["found"]})
                 longest = _longest(places, pairs, width)
-                matched = max(
-                    sum(
-                        all(chosen[pairs[p][0]] == pairs[p][1] for p in range(at, at + width) if p in pairs)
-                        for at in places
-                    )
-                    for chosen in _mappings(pairs)
-                )
-                matched = max(matched, longest - width + 1 if longest else 0)
-                least = math.ceil(row["n_windows"] * share)
-                if longest >= min(run, row["n_tokens"]) or matched >= max(least, 1):
+                rich = {window["at"] for window in row["found"] if window["rich"]}
+                matched, matched_rich = longest - width + 1 if longest else 0, 0
+                for chosen in _mappings(pairs):
+                    agree = [
+                        at for at in places
+                        if all(chosen[pairs[p][0]] == pairs[p][1] for p in range(at, at + width) if p in pairs)
+                    ]
+                    matched = max(matched, len(agree))
+                    matched_rich = max(matched_rich, len(rich.intersection(agree)))
+                enough = (
+                    matched >= max(1, math.ceil(row["n_windows"] * share))
+                    or matched_rich >= max(1, math.ceil(row["n_rich"] * share))
+                )
+                if longest >= min(run, row["n_tokens"]) or enough:
                     exact = all(s == d for s, d in pairs.values())
                     out.append((row["doc_id"], row["item_id"], row["n_windows"], matched, longest, exact))
             if out:
@@ -297,9 +333,11 @@ def leaks(
     matched tokens with consistent slots), exact (whether all slot values of the
     alignment agree). A pair is a leak if, on one alignment, a run with
     consistent slots has ``run`` tokens (all of a shorter item), or ``share`` of
-    the item's windows are found with consistent slots. Items of under eight
-    tokens are one window. Items without words enough (numbers only, empty, null)
-    match nothing. Null and empty documents match nothing; rows without an id are
+    the item's windows, or of those with words enough for a template, are found
+    with consistent slots. Windows with fewer than LEAST_WORDS words are found by
+    their tokens only, that is word for word and number for number. Items of under
+    eight tokens are one window. Items of numbers only, empty and null ones match
+    nothing. Null and empty documents match nothing; rows without an id are
     left out, as a pair could not name them; repeated rows count once, and texts
     that share an id are judged apart. Other columns are left aside.
     """
@@ -317,8 +355,8 @@ def leaks(
     hits = (
         found.join(wanted, "hash")
         .withColumn("shift", F.col("doc_at") - F.col("at"))
-        .groupBy("doc_id", "doc_key", "item_id", "text_key", "n_tokens", "n_windows", "width", "shift")
-        .agg(F.collect_set(F.struct("at", "slots", "doc_slots")).alias("found"))
+        .groupBy("doc_id", "doc_key", "item_id", "text_key", "n_tokens", "n_windows", "n_rich", "width", "shift")
+        .agg(F.collect_set(F.struct("at", "rich", "slots", "doc_slots")).alias("found"))
     )
     judged = hits.mapInArrow(_judge(run, share), _LEAK_ROW)
     best = F.max(F.struct("matched", "run", "exact", "n_windows"))

@@ -91,3 +91,15 @@ def test_texts_that_share_an_id_are_judged_apart(make, items):
     one = ITEMS[0][1]
     texts = [(1, one.replace("7", "9")), (1, one.replace("7", "8")), (2, one), (2, "other")]
     assert found(make, items, texts) == [(1, 1, False), (2, 1, True)]
+
+
+def test_items_poor_in_words_are_found_word_for_word(make, spark):
+    asked = ["What is 12 + 7?", "Who wrote Hamlet?", "Add 12, 15, 18, 21, 24, 27 and 30."]
+    passage = "Of 5 by 6 in 3 for 9 at 8 to 2 or 4 by 1 in 7 as Anna said"
+    rows = [*enumerate([*asked, passage], 1)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [(10 * i, f"Some text. {t} And more.") for i, t in rows]
+    texts += [(11, "What is 12 + 8?"), (21, "Who wrote Faust?"), (31, "Add 1, 2, 3, 4, 5, 6 and 7.")]
+    assert found(make, items, texts) == [(10, 1, True), (20, 2, True), (30, 3, True), (40, 4, True)]
+    rows = decontaminate.leaks(make([{"doc_id": 1, "text": passage}]), items).collect()
+    assert [(r.item_id, r.run) for r in rows] == [(4, len(passage.split()))]
