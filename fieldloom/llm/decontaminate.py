@@ -64,6 +64,12 @@ _END = re.compile(r"[.!?…:]\W*$")
 IS_NUMBER, IS_UNIT, IS_TITLED, IS_END = 1, 2, 4, 8
 
 
+def _is_number(low: str) -> bool:
+    """Number words, also with hyphens: twenty-five, one-hundred-and-five."""
+    first, *rest = low.split("-")
+    return first in _NUMBERS and all(p in _NUMBERS or p == "and" for p in rest)
+
+
 class Reader:
     """Turns texts into numbers of template tokens; remembers the tokens of words."""
 
@@ -94,8 +100,8 @@ class Reader:
             found, ended = _PART.findall(shown), bool(_END.search(shown))
         numbers = []
         for i, part in enumerate(found, 1):
-            low = part.lower()
-            flags = IS_NUMBER if part[0].isdigit() or low in _NUMBERS else 0
+            low = part.casefold()  # STRASSE is Straße
+            flags = IS_NUMBER if part[0].isdigit() or _is_number(low) else 0
             flags |= IS_UNIT if low in _UNITS else 0
             flags |= IS_TITLED if low != part and len(part) > 1 and part.istitle() else 0
             flags |= IS_END if ended and i == len(found) else 0

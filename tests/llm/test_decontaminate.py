@@ -103,3 +103,21 @@ def test_items_poor_in_words_are_found_word_for_word(make, spark):
     assert found(make, items, texts) == [(10, 1, True), (20, 2, True), (30, 3, True), (40, 4, True)]
     rows = decontaminate.leaks(make([{"doc_id": 1, "text": passage}]), items).collect()
     assert [(r.item_id, r.run) for r in rows] == [(4, len(passage.split()))]
+
+
+def test_copies_in_other_case_or_without_full_stops(make, spark):
+    asked = [
+        "What is the capital of France?", "Name the street: Große Straße in old Berlin. The answer is short. Then stop.",
+        "The shop of Anna opens at 9:30 and shuts at 12:30 on every day but one, so how long is it open then",
+        "He had twenty-five red apples in the basket and gave away most of them before noon on that day",
+    ]
+    items = spark.createDataFrame([*enumerate(asked, 1)], "item_id long, text string")
+    texts = [(10 * i + k, f"x {t} y") for i, a in enumerate(asked, 1) for k, t in enumerate([a, a.lower(), a.upper()])]
+    assert found(make, items, texts) == [(10 * i + k, i, True) for i in range(1, 5) for k in range(3)]
+    texts = [
+        (1, asked[1].replace(".", "")), (2, asked[2].replace("9:30", "10:30")),
+        (3, asked[2].replace("9:30", "8:15").replace("12:30", "11:15")), (4, asked[3].replace("twenty-five", "thirty-one")),
+        (5, asked[3].replace("twenty-five", "31")),
+    ]
+    assert found(make, items, texts) == [(1, 2, True), (2, 3, False), (3, 3, False), (4, 4, False), (5, 4, False)]
+    assert [decontaminate._is_number(w) for w in ("twenty-five", "one-hundred-and-five", "one-way")] == [True, True, False]
