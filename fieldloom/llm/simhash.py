@@ -49,13 +49,13 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> bytes:
     return np.packbits(2 * total > len(ends)).tobytes()
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int, *keys: str):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             prints = [fingerprint(t, words) for t in as_bytes(batch.column("text"))]
             values = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(values)], ["doc_id", "bits"]
+                [*map(batch.column, ("doc_id", *keys)), pa.array(values)], ["doc_id", *keys, "bits"]
             )
 
     return fingerprints
@@ -185,6 +185,16 @@ def close_links(prints: DataFrame, distance: int = MAX_DISTANCE, tile: int = TIL
     return dealt.mapInArrow(_links(distance), "a long, b long")
 
 
+def _rooted(prints: DataFrame, distance: int, tile: int) -> DataFrame:
+    """(bits, least, root) of the distinct fingerprints of ``prints`` (doc_id, bits): root names the component."""
+    # Equal fingerprints are one node, so a large group of copies is one row from here on.
+    distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(close_links(distinct.select("bits"), distance, tile))
+    return distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
+        "root", F.coalesce("root", "bits")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, tile: int = TILE
 ) -> DataFrame:
@@ -197,12 +207,7 @@ def near_duplicates(
     ``docs`` are left aside. An empty table gives an empty table.
     """
     prints = written(fingerprints(docs, words), "prints")
-    # Equal fingerprints are one node, so a large group of copies is one row from here on.
-    distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(close_links(distinct.select("bits"), distance, tile))
-    rooted = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
-        "root", F.coalesce("root", "bits")
-    )
+    rooted = _rooted(prints, distance, tile)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("bits", "component_id")
     return prints.join(named, "bits").select(
@@ -212,37 +217,36 @@ def near_duplicates(
     )
 
 
+#: Columns that tell rows apart: a hash of the text and one of the whole row.
+_ROW_KEY = ["_text_key", "_row_key"]
+
+
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` without near duplicates: the row of the smallest doc_id of each group.
+    """``docs`` without near duplicates: of each group one row, the row of its smallest doc_id.
 
-    Of repeated rows of that doc_id one stays. Where no row of a group has a
-    doc_id, one of its rows stays. All columns are kept.
+    Groups are told apart by their texts, so a doc_id that stands in two groups
+    may stay in both. If that doc_id stands on several rows of the group, the
+    row of the smallest text hash stays, then of the smallest hash of the whole
+    row; null doc_ids come last. All columns are kept.
     """
-    groups = near_duplicates(docs, words, distance)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id is null").select("fingerprint").distinct()
-    spare = docs.where("doc_id is null")
-    if spare.isEmpty():
-        return kept.select(docs.columns)
-    marked = spare.withColumn("_text_or_empty", F.expr("coalesce(text, '')"))
-    return kept.select(docs.columns).unionByName(
-        _nameless(marked, nameless, docs.columns, words)
+    keyed = docs.withColumns(
+        {
+            "_text_key": F.xxhash64(F.col("text"), F.lit(1)),
+            "_row_key": F.xxhash64(F.struct(*docs.columns)),
+        }
     )
-
-
-def _nameless(spare: DataFrame, nameless: DataFrame, columns: list[str], words: int) -> DataFrame:
-    """A row of each group that holds null doc_ids only."""
-    numbered = written(
-        spare.withColumn("_row_key", F.xxhash64(F.struct(*columns))), "nameless"
+    rows = keyed.select(F.col("doc_id").cast("long"), "text", *_ROW_KEY)
+    prints = written(
+        rows.mapInArrow(_fingerprints(words, *_ROW_KEY), "doc_id long, _text_key long, _row_key long, bits long"),
+        "prints",
     )
-    keyed = numbered.select(F.col("_row_key").alias("doc_id"), F.col("_text_or_empty").alias("text"))
-    groups = near_duplicates(keyed, words)
+    rooted = _rooted(prints.select("doc_id", "bits"), distance, TILE)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *_ROW_KEY)
     first = (
-        groups.join(nameless, "fingerprint", "left_semi")
-        .groupBy("component_id")
-        .agg(F.min("doc_id").alias("_row_key"))
-    )
-    return (
-        numbered.join(first, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(columns)
+        prints.join(rooted.select("bits", "root"), "bits")
+        .groupBy("root")
+        .agg(F.min(order).alias("first"))
+        .select(*(F.col(f"first.{c}").alias(c) for c in _ROW_KEY))
+        .distinct()
     )
+    return keyed.join(first, _ROW_KEY, "left_semi").dropDuplicates(_ROW_KEY).select(docs.columns)

@@ -136,3 +136,16 @@ def test_empty_tables(make):
     assert exact_dedup.exact_groups(make([])).count() == 0
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_first(make([])).count() == 0
+
+
+def test_keep_first_where_a_doc_id_stands_on_two_texts(make):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    a1, a2, b1, b2 = " ".join(a), " ".join(a).upper(), " ".join(b), " ".join(b).upper()  # equal fingerprints
+    rows = [(5, a1), (8, a2), (5, b1), (9, b2), (5, a1)]
+    kept = simhash.keep_first(make([{"doc_id": d, "text": t} for d, t in rows])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, a1), (5, b1)]
+    kept = simhash.keep_first(make([{"doc_id": d, "text": t} for d, t in [(3, a1), (5, a2), (5, b1)]])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, a1), (5, b1)]
+    twice = [{"doc_id": 5, "text": t, "source": s} for t in (a1, a2) for s in ("x", "y")]
+    one, other = simhash.keep_first(make(twice)).collect(), simhash.keep_first(make(twice[::-1])).collect()
+    assert len(one) == 1 and one == other
