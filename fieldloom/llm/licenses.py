@@ -21,7 +21,7 @@ CONTAINED = 0.8
 #: Probability that a window with a match shares no band with its template, at most.
 MISS = 1e-5
 
-# License notices as their licenses word them (fixed values).
+# License notices, titles and passages as their licenses word them (fixed values).
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "you may not use this file except in compliance with the License. You may"
@@ -37,6 +37,79 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of"
     " this software and associated documentation files",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+    " without fee is hereby granted.",
+    "agpl-3": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-notice": "it under the terms of the GNU Affero General Public License as published by the Free"
+    " Software Foundation",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache-2.0-short": "Licensed under the Apache License 2.0",
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "apache-2.0-warranty": "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR"
+    " CONDITIONS OF ANY KIND, either express or implied",
+    "artistic-2.0": "the terms of the Artistic License 2.0",
+    "bsd-short": "Licensed under the BSD License",
+    "bsd-2-short": "Licensed under the BSD 2-Clause License",
+    "bsd-3-short": "Licensed under the BSD 3-Clause License",
+    "bsd-style": "governed by a BSD-style license that can be found in the LICENSE file",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR"
+    " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"
+    " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "bsl-1.0-notice": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy"
+    " of the software and accompanying documentation covered by this license",
+    "cc0-1.0": "Creative Commons CC0 1.0 Universal",
+    "cc0-notice": "has waived all copyright and related or neighboring rights to this work",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-3.0-notice": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-3.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nd-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International"
+    " License.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International"
+    " License.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0"
+    " International License.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-nd-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"
+    " International License.",
+    "epl-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "epl-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "epl-2.0-short": "Licensed under the Eclipse Public License 2.0",
+    "gpl-2": "under the terms of the GNU General Public License version 2",
+    "gpl-2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3-short": "Licensed under the GNU General Public License v3.0",
+    "gpl-3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-short": "Licensed under the GNU General Public License",
+    "isc": "Licensed under the ISC License",
+    "isc-released": "Released under the ISC License",
+    "isc-notice": "Permission to use, copy, modify, and distribute this software for any purpose with or"
+    " without fee is hereby granted, provided that the above copyright notice and this permission"
+    " notice appear in all copies",
+    "lgpl-short": "Licensed under the GNU Lesser General Public License",
+    "lgpl-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software"
+    " Foundation",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "mit-licensed": "Licensed under the MIT License",
+    "mit-distributed": "Distributed under the MIT License",
+    "mit-terms": "under the terms of the MIT License",
+    "mit-included": "The above copyright notice and this permission notice shall be included in all copies or"
+    " substantial portions of the Software",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+    " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+    " NONINFRINGEMENT",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-short": "Licensed under the Mozilla Public License 2.0",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial"
+    " applications, and to alter it and redistribute it freely",
 }
 _WORD = "[A-Za-z0-9]+"
 
@@ -70,15 +143,20 @@ def anchors(templates: dict[str, str]) -> list[str]:
 
 
 def phrase_pattern(templates: dict[str, str]) -> str:
-    """A pattern that every text with a shingle of a template matches: two of its words in a row."""
+    """A pattern that every text with CONTAINED of a template's shingles matches: two words in a row.
+
+    The pairs of words touch so many shingles of each template that the others
+    alone are under CONTAINED.
+    """
     pairs: set[tuple[str, ...]] = set()
     for text in templates.values():
         words = _words(text)
-        for i in range(max(1, len(words) - SHINGLE + 1)):
-            shingle = words[i : i + SHINGLE]
-            own = list(zip(shingle, shingle[1:])) or [tuple(shingle)]
-            if shingle and not pairs & set(own):
-                pairs.add(max(own, key=lambda pair: len("".join(pair))))
+        shingles = {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} - {()}
+        own = {shingle: set(zip(shingle, shingle[1:])) or {shingle} for shingle in shingles}
+        needed = math.floor(len(shingles) * (1 - CONTAINED) + 1e-6) + 1
+        listed = sorted(set().union(*own.values()), key=lambda pair: (len("".join(pair)), pair))
+        while listed and sum(bool(pairs & held) for held in own.values()) < needed:
+            pairs.add(listed.pop())
     listed = "|".join("[^A-Za-z0-9]+".join(pair) for pair in sorted(pairs))
     return f"(?i)(?<![A-Za-z0-9])(?:{listed})(?![A-Za-z0-9])"
 
@@ -108,7 +186,7 @@ def _template_rows(spark, templates: dict[str, str], bands: dict[int, int]) -> D
     texts = [
         F.struct(
             F.lit(name).alias("license"), F.lit(window_of(len(_words(text)))).alias("window"),
-            F.array(*map(F.lit, _words(text))).alias("words"),
+            F.split(F.lit(" ".join(_words(text))), " ").alias("words"),
         )
         for name, text in templates.items()
     ]
@@ -141,7 +219,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
         least, window = len({tuple(_words(text)[i : i + SHINGLE]) for i in range(max(1, n - SHINGLE + 1))}), window_of(n)
         bands[window] = max(bands.get(window, 0), bands_for(window, least))
     marks = anchors(templates)
-    # Texts without any of the phrases, and windows without any anchor, cannot hold a shingle.
+    # Texts without any of the phrases cannot hold shingles enough, windows without any anchor none.
     words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
     rows = (
         docs.select(F.col("doc_id").cast("long"), "text")

@@ -51,3 +51,17 @@ def test_bands_and_anchors_guarantee_retrieval():
         least = found / (n - 4 + len(wanted) - found)
         assert (1 - least) ** licenses.bands_for(n, len(wanted)) <= licenses.MISS
         assert all(set(s) & set(licenses.anchors(licenses.TEMPLATES)) for s in wanted)
+
+
+def test_usual_notices_of_other_licenses_are_found(make):
+    texts = {
+        "mit-licensed": "Licensed under the MIT License", "apache-2.0-short": "licensed under the Apache License 2.0",
+        "lgpl-short": "Licensed under the GNU Lesser General Public License", "isc": "Licensed under the ISC License.",
+        "agpl-notice": "modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "epl-2.0-short": "Licensed under the Eclipse Public License 2.0", "cc0-1.0": "Creative Commons CC0 1.0 Universal",
+        "cc-by-4.0": "Licensed under CC BY 4.0", "cc-by-nd-4.0": "licensed under CC BY-ND 4.0",
+    }
+    docs = make([{"doc_id": i, "text": f"Some text before. {t} Some text after."} for i, t in enumerate(texts.values())])
+    found = {(r.doc_id, r.license) for r in licenses.license_scan(docs).collect()}
+    assert set(enumerate(texts)) <= found
