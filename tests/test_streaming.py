@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from compare import SMALL_SF_DIR as SMALL
 from fieldloom.catalog.views import PROFILE, spark_view, xml_documents
 from fieldloom.operators import attachments, jobs, undo
 from fieldloom.streaming import arrivals, status
