@@ -8,7 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, exact_dedup, langid, licenses, mixing, ngram_lm, quality, simhash, token_counts, token_files
+from fieldloom.llm import (
+    bin_slack,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    langid,
+    lexical_search,
+    licenses,
+    mixing,
+    ngram_lm,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+)
 from fieldloom.llm.common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +73,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), path)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), items)
+
+
+def op12_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bin_slack.packed_pieces(documents(spark, sf_dir), path)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.filter_audit(documents(spark, sf_dir), labels)
+
+
 QUERIES: dict[str, Run] = {
     run.__name__: run
     for run in (
@@ -72,6 +101,9 @@ QUERIES: dict[str, Run] = {
         op8_exact_dedup,
         op9_lm_scores,
         op10_token_counts,
+        op11_lexical_search,
+        op12_bin_slack_packing,
+        op13_filter_audit,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -80,6 +112,8 @@ QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op7_license_scan": licenses.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

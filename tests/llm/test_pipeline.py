@@ -41,5 +41,5 @@ def test_stages_take_effect(spark):
 
 def test_registered():
     names = contract.queries()
-    assert {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} >= {"pipeline"} | {f"op{i}" for i in range(1, 11)}
+    assert {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} >= {"pipeline"} | {f"op{i}" for i in range(1, 14)}
     assert set(contract.oracle_sql()) <= set(names)
