@@ -165,6 +165,32 @@ def clashing_names(spark, sf_dir):
     return planned.select("batch_id", "ordinal", "destination_name")
 
 
+# Requests one at a time: ``used`` lists how many free numbers are used up before each.
+NUMBERED_SQL = oracle(
+    """, own_below as (select *, own - row_number() over (partition by dir order by own) + 1 free_below from v_numbered),
+queues as (select dir, list(free_below order by ordinal) fs, list(ordinal order by ordinal) ordinals, list(own order by ordinal) owns
+  from own_below group by dir),
+replayed as (select dir, fs, ordinals, owns, list_reduce(list_transform(fs, lambda f: [f]),
+    lambda used, f: list_append(used, used[-1] + case when used[-1] < f[1] then 1 else 0 end), [cast(0 as bigint)]) used from queues),
+step as (select dir, unnest(ordinals) ordinal, unnest(owns) own, unnest(list_transform(fs, lambda f, i: used[i] >= f)) kept from replayed),
+free as (select dir, number, row_number() over (partition by dir order by number) k
+  from (select dir, unnest(range(0, max(own)+count(*)+1)) number from v_numbered group by dir) c
+  anti join v_numbered v on c.dir=v.dir and c.number=v.own),
+waiting as (select dir, ordinal, row_number() over (partition by dir order by ordinal) k from step where not kept)
+select ordinal, 'n ('||own||').pdf' destination_name from step where kept
+union all
+select ordinal, case when number=0 then 'n.pdf' else 'n ('||number||').pdf' end from waiting join free using (dir, k)""",
+    "v_numbered",
+)
+
+
+@query("trans1_numbered_folders", "TRANS-1", NUMBERED_SQL)
+def numbered_folders(spark, sf_dir):
+    asked = spark_view(spark, sf_dir, "v_numbered").drop("own")
+    listing = asked.select("dir", F.col("source_name").alias("name"))
+    return rename.plan_destinations(asked, listing).select("ordinal", "destination_name")
+
+
 def plan(spark, sf_dir):
     listing = files(spark, sf_dir).withColumn("is_file", F.lit(True))
     return rename.rename_plan(requests(spark, sf_dir), listing)

@@ -211,6 +211,13 @@ union select dir, desired_filename from ({rows}) b where on_disk
 union select dir, replace(desired_filename,'.pdf',' ('||cast(ordinal%7 as string)||').pdf') from ({rows}) c where ordinal%30=0"""
 
 
+# Folders in which all files carry numbers of one name, asked for again in mixed order.
+_QUARTERS = " union all ".join(f"select {q} q" for q in range(4))
+VIEWS["v_numbered"] = f"""
+select 'b' batch_id, ((o_orderkey*4+q)*387420489)%1000000007 ordinal, 'r'||cast(o_orderkey*4+q as string) request_id,
+ '/n'||cast(o_custkey%3 as string) dir, o_orderkey*4+q+1 own, 'n ('||cast(o_orderkey*4+q+1 as string)||').pdf' source_name,
+ 'n.pdf' desired_filename
+from $orders join ({_QUARTERS}) k on true"""
 VIEWS["v_rename_files"] = _listing("v_rename")
 VIEWS["v_clash_files"] = _listing("v_clash")
 

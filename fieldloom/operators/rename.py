@@ -15,8 +15,10 @@ its position in it. Two things bend that rule:
 
 Both are decided from a handful of figures per such request (how many of the
 family came before it, how many lower numbers are taken), computed in
-parallel. Only these rows, one per distinct name or own-name request, are
-folded in order; all other rows are numbered by running totals.
+parallel. Own-name requests are settled for whole families at once
+(``own_numbers``). Only where families run into each other, or a file is asked
+for twice, are the special rows of the families concerned folded in order; all
+other rows are numbered by running totals.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import is_plain_filename, split_name
 from fieldloom.operators.ordered import position, running_total
+from fieldloom.operators.own_numbers import keepers
 from fieldloom.session import cut_lineage
 
 FAMILY = ["batch_id", "dir", "desired_filename"]
+CHAIN = ["batch_id", "dir", "root"]
 
-_NUMBERED = "(?s)^(.+) \\(([1-9][0-9]{0,8})\\)\\z"
+# Longer numbers are past anything a table of requests could be given.
+_NUMBERED = "(?s)^(.+) \\(([1-9][0-9]{0,17})\\)\\z"
 
 
 def numbered(name: Column) -> tuple[Column, Column]:
@@ -45,7 +50,7 @@ def numbered(name: Column) -> tuple[Column, Column]:
 def root_name(name: Column) -> Column:
     """The name without any trailing numbers: what a chain of families shares."""
     stem, extension = split_name(name)
-    return F.concat(F.regexp_replace(stem, "( \\([1-9][0-9]{0,8}\\))+\\z", ""), extension)
+    return F.concat(F.regexp_replace(stem, "( \\([1-9][0-9]{0,17}\\))+\\z", ""), extension)
 
 
 def numbered_name(name: Column, number: Column) -> Column:
@@ -182,13 +187,33 @@ def _decide(specials: DataFrame) -> DataFrame:
             columns = ["batch_id", "dir", "desired_filename", "ordinal", "kind", "number", "name"]
             yield pdf[columns].assign(granted=pd.Series(granted, dtype="bool", index=pdf.index))
 
-    keyed = specials.withColumn("root", root_name(F.col("desired_filename")))
-    placed = keyed.repartition("batch_id", "dir", "root").sortWithinPartitions(
+    placed = specials.repartition(*CHAIN).sortWithinPartitions(
         "batch_id", "dir", "root", "ordinal", "kind"
     )
     return placed.mapInPandas(fold, _DECISION)
 
 
+def _entangled(specials: DataFrame) -> DataFrame:
+    """Chains in which the order of the special rows matters across families, or a file is asked for twice."""
+    names = specials.groupBy(*CHAIN, "name").agg(
+        F.count_if(F.col("kind") == 0).alias("literal"), F.count_if(F.col("kind") == 1).alias("own")
+    )
+    return names.filter((F.col("literal") > 0) | (F.col("own") > 1)).select(*CHAIN).distinct()
+
+
+def _settle(specials: DataFrame) -> DataFrame:
+    """Adds ``granted`` to the measured special rows."""
+    rooted = cut_lineage(specials.withColumn("root", root_name(F.col("desired_filename"))))
+    entangled = cut_lineage(_entangled(rooted))
+    folded = _decide(rooted.join(entangled, CHAIN, "left_semi"))
+    alone = rooted.join(entangled, CHAIN, "left_anti").select(
+        *FAMILY, "ordinal", "kind", "number", "name",
+        (F.col("number") - F.col("disk_below")).alias("free_below"), F.col("family_before").alias("before"),
+    )
+    settled = keepers(alone, FAMILY).drop("free_below", "before")
+    return folded.unionByName(settled)
+
+
 def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None = None) -> DataFrame:
     """Adds ``number`` and ``destination_name`` to every request.
 
@@ -224,7 +249,7 @@ def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None
     measured = specials.join(arrivals.drop("_weight"), by).join(
         below.drop("_weight", "number"), by
     )
-    decided = cut_lineage(_decide(measured))
+    decided = cut_lineage(_settle(measured))
 
     settled = decided.filter((F.col("kind") == 1) & F.col("granted")).select(
         "batch_id", "ordinal", F.col("name").alias("_own")

@@ -19,6 +19,7 @@ from fieldloom.operators import (
     naming,
     ocr_layout,
     ordered,
+    own_numbers,
     pages,
     prompts,
     rename,
@@ -553,6 +554,58 @@ def test_destinations_equal_replay(spark, seed):
     assert got == plan_by_hand(requests, files)
 
 
+def starts_by_hand(asked):
+    """The least start of each request, by trying all of them."""
+    found = []
+    for k in range(len(asked)):
+        for start in range(-2 * len(asked) - 60, 70):
+            v = start
+            for a in asked[:k]:
+                v += v < a
+            if v >= asked[k]:
+                found.append(start)
+                break
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_starts(seed, monkeypatch):
+    monkeypatch.setattr(own_numbers, "_LEAF", 1 + seed * 3)
+    rng = random.Random(seed)
+    asked = [rng.randint(-20, 40) for _ in range(40)]
+    assert own_numbers.least_starts(asked).tolist() == starts_by_hand(asked)
+    assert own_numbers.least_starts([]).tolist() == []
+
+
+@pytest.mark.parametrize("seed,block", [(0, 5), (1, 1), (2, 1 << 18)])
+def test_own_numbers_never_reach_the_fold(spark, seed, block, monkeypatch):
+    """Numbered folders, with gaps and other requests between, in one block and in many."""
+    rng = random.Random(seed)
+    requests, files = [], set()
+    for batch in ("x", "y"):
+        for directory in ("/a", "/b"):
+            numbers = rng.sample(range(60), 25)
+            sources = [("n.pdf" if n == 0 else f"n ({n}).pdf") for n in numbers] + [f"s{i}.pdf" for i in range(10)]
+            files |= {(directory, s) for s in sources} | {(directory, f"n ({n}).pdf") for n in rng.sample(range(1, 60), 8)}
+            rng.shuffle(sources)
+            start = 0 if directory == "/a" else 1000
+            requests += [(batch, start + i, directory, s, "n.pdf") for i, s in enumerate(sources)]
+    table = spark.createDataFrame(requests, "batch_id string, ordinal long, dir string, source_name string, desired_filename string").withColumn("request_id", F.col("ordinal").cast("string"))
+    folded, decide = [], rename._decide
+    monkeypatch.setattr(rename, "_decide", lambda rows: folded.append(rows.count()) or decide(rows))
+    monkeypatch.setattr(rename, "keepers", lambda own, keys: own_numbers.keepers(own, keys, block))
+    planned = rename.plan_destinations(table, spark.createDataFrame(sorted(files), "dir string, name string"))
+    got = {(r["batch_id"], r["ordinal"]): r["destination_name"] for r in planned.collect()}
+    assert got == plan_by_hand(requests, files) and folded == [0]
+    assert any(got[r[0], r[1]] == r[3] for r in requests)
+
+
+def test_numbers_of_any_length(spark):
+    frame = spark.createDataFrame([("n (123456789012).pdf",), ("n (0).pdf",)], "name string")
+    family, number = rename.numbered(F.col("name"))
+    assert [tuple(r) for r in frame.select(family, number).collect()] == [("n.pdf", 123456789012), (None, None)]
+
+
 def test_preflight_stops_the_whole_batch(spark):
     requests = spark.createDataFrame(
         [("a", 1, "1", "/d", "x.pdf", "n.pdf"), ("a", 2, "2", "/d", "gone.pdf", "n.pdf"), ("b", 1, "3", "/d", "x.pdf", "y.pdf")],
