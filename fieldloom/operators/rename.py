@@ -201,9 +201,12 @@ def _entangled(specials: DataFrame) -> DataFrame:
     return names.filter((F.col("literal") > 0) | (F.col("own") > 1)).select(*CHAIN).distinct()
 
 
-def _settle(specials: DataFrame) -> DataFrame:
-    """Adds ``granted`` to the measured special rows."""
-    rooted = cut_lineage(specials.withColumn("root", root_name(F.col("desired_filename"))))
+def _settle(specials: DataFrame, any_own: bool) -> DataFrame:
+    """Adds ``granted`` to the measured special rows; ``any_own``: some carry their own number."""
+    rooted = specials.withColumn("root", root_name(F.col("desired_filename")))
+    if not any_own:
+        return _decide(rooted)
+    rooted = cut_lineage(rooted)
     entangled = cut_lineage(_entangled(rooted))
     folded = _decide(rooted.join(entangled, CHAIN, "left_semi"))
     alone = rooted.join(entangled, CHAIN, "left_anti").select(
@@ -249,7 +252,7 @@ def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None
     measured = specials.join(arrivals.drop("_weight"), by).join(
         below.drop("_weight", "number"), by
     )
-    decided = cut_lineage(_settle(measured))
+    decided = cut_lineage(_settle(measured, not specials.filter("kind = 1").isEmpty()))
 
     settled = decided.filter((F.col("kind") == 1) & F.col("granted")).select(
         "batch_id", "ordinal", F.col("name").alias("_own")
