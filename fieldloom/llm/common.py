@@ -27,6 +27,15 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have no order, count as their JSON."""
+    plain = [
+        F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else docs[f.name]
+        for f in docs.schema.fields
+    ]
+    return F.xxhash64(*plain)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text of an Arrow column; null counts as empty."""
     if not pa.types.is_large_binary(column.type):

@@ -16,8 +16,8 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,6 @@ RUN = 13
 SHARE = 0.5
 #: Bits of the bitmap, as a power of two (2 MB).
 BITMAP_BITS = 24
-#: Choices of values that are tried on one alignment to count its consistent windows.
-CHOICES = 256
 REMEMBERED = 300_000
 
 # Number words and units (fixed values).
@@ -197,8 +195,6 @@ def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None
             flags = np.frombuffer(bytes(reader.flags), np.uint8)
             for one, text, row in zip(batch.column(key).to_pylist(), texts, rows):
                 kinds, text_key = _kinds(flags[row]), None
-                if not widths and (kinds == NUMBER).all():
-                    continue
                 for width in widths or (min(WINDOW, len(row)),):
                     if width == 0 or width > len(row):
                         continue
@@ -266,25 +262,55 @@ def _longest(places: list[int], pairs: dict[int, tuple[str, str]], width: int) -
     return most if most >= width else 0
 
 
-def _mappings(pairs: dict[int, tuple[str, str]]) -> Iterator[dict[str, str]]:
-    """Choices of one value in the document for each value of the item.
+def _agreeing(groups: list[tuple[frozenset, int]], least: int = 0) -> int:
+    """The largest weight of groups that ask for one value each, or ``least`` if no choice has more.
 
-    All of them up to CHOICES; beyond that the most frequent values, and equal values.
+    A group asks for pairs (value of the item, value of the document). Branches
+    on a value that is asked for in two ways, the heavier way first; a branch
+    that cannot pass what has been found is left.
     """
-    counts: dict[str, dict[str, int]] = {}
-    for value, shown in pairs.values():
-        options = counts.setdefault(value, {})
-        options[shown] = options.get(shown, 0) + 1
-    total = 1
-    for options in counts.values():
-        total = min(total * len(options), CHOICES + 1)
-    if total <= CHOICES:
-        for chosen in product(*counts.values()):
-            yield dict(zip(counts, chosen))
-    else:
-        often = {v: max(o, key=lambda d: (o[d], d == v, d)) for v, o in counts.items()}
-        yield often
-        yield {v: v if v in o else often[v] for v, o in counts.items()}
+    total = sum(n for _, n in groups)
+    if total <= least:
+        return least
+    asked: dict[str, Counter] = {}
+    for pairs, n in groups:
+        for value, shown in pairs:
+            asked.setdefault(value, Counter())[shown] += n
+    contested = [v for v, ways in asked.items() if len(ways) > 1]
+    if not contested:
+        return total
+    value = max(contested, key=lambda v: (sum(asked[v].values()) - max(asked[v].values()), v))
+    for shown, _ in sorted(asked[value].items(), key=lambda x: (-x[1], x[0])):
+        kept = [(p, n) for p, n in groups if all(v != value or s == shown for v, s in p)]
+        least = _agreeing(kept, least)
+    return least
+
+
+def most_consistent(places: list[int], pairs: dict[int, tuple[str, str]], width: int) -> int:
+    """The most windows that agree with one choice of a document's value for each value of the item.
+
+    Values that never meet in a window are chosen apart from each other.
+    """
+    windows: Counter[frozenset] = Counter()
+    for at in places:
+        own = frozenset(pairs[p] for p in range(at, at + width) if p in pairs)
+        if len({v for v, _ in own}) == len(own):  # else the window contradicts itself
+            windows[own] += 1
+    root: dict[str, str] = {}
+
+    def find(v: str) -> str:
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for own in windows:
+        first, *rest = [v for v, _ in own] or [""]
+        for v in rest:
+            root[find(v)] = find(first)
+    parts: dict[str, list[tuple[frozenset, int]]] = {}
+    for own, n in windows.items():
+        parts.setdefault(find(next(iter(own))[0]) if own else "", []).append((own, n))
+    return sum(_agreeing(part) for part in parts.values())
 
 
 def _judge(run: int, share: float):
@@ -302,15 +328,9 @@ def _judge(run: int, share: float):
                         pairs[window["at"] + int(place)] = (value, d.partition(":")[2])
                 places = sorted({window["at"] for window in row["found"]})
                 longest = _longest(places, pairs, width)
-                rich = {window["at"] for window in row["found"] if window["rich"]}
-                matched, matched_rich = longest - width + 1 if longest else 0, 0
-                for chosen in _mappings(pairs):
-                    agree = [
-                        at for at in places
-                        if all(chosen[pairs[p][0]] == pairs[p][1] for p in range(at, at + width) if p in pairs)
-                    ]
-                    matched = max(matched, len(agree))
-                    matched_rich = max(matched_rich, len(rich.intersection(agree)))
+                rich = sorted({window["at"] for window in row["found"] if window["rich"]})
+                matched = most_consistent(places, pairs, width)
+                matched_rich = most_consistent(rich, pairs, width)
                 enough = (
                     matched >= max(1, math.ceil(row["n_windows"] * share))
                     or matched_rich >= max(1, math.ceil(row["n_rich"] * share))
@@ -341,9 +361,9 @@ def leaks(
     consistent slots has ``run`` tokens (all of a shorter item), or ``share`` of
     the item's windows, or of those with words enough for a template, are found
     with consistent slots. Windows with fewer than LEAST_WORDS words are found by
-    their tokens only, that is word for word and number for number. Items of under
-    eight tokens are one window. Items of numbers only, empty and null ones match
-    nothing. Null and empty documents match nothing; rows without an id are
+    their tokens only, that is word for word and number for number; so are items
+    of numbers only. Items of under eight tokens are one window. Empty and null
+    items match nothing. Null and empty documents match nothing; rows without an id are
     left out, as a pair could not name them; repeated rows count once, and texts
     that share an id are judged apart. Other columns are left aside.
     """
@@ -374,9 +394,11 @@ def leaks(
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows of documents that leak an item; all columns kept.
+    """``docs`` without the rows whose text leaks an item; all columns kept.
 
-    Rows without a doc_id stay.
+    A leak is a matter of the text alone: rows of one doc_id are judged apart,
+    and rows without a doc_id like others.
     """
-    leaked = leaks(docs, items).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    told = F.xxhash64(docs["text"], F.length(docs["text"]))
+    leaked = leaks(docs.select(told.alias("doc_id"), "text"), items).select("doc_id").distinct()
+    return docs.join(leaked, told == leaked["doc_id"], "left_anti")

@@ -19,13 +19,13 @@ from fieldloom.llm.common import as_bytes, fold, slices
 
 UNDETERMINED = "und"
 FOLDS, HELD_FOLD = 4, 2
-#: The bounded training sample: the most frequent languages that are learned, documents of
-#: each, windows of each, bytes of a window.
-LANGUAGES = 200
+#: The training sample, bounded for each language: its documents, windows of each, bytes of
+#: a window.
 DOCS, WINDOWS, LENGTH = 150, 8, 64
 HIDDEN, STEPS = 12, 300
-#: The pipeline rejects texts whose best language has less than this probability.
-LEAST_SCORE = 0.3
+#: The pipeline rejects texts whose best language is less than so many times as likely as
+#: any language would be by chance.
+LEAST_OVER_CHANCE = 1.2
 
 _LETTERS = np.array([chr(c).isalpha() or c >= 128 for c in range(256)])
 
@@ -52,12 +52,10 @@ def fit(docs: DataFrame, per_language: int = DOCS, steps: int = STEPS) -> tuple[
     """A network and its languages, from documents outside the held-out fold.
 
     Of each language, the ``per_language`` documents of the smallest hashes of
-    doc_id and text give WINDOWS windows each; of over LANGUAGES languages the
-    most frequent are learned. So the sample is bounded.
+    doc_id and text give WINDOWS windows each. So the sample is bounded for each
+    language, and every language is learned.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    known = known.where(F.col("lang").isin([r.lang for r in frequent.collect()]))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     chosen = (
         known.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
@@ -122,22 +120,28 @@ def languages(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def keep_known(docs: DataFrame, least: float | None = None) -> DataFrame:
     """``docs`` without texts of no language: ``und``, or a best score below ``least``.
 
-    All columns are kept, as are repeated rows.
+    ``least`` is LEAST_OVER_CHANCE over the number of languages unless given.
+    Without any labelled document outside the held-out fold no language can be
+    told; then all texts with a letter stay. All columns are kept, as are
+    repeated rows.
     """
     net, names = fit(docs.select(F.col("doc_id").cast("long"), "text", "lang"))
-    if net is None:
-        return docs.limit(0)
+    if least is None:
+        least = LEAST_OVER_CHANCE / max(1, len(names))
     return docs.mapInArrow(_keep(net, names, least), docs.schema)
 
 
-def _keep(net: byte_gru.Network, names: list[str], least: float):
-    label = _label(net, names)
+def _keep(net: byte_gru.Network | None, names: list[str], least: float):
+    label = _label(net, names) if net else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
+            if label is None:
+                yield batch.filter(pa.array([_has_letter(t) for t in as_bytes(batch.column("text"))]))
+                continue
             told = pa.Table.from_batches(list(label(iter([batch.select(["text"])]))))
             known = pa.array(
                 [n != UNDETERMINED and s >= least for n, s in zip(*(told.column(c).to_pylist() for c in ("lang_pred", "score")))]

@@ -15,10 +15,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import written
+from fieldloom.llm.common import row_hash, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -27,6 +27,8 @@ SEED = 17
 #: Documents rounded in one group, and groups whose fractions meet in the next.
 BUCKET = 4096
 FAN_IN = 1024
+#: Copies of a row that are listed at once.
+LISTED = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,7 +108,9 @@ def round_pairs(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) ->
 
 def _round_bucket(level: int, last: bool, seed: int):
     def round_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "doc_id", "tie", "size"], na_position="last")
+        rows = rows.sort_values(
+            [c for c in ("draw", "doc_id", "tie", "size", "row_key") if c in rows], na_position="last"
+        )
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         part = round_pairs(rows["size"].to_numpy(float), rows["part"].to_numpy(), rng)
         if last:  # one fraction is left of the source
@@ -125,10 +129,11 @@ def copies(
     seed: int = SEED,
     bucket: int = BUCKET,
     fan_in: int = FAN_IN,
+    row_key: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): how often the mix takes it.
 
-    Columns doc_id, tie (a hash of the text, to tell rows of one doc_id apart),
+    Columns doc_id, tie (a hash of the text, to tell rows of one doc_id apart), row_key (if given),
     source, size (words; 0 for null), source_size, target, copies (0 to
     ``most``) and taken = copies * size. Rows without words are taken as often
     as the whole part of their source's rate says; they add no words. A null
@@ -140,6 +145,7 @@ def copies(
     sizes = docs.select(
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("tie"),
+        *([] if row_key is None else [row_key.alias("row_key")]),
         F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -180,6 +186,7 @@ def copies(
     return rows.select(
         "doc_id",
         "tie",
+        *([] if row_key is None else ["row_key"]),
         "source",
         "size",
         F.col("source_size").cast("long").alias("source_size"),
@@ -190,24 +197,25 @@ def copies(
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``copies`` says, all columns kept."""
+    """The mix itself: each row of ``docs`` as often as ``copies`` says, all columns kept.
+
+    Rows that differ in any column have copies of their own. Rows alike in all
+    columns cannot be told apart; one stands for them with all their copies.
+    """
+    key = row_hash(docs)
     taken = (
-        copies(docs, **how)
-        .groupBy("doc_id", "tie", "source")
-        .agg(F.sum("copies").alias("_copies"))
-        .where("_copies > 0")
-        .toDF("_doc_id", "_tie", "_source", "_copies")
-    )
-    keyed = docs.withColumns({"_own_tie": F.xxhash64("text"), "_row": F.xxhash64(F.struct(*docs.columns))})
-    # Rows alike in doc_id, text and source share their copies: one stands for all.
-    first = keyed.dropDuplicates(["doc_id", "_own_tie", "source"])
-    same = (
-        first.doc_id.eqNullSafe(taken._doc_id)
-        & (first._own_tie == taken._tie)
-        & first.source.eqNullSafe(taken._source)
-    )
-    return (
-        first.join(taken, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
+        copies(docs, **how, row_key=key)
+        .groupBy("doc_id", "row_key", "source")
+        .agg(F.sum("copies").alias("copies"))
+        .where("copies > 0")
+        .toDF("id", "hash", "origin", "copies")
     )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key"))
+    rows = rows.withColumns({"doc_id": F.col("row.doc_id").cast("long"), "source": F.col("row.source").cast("string")})
+    one = rows.dropDuplicates(["doc_id", "row_key", "source"])
+    same = one.doc_id.eqNullSafe(taken.id) & (one.row_key == taken.hash) & one.source.eqNullSafe(taken.origin)
+    # A row repeated very often makes its copies in lists of bounded length.
+    lists = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LISTED))
+    listed = one.join(taken, same).select("row", "copies", F.explode(lists).alias("list"))
+    within = F.least(F.col("copies") - F.col("list") * LISTED, F.lit(LISTED).cast("long"))
+    return listed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), within))).select("row.*")

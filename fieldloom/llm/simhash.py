@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import as_bytes, slices, written
+from fieldloom.llm.common import as_bytes, row_hash, slices, written
 from fieldloom.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -217,8 +217,8 @@ def near_duplicates(
     )
 
 
-#: Columns that tell rows apart: a hash of the text and one of the whole row.
-_ROW_KEY = ["_text_key", "_row_key"]
+#: What tells rows apart: a hash of the text and one of the whole row.
+_ROW_KEY = ["text_key", "row_key"]
 
 
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -227,17 +227,16 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_
     Groups are told apart by their texts, so a doc_id that stands in two groups
     may stay in both. If that doc_id stands on several rows of the group, the
     row of the smallest text hash stays, then of the smallest hash of the whole
-    row; null doc_ids come last. All columns are kept.
+    row; null doc_ids come last. All columns are kept, whatever their names.
     """
-    keyed = docs.withColumns(
-        {
-            "_text_key": F.xxhash64(F.col("text"), F.lit(1)),
-            "_row_key": F.xxhash64(F.struct(*docs.columns)),
-        }
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.xxhash64(F.col("text"), F.lit(1)).alias("text_key"),
+        row_hash(docs).alias("row_key"),
     )
-    rows = keyed.select(F.col("doc_id").cast("long"), "text", *_ROW_KEY)
+    rows = keyed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text", *_ROW_KEY)
     prints = written(
-        rows.mapInArrow(_fingerprints(words, *_ROW_KEY), "doc_id long, _text_key long, _row_key long, bits long"),
+        rows.mapInArrow(_fingerprints(words, *_ROW_KEY), "doc_id long, text_key long, row_key long, bits long"),
         "prints",
     )
     rooted = _rooted(prints.select("doc_id", "bits"), distance, TILE)
@@ -249,4 +248,4 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_
         .select(*(F.col(f"first.{c}").alias(c) for c in _ROW_KEY))
         .distinct()
     )
-    return keyed.join(first, _ROW_KEY, "left_semi").dropDuplicates(_ROW_KEY).select(docs.columns)
+    return keyed.join(first, _ROW_KEY, "left_semi").dropDuplicates(_ROW_KEY).select("row.*")

@@ -11,7 +11,7 @@ def make(spark):
         full = [
             Row(
                 r.get("doc_id"), r.get("text"), r.get("lang"), r.get("source", "src0"),
-                len(r["text"]) if r.get("text") else None, "x",
+                len(r["text"]) if r.get("text") else None, None if extra.split()[-1].startswith("map<") else "x",
             )
             for r in rows
         ]

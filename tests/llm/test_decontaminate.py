@@ -1,6 +1,8 @@
 """Leaks of benchmark items: planted passages, other values, odd rows."""
 
+import random
 import re
+from itertools import product
 
 import pytest
 
@@ -41,7 +43,8 @@ def test_copies_and_other_values(make, items):
     ]
     result = found(make, items, texts)
     assert [r for r in result if r[0] != 12] == [
-        (10, 1, True), (11, 1, False), (13, 2, True), (15, 3, True), (16, 3, False), (20, 1, False),
+        (10, 1, True), (11, 1, False), (13, 2, True), (15, 3, True), (16, 3, False), (17, 6, True),
+        (20, 1, False),
     ]
     # The windows around the value that differs do not agree with the rest.
     assert (12, 1, True) not in result
@@ -105,6 +108,44 @@ def test_items_poor_in_words_are_found_word_for_word(make, spark):
     assert [(r.item_id, r.run) for r in rows] == [(4, len(passage.split()))]
 
 
+def test_numbers_alone_are_found_number_for_number(make, spark):
+    items = spark.createDataFrame([(1, "12 + 7 = ?"), (2, "3, 1, 4, 1, 5, 9, 2, 6, 5, 3")], "item_id long, text string")
+    texts = [(1, "Now 12 + 7 = ? Say it."), (2, "12 + 8"), (3, "so 3, 1, 4, 1, 5, 9, 2, 6, 5, 3 follow"), (4, "7 12")]
+    assert found(make, items, texts) == [(1, 1, True), (3, 2, True)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_most_consistent_windows_by_trying_all_choices(seed):
+    rng = random.Random(seed)
+    width, places = 3, sorted(rng.sample(range(20), 12))
+    pairs = {p: (rng.choice("abcdefghij"), rng.choice("xyz")) for p in rng.sample(range(22), 14)}
+    options = {}
+    for value, shown in pairs.values():
+        options.setdefault(value, set()).add(shown)
+    best = 0
+    for chosen in product(*options.values()):
+        choice = dict(zip(options, chosen))
+        agree = [all(choice[pairs[p][0]] == pairs[p][1] for p in range(at, at + width) if p in pairs) for at in places]
+        best = max(best, sum(agree))
+    assert decontaminate.most_consistent(places, pairs, width) == best
+
+
+def test_ten_values_that_each_stand_for_three(make, spark):
+    """More choices than could be tried one by one; half of the windows agree with the right one."""
+    words = [f"word{i} with 1{i} more of it {i}{i} and so" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    text = " ".join(w.replace(f"1{i} ", f"{7 + i % 3}{i} ") for i, w in enumerate(words))
+    assert found(make, items, [(1, text)]) == [(1, 1, False)]
+
+
+def test_clean_judges_texts_not_ids(make, items):
+    leak, other = ITEMS[1][1], "clean text of its own " * 5
+    docs = make([{"doc_id": d, "text": t} for d, t in [(1, leak), (1, other), (None, leak), (None, other), (2, None)]], "leaked map<string,int>")
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, other), (2, None), (None, other)]
+
+
 def test_copies_in_other_case_or_without_full_stops(make, spark):
     asked = [
         "What is the capital of France?", "Name the street: Große Straße in old Berlin. The answer is short. Then stop.",

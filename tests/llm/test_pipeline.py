@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
-from fieldloom.llm import decontaminate, langid, simhash
+from fieldloom.llm import decontaminate, langid, mixing, simhash
 from fieldloom.llm.common import documents, written
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def test_stages_take_effect(spark):
         assert inputs[-1].columns == names
     ids = [sorted(r.doc_id for r in x.select("doc_id").collect()) for x in inputs]
     told = {r.doc_id: r for r in langid.languages(docs).collect()}
-    assert ids[1] == [i for i in ids[0] if told[i].lang_pred != "und" and told[i].score >= langid.LEAST_SCORE]
+    assert ids[1] == [i for i in ids[0] if told[i].lang_pred != "und" and told[i].score >= langid.LEAST_OVER_CHANCE / 4]
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(inputs[1]).collect()}
     assert ids[2] == sorted(set(groups.values()))
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
@@ -39,6 +39,51 @@ def test_stages_take_effect(spark):
     assert found == [(r.doc_id, int(s), len(i), zlib.crc32(i.tobytes())) for r, s, i in zip(rows, starts, ids)]
 
 
+ODD = [
+    (1, "a text that is told apart by its address alone, in English", "en", "s", 5, {"a": 1}, "x"),
+    (1, "a text that is told apart by its address alone, in English", "en", "s", 5, {"a": 2}, "y"),
+    (2, None, None, None, None, None, None), (3, "", "en", "s", 0, {}, "x"), (None, "un texto sin número pero con letras", "es", None, 9, None, "z"),
+    (4, "w " * 30_000, "en", "s", 60_000, {"b": 1}, None), (5, "ein deutscher Satz, der hier steht", "de", "s", 1, {}, "x"),
+    (5, "ein deutscher Satz, der hier steht", "de", "s", 1, {}, "x"),
+]
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row map<string,int>, _copies string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, a map column and clashing names go through every stage."""
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SMALL), "odd")
+        assert out.columns == docs.columns, name
+        ids = [r.doc_id for r in out.collect()]
+        if name == "language":
+            assert 2 not in ids and 3 not in ids and ids.count(1) == 2 and ids.count(5) == 2
+        if name == "near_dedup":
+            assert len(ids) == len(set(ids))
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+    empty = spark.createDataFrame([], ODD_SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_mixture_keeps_rows_apart(spark):
+    """Rows of one doc_id and text that differ elsewhere have copies of their own."""
+    rows = [(i, "one two three", "en", "s", 1, {"a": k}, f"u{k}") for i in range(20) for k in (1, 2)]
+    docs = spark.createDataFrame(rows, ODD_SCHEMA)
+    mixed = mixing.mixture(docs).collect()
+    assert len(mixed) == 60 and {r._copies for r in mixed} == {"u1", "u2"}
+    assert max(mixed.count(r) for r in mixed) <= 2
+    alike = spark.createDataFrame([(1, "one two", "en", "s", 1, None, "x")] * 30, ODD_SCHEMA)
+    assert mixing.mixture(alike).count() == 45
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some words", None, "s", 1, None, "x"), (2, "12 !", None, "s", 1, None, "x"), (3, None, "en", "s", 1, None, "x")]
+    kept = langid.keep_known(spark.createDataFrame(rows, ODD_SCHEMA))
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_registered():
     names = contract.queries()
     assert {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} >= {"pipeline"} | {f"op{i}" for i in range(1, 14)}
