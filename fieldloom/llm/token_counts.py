@@ -8,7 +8,6 @@ answers join the blocks, and every document sums frequency times pieces.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import as_bytes, slices, written
 from fieldloom.llm.packing import BLOCK_BYTES, group_slices, pack, unpack, word_hashes
-from fieldloom.llm.tokenizing import piece_counts, pre_tokens
+from fieldloom.llm.tokenizing import pre_tokens
 
 #: Text per group of pre-tokens: sets how many groups there are.
 GROUP_BYTES = 24 << 20
@@ -54,12 +53,12 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _blocks(groups: int, block_bytes: int):
+def _blocks(path: str, groups: int, block_bytes: int):
     """mapInArrow function: rows of blocks (part null) and of their asks (part set)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
-        known: dict[bytes, int] = {}
+        cut, known = pre_tokens(path), {}
         ids, sizes, distinct, entries, counts = [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -96,7 +95,7 @@ def _blocks(groups: int, block_bytes: int):
         held = 0
         for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                found = Counter(pre_tokens(text))
+                found = cut(text)
                 entries.extend([known.setdefault(w, len(known)) for w in found])
                 counts.extend(found.values())
                 ids.append(doc_id)
@@ -119,7 +118,7 @@ def _count_pieces(path: str):
         words = [_unpack_words(x) for x in asks.column("words").to_pylist()]
         pieces: dict[bytes, int] = dict.fromkeys(w for ask in words for w in ask)
         distinct = list(pieces)
-        pieces.update(zip(distinct, piece_counts(path, distinct)))
+        pieces.update(zip(distinct, pre_tokens(path).piece_counts(distinct)))
         answers = [
             pack(np.fromiter(map(pieces.__getitem__, ask), np.uint32, len(ask))) for ask in words
         ]
@@ -166,7 +165,7 @@ def token_counts(
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(12, -(-size // GROUP_BYTES))
-    table = written(rows.mapInArrow(_blocks(groups, block_bytes), _BLOCK), "pretokens")
+    table = written(rows.mapInArrow(_blocks(path, groups, block_bytes), _BLOCK), "pretokens")
     answers = (
         table.where("part is not null")
         .select("block", "part", "words")

@@ -37,8 +37,24 @@ def _encoder(path: str, dtype: str) -> WordEncoder:
     return _ENCODERS[path, dtype]
 
 
+#: Schemes under which Spark and Arrow know the same store by different names.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
+
+def qualified(spark: SparkSession, where: str) -> str:
+    """``where`` with the scheme under which Spark itself would write to it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _folder(where: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(where if "://" in where else f"file://{where}")
+    """Arrow's file system and path of a folder; ``file:/x``, ``file:///x`` and ``/x`` are one."""
+    scheme, colon, rest = where.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = "file", where
+    if scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pa.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -103,9 +119,11 @@ def write_tokens(docs: DataFrame, path: str, where: str, end_id: int = END_ID) -
     Every whole text is encoded without special tokens around it and ends with
     ``end_id``; null and empty texts are that id alone. Rows of one doc_id are
     all written, in the order of a hash of their texts. Other columns are left
-    aside. An empty table writes no part.
+    aside. An empty table writes no part. A failed attempt at a part may leave
+    files that no row of ``parts`` names.
     """
     spark = docs.sparkSession
+    where = qualified(spark, where)
     dtype = id_type(path, end_id)
     files, top = _folder(where)
     files.create_dir(top)
@@ -166,6 +184,7 @@ def _read_part(where: str):
 
 def read_digest(spark: SparkSession, where: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a folder."""
+    where = qualified(spark, where)
     parts = spark.read.parquet(f"{where}/parts")
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return parts.repartition(many, "part").mapInArrow(

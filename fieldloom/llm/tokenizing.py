@@ -1,14 +1,17 @@
 """Word-wise use of a public tokenizer, with a bounded memory of words.
 
-The tokenizers used here never merge across white space, so a text is encoded
-as its words are. Words repeat; each is encoded once per process until the
-memory is full and starts anew.
+Many tokenizers never merge across white space, so a text is encoded as its
+words are. Words repeat; each is encoded once per process until the memory is
+full and starts anew. Whether a tokenizer is of such a family is read from its
+file or tried on probes; texts of others are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -16,8 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Words a process remembers, and the longest of them in bytes.
-REMEMBERED = 1_000_000
+#: Words and cut units a process remembers, and the longest word in bytes.
+REMEMBERED, REMEMBERED_UNITS = 1_000_000, 200_000
 LONG_WORD = 64
 
 _OPEN: dict[str, Tokenizer] = {}
@@ -70,6 +73,10 @@ _MARKS = b".,;:!?&*#$%|)]}>\"+-=_/~@^"
 
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
 _PROBES = "a the word größe élève niño ÿ øre straßenbahnhaltestelle".split()
+#: Texts on which a tokenizer shows whether it lower-cases, drops white space and parts marks from words.
+_PROBE_TEXTS = [
+    "Two  WORDS\tand\nmore ", "Über ÄRGER, it's fine.", *(f"word{chr(m)} other{chr(m)}{chr(m)}" for m in _MARKS),
+]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -86,7 +93,8 @@ class WordEncoder:
     Its tokens lie within words, and marks after a letter are apart from it, so
     a word's ids are those of its stem and of the marks behind. ``dtype`` is
     the type of the ids. Texts that hold ``special``, the start of a special
-    token, are encoded whole.
+    token, are encoded whole, as are all texts if the tokenizer is of another
+    family.
     """
 
     def __init__(self, path: str, dtype: str, special: bytes = b"<|"):
@@ -99,6 +107,10 @@ class WordEncoder:
             [t.id for t in self.pieces(self._shown(w))] == tokenizer(path).encode(w, add_special_tokens=False).ids
             for w in _PROBES
         )
+        self.wordwise = True
+        probes = [t.encode() for t in _PROBE_TEXTS]
+        whole = [np.array(x, dtype).tobytes() for x in encode_batch(path, probes)]
+        self.wordwise = self.encode(probes) == whole
 
     def _shown(self, word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -122,7 +134,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        words = [None if self.special in t else t.lower().split() for t in texts]
+        apart = [self.wordwise and self.special not in t for t in texts]
+        words = [t.lower().split() if a else None for a, t in zip(apart, texts)]
         fresh: set[bytes] = set()
         for w in words:
             if w:
@@ -148,44 +161,113 @@ class WordEncoder:
         long = {w: x for w, x in now.items() if len(w) > LONG_WORD}
         known.update((w, x) for w, x in now.items() if len(w) <= LONG_WORD)
         get = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
-        whole = encode_batch(self.path, [t for t in texts if self.special in t])
+        whole = encode_batch(self.path, [t for a, t in zip(apart, texts) if not a])
         packed = iter([np.array(x, self.dtype).tobytes() for x in whole])
         return [next(packed) if w is None else b"".join(map(get, w)) for w in words]
 
 
 _WS = rb"\t-\r "
-_STARTS = tuple(bytes([c]) for c in b"\t\n\x0b\x0c\r ")
-_PIECE = re.compile(rb"[" + _WS + rb"]*[^" + _WS + rb"]+|[" + _WS + rb"]+")
+_UNIT = re.compile(rb"[" + _WS + rb"]*[^" + _WS + rb"]+|[" + _WS + rb"]+")
 #: Bytes of white space other than ASCII's, and of characters on which engines differ.
 _OTHER_SPACE = re.compile(
     rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
 )
+_OTHER_END = re.compile(rb"(?:" + _OTHER_SPACE.pattern + rb")\Z")
 
 
-def pre_tokens(text: bytes) -> list[bytes]:
-    """Parts of a text that byte-level BPE encodes apart: words with the space before them.
+def units(text: bytes) -> list[bytes]:
+    """A text cut before white space that follows another character: words with the space before them."""
+    found = _UNIT.findall(text)
+    if not _OTHER_SPACE.search(text):
+        return found
+    joined, held = [], []
+    for unit in found:  # after white space of another kind the same run goes on
+        held.append(unit)
+        if not _OTHER_END.search(unit):
+            joined.append(b"".join(held))
+            held = []
+    return joined + [b"".join(held)] * bool(held)
 
-    No pre-token of that family goes on from a word into white space. A text
-    with other white space than ASCII's is one part.
+
+#: Units of one word and the marks behind it, which every version of the pattern cuts alike.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+class PreTokens:
+    """Cuts texts into the pre-tokens of a byte-level tokenizer, by its own pattern.
+
+    A pre-token never goes on from another character into white space, so the
+    pattern is applied to units, each once per process until the memory is
+    full. Units that hold ``special`` are not cut. A tokenizer of another
+    family has one pre-token, the whole text.
     """
-    if _OTHER_SPACE.search(text):
-        return [text]
-    return _PIECE.findall(text)
-
-
-def piece_counts(path: str, parts: list[bytes]) -> list[int]:
-    """Tokens of each pre-token."""
-    counts = np.zeros(len(parts), np.int64)
-    # Parts that start with white space and end with a word can follow each other.
-    joinable = np.fromiter(
-        (p[:1] in _STARTS and not p[-1:].isspace() and b"<|" not in p and not _OTHER_SPACE.search(p) for p in parts),
-        bool,
-        len(parts),
-    )
-    chosen = np.flatnonzero(joinable)
-    counts[chosen] = encode_parts(path, [parts[i] for i in chosen.tolist()], "")[1]
-    rest = np.flatnonzero(~joinable).tolist()
-    for at in range(0, len(rest), 20_000):
-        some = rest[at : at + 20_000]
-        counts[some] = [len(x) for x in encode_batch(path, [parts[i] for i in some])]
-    return counts.tolist()
+
+    def __init__(self, path: str, special: bytes = b"<|"):
+        self.path, self.special = path, special
+        settings = json.loads(tokenizer(path).to_str())
+        before = settings["pre_tokenizer"] or {}
+        self.bytewise = (
+            settings["normalizer"] is None
+            and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
+        )
+        self.cut = tokenizer(path).pre_tokenizer
+        self.letters = _byte_letters()
+        self.pieces = tokenizer(path).model.tokenize
+        self.known: dict[bytes, tuple[bytes, ...]] = {}
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        rest = []
+        for unit in fresh:
+            if self.special in unit:
+                self.known[unit] = (unit,)
+            elif found := _PLAIN.fullmatch(unit.decode("utf-8", "replace")):
+                self.known[unit] = tuple(x.encode() for x in found.groups() if x)
+            else:
+                rest.append(unit)
+        for at in range(0, len(rest), JOINED):
+            some = rest[at : at + JOINED]
+            texts = [u.decode("utf-8", "replace") for u in some]
+            # A unit ends in front of white space; a line break and a letter, a unit too, keep it so.
+            between = "\nx"
+            ends = np.cumsum([len(t) + len(between) for t in texts])
+            found = self.cut.pre_tokenize_str(between.join(texts))
+            starts = np.array([x[1] for x in found], np.int64)[:, 0] if found else np.zeros(0, np.int64)
+            of = np.searchsorted(ends, starts, side="right")
+            first = np.searchsorted(of, np.arange(len(some) + 1))
+            for k, (unit, text) in enumerate(zip(some, texts)):
+                low = int(ends[k]) - len(text) - len(between)
+                own = [x[1] for x in found[first[k] : first[k + 1]] if x[1][0] < low + len(text)]
+                self.known[unit] = tuple(text[a - low : b - low].encode() for a, b in own)
+
+    def __call__(self, text: bytes) -> dict[bytes, int]:
+        """How often each pre-token occurs in a text."""
+        if not self.bytewise:
+            return {text: 1} if text else {}
+        if len(self.known) > REMEMBERED_UNITS:
+            self.known.clear()
+        counts: dict[bytes, int] = {}
+        own = Counter(units(text))
+        self._learn([u for u in own if u not in self.known])
+        for unit, n in own.items():
+            for part in self.known[unit]:
+                counts[part] = counts.get(part, 0) + n
+        return counts
+
+    def piece_counts(self, parts: list[bytes]) -> list[int]:
+        """Tokens of each pre-token."""
+        if not self.bytewise:
+            return [len(x) for x in encode_batch(self.path, parts)]
+        letters, pieces = self.letters, self.pieces
+        return [
+            len(encode_batch(self.path, [p])[0]) if self.special in p else len(pieces(p.decode("latin-1").translate(letters)))
+            for p in parts
+        ]
+
+
+_PRE_TOKENS: dict[str, PreTokens] = {}
+
+
+def pre_tokens(path: str) -> PreTokens:
+    if path not in _PRE_TOKENS:
+        _PRE_TOKENS[path] = PreTokens(path)
+    return _PRE_TOKENS[path]

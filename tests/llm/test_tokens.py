@@ -1,13 +1,15 @@
 """Token files and counts against the tokenizer library itself."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fieldloom.llm import token_counts, token_files
+from fieldloom.llm import token_counts, token_files, tokenizing
 from fieldloom.llm.common import documents
 
 SMALL = "/root/testdata/sf0.001"
@@ -76,6 +78,46 @@ def test_token_counts(spark, make, group, block, monkeypatch):
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
 
 
+def test_pre_tokens_are_the_library_s():
+    """Random texts of spaces, marks and letters: the cuts of the library's own pre-tokenizer, and its counts."""
+    cut, opened = tokenizing.PreTokens(BYTES), Tokenizer.from_file(BYTES)
+    alphabet = [*"aB ", "  ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "'s", "'", "12", ",", "!?", "é", "中", "\r\n", "\u200b", "don't"]
+    rng = random.Random(7)
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
+        counts = cut(text.encode())
+        spans = [text[a:b].encode() for _, (a, b) in opened.pre_tokenizer.pre_tokenize_str(text)]
+        assert counts == Counter(spans), text
+        pieces = cut.piece_counts(list(counts))
+        assert sum(p * n for p, n in zip(pieces, counts.values())) == len(opened.encode(text, add_special_tokens=False).ids)
+    assert cut('said: "well,'.encode()) == Counter([b"said", b":", b' "', b"well", b","])
+    assert len(cut(("word " * 1000 + "\xa0 end").encode())) < 6
+
+
+def test_tokenizers_of_another_family(make, folder):
+    """Files of a tokenizer that keeps case, and counts of one that does not cut by bytes."""
+    assert tokenizing.WordEncoder(WORDS, "<u2").wordwise and not tokenizing.WordEncoder(BYTES, "<u2").wordwise
+    found = token_files.token_digest(make(ODD), BYTES, folder + "/other").collect()
+    expected = expected_files([r["doc_id"] for r in ODD], library(BYTES, [r["text"] for r in ODD]))
+    by_id = lambda rows: sorted((str(r[0]), r[2], r[3]) for r in rows)
+    assert by_id(found) == by_id(expected)
+    counted = token_counts.token_counts(make(ODD), WORDS).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in counted) == sorted(
+        (str(r["doc_id"]), len(i)) for r, i in zip(ODD, library(WORDS, [r["text"] for r in ODD]))
+    )
+
+
+def test_folders_in_every_form(spark, make, folder):
+    docs = make([{"doc_id": i, "text": "a b " * i} for i in range(5)])
+    forms = [f"{folder}/a", f"file:{folder}/b", f"file://{folder}/c"]
+    rows = [sorted(map(tuple, token_files.token_digest(docs, WORDS, f).collect())) for f in forms]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 5
+    # The folder that setCheckpointDir makes is told as file:/...
+    spark.sparkContext.setCheckpointDir(folder)
+    told = spark.sparkContext.getCheckpointDir()
+    assert told.startswith("file:/") and token_files.token_digest(docs, WORDS, told + "/d").count() == 5
+
+
 def test_empty_tables(make, folder):
     assert token_files.token_digest(make([]), WORDS, folder + "/z").count() == 0
     assert token_counts.token_counts(make([]), BYTES).count() == 0
