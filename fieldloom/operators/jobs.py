@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.ordered import DAY_MICROS, running_max, running_total, running_totals
+from fieldloom.operators.ordered import STRETCH, running_max, running_total, running_totals
 from fieldloom.session import cut_lineage
 
 JOB = ["item_id", "generation"]
@@ -133,11 +133,11 @@ def live_counters(jobs: DataFrame) -> DataFrame:
     )
 
 
-def sessions(intervals: DataFrame, keys: list[str], idle: int = IDLE_MICROS, stretch: int = DAY_MICROS) -> DataFrame:
+def sessions(intervals: DataFrame, keys: list[str], idle: int = IDLE_MICROS, stretch: int = STRETCH) -> DataFrame:
     """Merges (start_us, end_us) intervals less than ``idle`` apart.
 
     An interval opens a session when everything before it ended at least
-    ``idle`` earlier. Both passes run over stretches of time, so one busy key
+    ``idle`` earlier. Both passes run over stretches of rows, so one busy key
     is not replayed in one task. A null end keeps the session open.
     """
     forever = F.lit(1 << 61).cast("bigint")
@@ -208,7 +208,7 @@ def _replay(overloaded: DataFrame, cap: int) -> DataFrame:
     return placed.mapInPandas(fold, _VERDICT)
 
 
-def admit_jobs(jobs: DataFrame, cap: int = MAX_PENDING_BYTES, stretch: int = DAY_MICROS) -> DataFrame:
+def admit_jobs(jobs: DataFrame, cap: int = MAX_PENDING_BYTES, stretch: int = STRETCH) -> DataFrame:
     """(queue, job, accepted): refused when pending bytes would pass the cap.
 
     A refused job adds nothing, so admission depends on earlier refusals. The

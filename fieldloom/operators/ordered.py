@@ -1,20 +1,90 @@
 """Running sums, maxima and positions over ordered groups of any size.
 
-A plain window sorts a whole group in one task. Here a group is cut into
-stretches of the order column, each stretch is summed on its own, and the
-totals of earlier stretches are added: only one row per stretch is ever
-ordered across the group.
+A plain window sorts a whole group in one task, which is right for groups of
+moderate size. A larger group is cut into stretches of the order column that
+hold about equally many rows, whatever its values: the cuts are quantiles from a
+sketch of the group. Each stretch is summed on its own, and the totals of
+earlier stretches are added: only one row per stretch is ever ordered across
+the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Order values per stretch. For row positions, a stretch holds at most about
-# this many rows of a group.
+from fieldloom.session import cut_lineage
+
+#: Rows of a group that are ordered in one task, about; and the most stretches of a group.
 STRETCH = 1 << 18
-DAY_MICROS = 24 * 3600 * 1_000_000
+MOST_STRETCHES = 1000
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are keys like others."""
+    own = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(own)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()))
+    return left.join(renamed, same, how).drop(*own.values())
+
+
+def stretch_cuts(rows: DataFrame, keys: list[str], order: str, stretch: int = STRETCH) -> DataFrame | None:
+    """Where groups of over ``stretch`` rows are cut; None if there are none.
+
+    Columns: keys, cuts (rising order values, each the first of a stretch), and
+    heavy (values that fill stretches of their own, and how many).
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stretch)
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return None
+    shares = [i / MOST_STRETCHES for i in range(1, MOST_STRETCHES)]
+    values = rows.select(*keys, F.col(order).alias("_value"))
+    sketched = (
+        _joined(values, hot, keys)
+        .groupBy(*keys)
+        .agg(
+            F.percentile_approx("_value", shares, 4 * MOST_STRETCHES).alias("_at"),
+            F.least(F.ceil(F.first("_n") / stretch), F.lit(MOST_STRETCHES)).cast("int").alias("_wanted"),
+        )
+    )
+    picked = F.transform(
+        F.sequence(F.lit(1), F.col("_wanted") - 1),
+        lambda i: F.get("_at", F.floor(i * F.lit(MOST_STRETCHES) / F.col("_wanted")).cast("int") - 1),
+    )
+    chosen = sketched.where("_wanted > 1").withColumn("_picked", picked)
+    cuts = F.array_distinct("_picked")
+    often = F.transform(cuts, lambda c: F.struct(c.alias("value"), F.size(F.filter("_picked", lambda p: p == c)).alias("many")))
+    # Sketches depend on the order in which they are merged, so they are made once.
+    return cut_lineage(
+        chosen.select(*keys, cuts.alias("_cuts"), F.filter(often, lambda h: h["many"] > 1).alias("_heavy"))
+    )
+
+
+def with_stretch(
+    rows: DataFrame, keys: list[str], order: str, cuts: DataFrame, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds ``_stretch``, which rises with ``order``; nulls come first.
+
+    Rows of one order value that fill several stretches are dealt to them by a
+    hash, as their order is open; if ``ties`` order them, they stay together.
+    """
+    steps = [1 << i for i in range(MOST_STRETCHES.bit_length() - 1, -1, -1)]
+    joined = _joined(rows, cuts, keys, "left")
+    # Binary search: how many cuts are at most the value.
+    number = F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda p, step: F.when(F.get("_cuts", p + step - 1) <= F.col(order), p + step).otherwise(p),
+    )
+    stretch = number.cast("long") * (MOST_STRETCHES + 1)
+    if not ties:
+        own = F.get(F.filter("_heavy", lambda h: h["value"] == F.col(order)), F.lit(0))["many"]
+        dealt = F.pmod(F.xxhash64(*rows.columns), own.cast("long"))
+        stretch = stretch + F.coalesce(dealt, F.lit(MOST_STRETCHES).cast("long"))
+    return joined.withColumn("_stretch", stretch).drop("_cuts", "_heavy")
 
 
 def _running(
@@ -28,10 +98,17 @@ def _running(
     stretch: int,
 ) -> DataFrame:
     """``columns`` maps each result to the column folded over earlier rows."""
-    cut = rows.withColumn("_stretch", F.floor(F.col(order) / stretch))
-    local = Window.partitionBy(*keys, "_stretch").orderBy(order, *ties)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    folded = cut.withColumns({f"_local_{o}": fold(c).over(before) for o, c in columns.items()})
+
+    def folds(keys: list[str]) -> dict[str, Column]:
+        local = Window.partitionBy(*keys).orderBy(order, *ties)
+        before = local.rowsBetween(Window.unboundedPreceding, -1)
+        return {o: fold(c).over(before) for o, c in columns.items()}
+
+    cuts = stretch_cuts(rows, keys, order, stretch)
+    if cuts is None:
+        return rows.select(*rows.columns, *[combine(F.lit(None), c).alias(o) for o, c in folds(keys).items()])
+    cut = with_stretch(rows, keys, order, cuts, ties)
+    folded = cut.withColumns({f"_local_{o}": c for o, c in folds([*keys, "_stretch"]).items()})
     totals = cut.groupBy(*keys, "_stretch").agg(
         *[fold(c).alias(f"_total_{o}") for o, c in columns.items()]
     )
@@ -42,7 +119,7 @@ def _running(
         "_stretch",
         *[fold(f"_total_{o}").over(earlier).alias(f"_offset_{o}") for o in columns],
     )
-    joined = folded.join(offsets, [*keys, "_stretch"])
+    joined = _joined(folded, offsets, [*keys, "_stretch"])
     return joined.select(
         *rows.columns,
         *[combine(F.col(f"_offset_{o}"), F.col(f"_local_{o}")).alias(o) for o in columns],
@@ -88,6 +165,7 @@ def running_max(
     stretch: int = STRETCH,
 ) -> DataFrame:
     """Adds ``out``: the largest ``value`` among earlier rows; null for the first."""
+
     return _running(rows, keys, order, {out: value}, F.max, F.greatest, ties, stretch)
 
 

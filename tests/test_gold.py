@@ -646,6 +646,40 @@ def test_running_totals_do_not_depend_on_the_stretch(spark, stretch):
         assert r["before"] == sum(earlier) and r["high"] == (max(earlier) if earlier else None)
 
 
+SPREADS = {
+    "dense": lambda i: i,
+    "sparse": lambda i: 3**i % (1 << 50) - (1 << 49),
+    "narrow": lambda i: 10**15 + i % 97 if i else 0,
+    "alike": lambda i: 5 if i % 10 else i,
+}
+
+
+@pytest.mark.parametrize("kind", SPREADS)
+def test_stretches_hold_equal_counts_whatever_the_values(spark, kind):
+    n, stretch = 6000, 300
+    rows = [(k, i, SPREADS[kind](i)) for k in ("hot", None) for i in range(n)] + [("small", i, i) for i in range(50)]
+    frame = spark.createDataFrame(rows, "k string, i int, o long").repartition(4)
+    cuts = ordered.stretch_cuts(frame, ["k"], "o", stretch)
+    cut = ordered.with_stretch(frame, ["k"], "o", cuts).groupBy("k", "_stretch").count().collect()
+    sizes = {k: sorted(r["count"] for r in cut if r["k"] == k) for k in ("hot", None, "small")}
+    assert sizes["small"] == [50]
+    for k in ("hot", None):
+        assert sum(sizes[k]) == n and len(sizes[k]) >= n / stretch / 2 and sizes[k][-1] <= 2 * stretch
+    positions = ordered.position(frame, ["k"], "o", "p", stretch=stretch).collect()
+    for k in ("hot", None, "small"):
+        own = sorted((r["p"], r["o"]) for r in positions if r["k"] == k)
+        assert [p for p, _ in own] == list(range(len(own))) and [o for _, o in own] == sorted(o for _, o in own)
+
+
+def test_running_figures_of_null_orders_and_ties(spark):
+    rows = [("a", None, 5, 1), ("a", 1, 2, 2), ("a", 1, 1, 3), ("a", 2, 0, 4), (None, 3, 0, 5), (None, 1, 0, 6)] + [("b", 7, t, 1) for t in range(40)]
+    frame = spark.createDataFrame(rows, "k string, o long, t long, w long")
+    for stretch in (1, 3, 1000):
+        got = ordered.running_total(frame, ["k"], "o", "w", "before", ("t",), stretch=stretch).collect()
+        told = sorted((str(r["k"]), r["o"] or 0, r["t"], r["before"]) for r in got)
+        assert told == [("None", 1, 0, 0), ("None", 3, 0, 6), ("a", 0, 5, 0), ("a", 1, 1, 1), ("a", 1, 2, 4), ("a", 2, 0, 6)] + [("b", 7, t, t) for t in range(40)]
+
+
 def test_cancelled_jobs(spark):
     script = {
         1: "q c r d", 2: "q r c d", 3: "q r c f", 4: "q r d c", 5: "q", 6: "q r c", 7: "r d", 8: "q d r",
