@@ -1,11 +1,17 @@
-"""Stateful job streams: lifecycle, batch settlement, admission, sessions.
+"""Stateful job streams: lifecycle, batch settlement, admission, sessions, residency.
 
-State is kept per key in the state store. A trigger hands over the rows of a
-key for that trigger only, which the source's rate limit bounds.
+State is kept per key in the state store, and ends: a job's some time after its
+end, a batch's with its last open job, a model's when its residency is over. A
+trigger hands over the rows of a key for that trigger only, which the source's
+rate limit bounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import merge
+from operator import attrgetter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +33,24 @@ def read_job_events(spark: SparkSession, path: str, schema, max_files: int = 1)
     )
 
 
+def _in_order(chunks: Iterator, *by: str) -> Iterator:
+    """The rows of a key's chunks in one order; each chunk is sorted on its own."""
+    sorted_chunks = [c.sort_values(list(by)).itertuples(index=False) for c in chunks]
+    return merge(*sorted_chunks, key=attrgetter(*by))
+
+
+def _millis(moment) -> int:
+    """Milliseconds since 1970 of a time without zone, which is in UTC."""
+    return int(moment.timestamp() * 1000)
+
+
 _LIFECYCLE = (
     "item_id long, generation long, batch_id long, bytes long, status string, "
     "previous string, cancel_requested boolean, queued_ts timestamp, ended_ts timestamp"
 )
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
+def lifecycle_stream(events: DataFrame, late: str = "10 minutes", kept_seconds: int = 3600) -> DataFrame:
     """One row per job and trigger in which its status changed.
 
     ``previous`` is the status before the trigger, so a consumer can turn the
@@ -43,12 +60,17 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
     come. The source must deliver a job's events in order, as a log with one
     partition per job does. Where it does not, ``newest_generation_stream``
     gives the state that does not depend on the order of arrival.
+
+    Events more than ``late`` behind the newest are dropped. A job that has
+    ended is remembered until the watermark is ``kept_seconds`` past its end, so
+    that stray events do not begin it anew; then its state is removed.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Lifecycle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.job = handle.getValueState(
                 "job",
                 "status string, asked boolean, batch_id long, bytes long, queued timestamp, ended timestamp",
@@ -57,9 +79,8 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
         def handleInputRows(self, key, rows, timerValues):
             kept = self.job.get() if self.job.exists() else (None, False, None, None, None, None)
             status, asked, batch_id, size, queued, ended = kept
-            before = status
-            arrived = pd.concat(list(rows)).sort_values(["ts", "seq"])
-            for row in arrived.itertuples(index=False):
+            before, was_open = status, ended is None
+            for row in _in_order(rows, "ts", "seq"):
                 event = row.status
                 if status is None:
                     if event == "queued":
@@ -79,6 +100,8 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
             if status is None:
                 return
             self.job.update((status, bool(asked), int(batch_id), int(size), queued, ended))
+            if was_open and ended is not None:
+                self.handle.registerTimer(_millis(ended) + 1000 * kept_seconds)
             if status != before:
                 yield pd.DataFrame(
                     {
@@ -94,14 +117,18 @@ def lifecycle_stream(events: DataFrame) -> DataFrame:
                     }
                 )
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.job.clear()
+            return iter([])
+
         def close(self) -> None:
             pass
 
-    return events.groupBy("item_id", "generation").transformWithStateInPandas(
+    return events.withWatermark("ts", late).groupBy("item_id", "generation").transformWithStateInPandas(
         statefulProcessor=Lifecycle(),
         outputStructType=_LIFECYCLE,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -123,8 +150,7 @@ def settled_stream(changes: DataFrame) -> DataFrame:
         def handleInputRows(self, key, rows, timerValues):
             n = self.count.get()[0] if self.count.exists() else 0
             drained = []
-            arrived = pd.concat(list(rows)).sort_values("seq")
-            for row in arrived.itertuples(index=False):
+            for row in _in_order(rows, "seq"):
                 held = self.open.containsKey((row.token,))
                 if row.state == "open" and not held:
                     self.open.updateValue((row.token,), (1,))
@@ -134,7 +160,10 @@ def settled_stream(changes: DataFrame) -> DataFrame:
                     n -= 1
                     if n == 0:
                         drained.append(row.seq)
-            self.count.update((n,))
+            if n:
+                self.count.update((n,))
+            else:  # nothing is open: nothing is kept
+                self.count.clear()
             if drained:
                 yield pd.DataFrame({"batch_id": [key[0]] * len(drained), "seq": drained})
 
@@ -165,8 +194,7 @@ def admission_stream(moves: DataFrame, cap: int = MAX_PENDING_BYTES) -> DataFram
         def handleInputRows(self, key, rows, timerValues):
             pending = self.pending.get()[0] if self.pending.exists() else 0
             verdicts = []
-            arrived = pd.concat(list(rows)).sort_values("seq")
-            for row in arrived.itertuples(index=False):
+            for row in _in_order(rows, "seq"):
                 job = (f"{row.item_id}/{row.generation}",)
                 if row.arrives:
                     ok = pending + row.bytes <= cap
@@ -211,6 +239,102 @@ def residency_stream(
     )
 
 
+def residency_moves(jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs, or their lifecycle changes, as moves (keys, ts, delta): +1 when queued, -1 when ended.
+
+    Of lifecycle changes, a job's first row (without ``previous``) opens it.
+    """
+    new = F.col("previous").isNull() if "previous" in jobs.columns else F.lit(True)
+    moves = F.array(
+        F.struct(F.when(new, F.col("queued_ts").cast("timestamp")).alias("ts"), F.lit(1).alias("delta")),
+        F.struct(F.col("ended_ts").cast("timestamp").alias("ts"), F.lit(-1).alias("delta")),
+    )
+    return jobs.select(*keys, F.inline(moves)).where("ts is not null")
+
+
+def residency_spans_stream(
+    moves: DataFrame, keys: list[str], idle: int = IDLE_MICROS, late: str = "10 minutes"
+) -> DataFrame:
+    """Spans a model stays loaded, emitted once they are over: as ``operators.jobs.residency``.
+
+    ``moves``: keys, ts, delta (+1: a job opens, -1: it ends). A span lasts
+    while jobs are open and ends ``idle`` microseconds after the last of them.
+    Moves may come in any order within ``late``: they wait until the watermark
+    has passed them and are then applied in order of time. State is the moves
+    that wait, the jobs that are open and where the span began; nothing is kept
+    of a span that is over. Rows: keys, start_ts, end_ts (of the last job), n (jobs).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    fields = [f"{k} {moves.schema[k].dataType.simpleString()}" for k in keys]
+
+    class Residency(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "at long, delta int")
+            self.span = handle.getValueState("span", "start long, last long, open int, jobs long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last = None
+            for chunk in rows:
+                at = chunk["ts"].astype("datetime64[us]").astype("int64")
+                for row in zip(at.tolist(), chunk["delta"].tolist()):
+                    self.waiting.appendValue(row)
+                    last = row[0] if last is None else max(last, row[0])
+            if last is not None:
+                self.handle.registerTimer(-(-last // 1000))
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            due, wait = [], []
+            for at, delta in self.waiting.get():
+                (due if at <= passed else wait).append((at, delta))
+            if due:
+                if wait:
+                    self.waiting.put(wait)
+                else:
+                    self.waiting.clear()
+            start, last, open_, jobs = self.span.get() if self.span.exists() else (None, None, 0, 0)
+            over = []
+            for at, delta in sorted(due, key=lambda m: (m[0], -m[1])):  # a job opens before it ends
+                if delta > 0:
+                    if start is not None and not open_ and at - last >= idle:
+                        over.append((start, last, jobs))
+                        start, jobs = None, 0
+                    start = at if start is None else start
+                    open_, jobs = open_ + 1, jobs + 1
+                else:
+                    open_ -= 1
+                last = at if last is None else max(last, at)
+            if start is not None and not open_ and last + idle <= passed:
+                over.append((start, last, jobs))
+                start = None
+            if start is None:
+                self.span.clear()
+            else:
+                self.span.update((start, last, open_, jobs))
+                if not open_:
+                    self.handle.registerTimer(-(-(last + idle) // 1000))
+            if over:
+                columns = {k: [v] * len(over) for k, v in zip(keys, key)}
+                for i, name in enumerate(("start_ts", "end_ts")):
+                    columns[name] = pd.to_datetime([o[i] for o in over], unit="us")
+                yield pd.DataFrame(columns | {"n": [o[2] for o in over]})
+
+        def close(self) -> None:
+            pass
+
+    timed = moves.withWatermark("ts", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=Residency(),
+        outputStructType=", ".join([*fields, "start_ts timestamp", "end_ts timestamp", "n long"]),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
 def newest_generation_stream(events: DataFrame) -> DataFrame:
     """The state each item shows, kept up to date; older generations never win."""
     order = F.struct("generation", "ts", "seq")

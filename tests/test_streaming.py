@@ -15,9 +15,12 @@ def rows(frame):
     return sorted(map(tuple, frame.collect()), key=str)
 
 
-def drain(stream, name, mode="append"):
+def drain(stream, name, mode="append", kept=None):
+    """The stream's whole output; ``kept`` gets the state rows after each trigger."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     assert query.awaitTermination(120), query.lastProgress
+    if kept is not None:
+        kept += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     return stream.sparkSession.table(name)
 
 
@@ -36,7 +39,8 @@ def job_files(spark, tmp_path_factory):
 def test_lifecycle_matches_batch(spark, job_files):
     path, events = job_files
     job_streams.use_state_store(spark)
-    stream = job_streams.lifecycle_stream(job_streams.read_job_events(spark, path, events.schema))
+    source = job_streams.read_job_events(spark, path, events.schema)
+    stream = job_streams.lifecycle_stream(source, kept_seconds=10**9)
     changes = drain(stream, "lifecycle_changes")
     last = changes.groupBy("item_id", "generation").agg(
         F.max_by("status", F.struct(F.coalesce("ended_ts", "queued_ts"), F.col("previous").isNotNull())).alias("status")
@@ -50,6 +54,76 @@ def test_lifecycle_matches_batch(spark, job_files):
     assert rows(counted) == rows(batch)
 
 
+def test_state_of_ended_jobs_is_removed(spark, folder):
+    """All jobs end; an hour later nothing is kept, and stray events before that change nothing."""
+    names = {"q": "queued", "r": "running", "d": "completed", "f": "failed", "c": "cancel_requested"}
+    scripts = ["qrd", "qrf", "qc", "qrcd", "qrdc"]
+    script = [(job, 1, 5, seq, f"2024-01-01 00:{seq:02d}:{job:02d}", names[e], 8) for job in range(30) for seq, e in enumerate(scripts[job % 5])]
+    script.append((0, 1, 5, 9, "2024-01-01 00:40:00", "queued", 8))  # a stray event of a job that has ended
+    clock = [(99, 1, 5, 0, f"2024-01-0{d} 00:00:00", "running", 8) for d in (2, 3)]  # moves the watermark, begins no job
+    schema = "item_id long, generation long, batch_id long, seq long, ts string, status string, bytes long"
+    for i, part in enumerate((script, clock[:1], clock[1:])):
+        frame = spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(folder + "/in")
+    job_streams.use_state_store(spark)
+    kept = []
+    source = job_streams.read_job_events(spark, folder + "/in", frame.schema)
+    changes = drain(job_streams.lifecycle_stream(source), "ended_jobs", kept=kept)
+    assert max(kept) >= 30 and kept[-1] == 0
+    batch = jobs.lifecycle(spark.read.parquet(folder + "/in"))
+    assert rows(changes.select("item_id", "status")) == rows(batch.select("item_id", "status"))
+
+
+def intervals(spark, spans):
+    """Jobs from (key, start minute, end minute or null)."""
+    frame = spark.createDataFrame(
+        [(k, i, float(a), None if b is None else float(b)) for i, (k, a, b) in enumerate(spans)], "batch_id long, item_id long, a double, b double"
+    )
+    at = lambda c: F.timestamp_micros((F.lit(1_704_067_200_000_000) + F.round(F.col(c) * 60_000_000)).cast("long"))
+    return frame.select("batch_id", "item_id", at("a").alias("queued_ts"), at("b").alias("ended_ts"))
+
+
+def test_residency_spans_match_batch(spark, folder):
+    """Jobs longer than the gap, nested, back to back, exactly the gap apart, and still open ones."""
+    spans = [(1, 0, 30), (1, 10, 12), (1, 34, 36), (1, 41, 41), (1, 45.99, 47), (1, 60, 61), (2, 0, 90), (2, 3, None), (2, 200, 201), (3, 5, 5), (3, 10, 11)]
+    table = intervals(spark, spans)
+    moves = job_streams.residency_moves(table, ["batch_id"])
+    numbered = moves.toPandas().sample(frac=1, random_state=3).reset_index(drop=True)
+    for part in range(3):  # any order; the bound on lateness is wide enough
+        spark.createDataFrame(numbered[numbered.index % 3 == part], moves.schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    end = pd.DataFrame({"batch_id": [9, 9], "ts": [pd.Timestamp("2024-01-03"), pd.Timestamp("2024-01-03")], "delta": [1, -1]})
+    spark.createDataFrame(end, moves.schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    job_streams.use_state_store(spark)
+    source = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    kept = []
+    told = drain(job_streams.residency_spans_stream(source, ["batch_id"], late="1 day"), "spans", kept=kept)
+    streamed = rows(told.select("batch_id", F.unix_micros("start_ts"), F.unix_micros("end_ts"), "n"))
+    batch = rows(jobs.residency(table, ["batch_id"]).where("end_us is not null").select("batch_id", "start_us", "end_us", "n"))
+    assert streamed == batch and len(batch) == 5
+    assert {r.batch_id for r in jobs.residency(table, ["batch_id"]).where("end_us is null").collect()} == {2}
+    assert 0 < kept[-1] < max(kept)  # the span of the open job, and the moves that wait
+
+
+def test_residency_spans_of_all_jobs(spark, job_files, folder):
+    """Lifecycle changes as they come give the spans of the batch form, and no state is left."""
+    _, events = job_files
+    table = jobs.lifecycle(events).where("ended_ts is not null")
+    moves = job_streams.residency_moves(table, ["batch_id"])
+    ordered = moves.toPandas().sort_values("ts").reset_index(drop=True)
+    end = ordered["ts"].max() + pd.Timedelta(days=2)
+    clock = pd.DataFrame({"batch_id": [99, 99], "ts": [end, end], "delta": [1, -1]})
+    later = clock.assign(ts=end + pd.Timedelta(days=1))
+    for part in [*(ordered[ordered.index * 3 // len(ordered) == i] for i in range(3)), clock, later]:
+        spark.createDataFrame(part, moves.schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    job_streams.use_state_store(spark)
+    source = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    kept = []
+    told = drain(job_streams.residency_spans_stream(source, ["batch_id"]), "all_spans", kept=kept).where("batch_id < 99")
+    streamed = rows(told.select("batch_id", F.unix_micros("start_ts"), F.unix_micros("end_ts"), "n"))
+    assert streamed == rows(jobs.residency(table, ["batch_id"]).select("batch_id", "start_us", "end_us", "n"))
+    assert len(streamed) > 7 and kept[-1] <= 2 < max(kept)  # the last two moves of the clock still wait
+
+
 def test_newest_generation_matches_batch(spark, job_files):
     path, events = job_files
     stream = job_streams.newest_generation_stream(job_streams.read_job_events(spark, path, events.schema))
@@ -94,7 +168,9 @@ def test_settled_fires_once_per_drain(spark, folder):
     spark.createDataFrame(changes, schema).coalesce(1).write.parquet(folder + "/in")
     job_streams.use_state_store(spark)
     stream = job_streams.settled_stream(spark.readStream.schema(schema).parquet(folder + "/in"))
-    assert rows(drain(stream, "settled")) == [(1, 4), (2, 2), (2, 4)]
+    kept = []
+    assert rows(drain(stream, "settled", kept=kept)) == [(1, 4), (2, 2), (2, 4)]
+    assert kept[-1] == 2  # batch 1 has an open job: its token and its count
 
 
 def test_admission_matches_batch(spark, job_files, folder):
