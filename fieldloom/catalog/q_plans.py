@@ -126,6 +126,16 @@ def analysis_inputs(spark, sf_dir):
     return documents, attached, extraction.unionByName(shortening)
 
 
+def stray_calls(calls):
+    """Calls that take no part: attempts beyond the last, unknown phases, and a second, silent row of an attempt."""
+    first = calls.where("phase = 'extraction' and attempt = 0")
+    late = first.where("doc_id % 17 = 0").withColumn("attempt", F.lit(7))
+    other = first.where("doc_id % 23 = 0").withColumn("phase", F.lit("review"))
+    negative = first.where("doc_id % 23 = 0").withColumn("attempt", F.lit(-1))
+    silent = first.where("doc_id % 19 = 0").withColumns({c: F.lit(None).cast("string") for c in ("response", "error")})
+    return late.unionByName(other).unionByName(negative).unionByName(silent)
+
+
 ANALYSIS_SQL = f"""
 {FROM_XML_SQL},
 both_attempts as (select doc_id, 0 attempt, case when finish_reason='length' then '<incomplete' else response end response, cast(null as varchar) error from v_calls
@@ -166,7 +176,11 @@ effective as (select *, coalesce(seller_short, seller) seller_eff, coalesce(prod
 select doc_id, state, case when state='done' then proposed_filename end proposed_filename, missing_fields, naming_warnings, all_warnings,
   missing_fields<>'' or naming_warnings<>'' or all_warnings<>'' requires_review,
   case when complete or crashed then 'xml' when some_xml then 'xml_and_model' else 'model' end extraction_source,
-  case when complete then doc_id%20<>7 else true end inference_ran from named""",
+  case when complete then doc_id%20<>7 else true end inference_ran,
+  case when doc_id%17=0 then 1 else 0 end + case when doc_id%23=0 then 2 else 0 end calls_ignored,
+  case when doc_id%19=0 then 1 else 0 end calls_repeated from named""".replace(
+            "calls_ignored,", "::bigint calls_ignored,"
+        ).replace("calls_repeated from", "::bigint calls_repeated from"),
         *_XML,
         "v_calls",
         "v_repairs",
@@ -174,10 +188,13 @@ select doc_id, state, case when state='done' then proposed_filename end proposed
     ),
 )
 def xml_first_analysis(spark, sf_dir):
-    analysed = analysis.analyse(*analysis_inputs(spark, sf_dir), max_repairs=1, short_repairs=0)
+    documents, attached, calls = analysis_inputs(spark, sf_dir)
+    analysed = analysis.analyse(documents, attached, calls.unionByName(stray_calls(calls)), max_repairs=1, short_repairs=0)
     return analysed.select(
         "doc_id",
         "state",
+        "calls_ignored",
+        "calls_repeated",
         "proposed_filename",
         F.array_join("missing_fields", ",").alias("missing_fields"),
         F.array_join("naming_warnings", ",").alias("naming_warnings"),
@@ -275,9 +292,7 @@ def prompt_states(spark, sf_dir):
     documents = pages.assemble_pages(routed_pages(spark, sf_dir))
     first = both_attempts(spark, sf_dir).filter("attempt = 0")
     wide = responses.attempts_wide(first, 1)
-    answers = first_answers(spark, sf_dir).select("doc_id", F.col("answer.rejected").alias("rejected"))
-    joined = documents.join(wide, "doc_id", "left").join(answers, "doc_id", "left")
-    return responses.resolve_attempts(joined, 1)
+    return responses.resolve_attempts(documents.join(wide, "doc_id", "left"), 1)
 
 
 @query(
@@ -316,6 +331,57 @@ def pending_prompts(spark, sf_dir):
     return rows.select("doc_id", kind.alias("kind"), F.array_join(named, ",").alias("fields"))
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_EXTRACT_BODY = _literal(
+    "\n\n" + "\n\n".join([prompts.EXTRACT, "\n".join(prompts.INSTRUCTIONS[f] for f in responses.ASKED_FIELDS), prompts.CLOSING])
+)
+_LAST, _REASON = _literal("\n\nThe last answer could not be used.\n\nLast answer:\n"), _literal("\n\nReason:\n")
+
+
+@query(
+    "plan1_next_prompts",
+    "PIPE-1 STR-12",
+    oracle(
+        f""", {FROM_XML_SQL}, {ROUTED_SQL.replace("routed as", "paged as")},
+calls0 as (select doc_id, 0 attempt, response, cast(null as varchar) error from v_calls where doc_id%4<>1),
+{answers_sql('calls0')},
+xml_part as (select doc_id, doc_id%3<>0 and invoice_date is not null and seller is not null and product_summary is not null
+   and gross_total is not null and currency is not null complete, seller, product_summary from xml_fields),
+blocks as (select doc_id, string_agg('--- Page '||page_number||' ---'||chr(10)||page_text, chr(10)||chr(10) order by page_number) block from paged group by doc_id),
+states as (select x.doc_id, a.doc_id is null fresh, a.verdict, a.response, a.fault, coalesce(block,'')||{_EXTRACT_BODY} original
+   from xml_part x left join answers a using (doc_id) left join blocks using (doc_id) where not complete)
+select doc_id, 'extraction' phase, case when fresh then 0 else 1 end attempt,
+  case when fresh then 'extract' when verdict='failed' then 'full repair' else 'field repair' end kind,
+  case when fresh then original when verdict='failed' then original||{_LAST}||response||{_REASON}||fault||{_literal(chr(10) * 2 + prompts.CLOSING)} end prompt from states
+union all
+select doc_id, 'shortening', 0, 'shorten', 'seller: '||coalesce(seller,'null')||chr(10)||'product_summary: '||coalesce(product_summary,'null')||{_literal(chr(10) * 2 + prompts.SHORTEN)}
+from xml_part where complete""",
+        *_XML,
+        "v_calls",
+        "v_pages",
+    ),
+)
+def next_prompts(spark, sf_dir):
+    documents, attached, _ = analysis_inputs(spark, sf_dir)
+    calls = spark_view(spark, sf_dir, "v_calls").where("doc_id % 4 <> 1").select(
+        "doc_id", "phase", "attempt", "response", F.lit(None).cast("string").alias("error"), F.lit("stop").alias("finish_reason")
+    )
+    rows = analysis.next_prompts(documents, attached, calls, routed_pages(spark, sf_dir), 1, 0)
+    text = F.col("prompt")
+    kind = (
+        F.when(F.col("phase") == "shortening", F.lit("shorten"))
+        .when(F.contains(text, F.lit("The last answer could not be used.")), F.lit("full repair"))
+        .when(F.contains(text, F.lit(prompts.REPAIR)), F.lit("field repair"))
+        .otherwise(F.lit("extract"))
+    )
+    return rows.select(
+        "doc_id", "phase", F.col("attempt").cast("int").alias("attempt"), kind.alias("kind"), F.when(kind != "field repair", text).alias("prompt")
+    )
+
+
 @query(
     "udf1_scored_prompts",
     "UDF-1 UDF-3",

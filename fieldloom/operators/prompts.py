@@ -133,11 +133,7 @@ def pending_prompts(states: DataFrame) -> DataFrame:
     ``states`` joins ``resolve_attempts`` output with the assembled pages.
     """
     original = extraction_prompt(F.col("pages"))
-    rejected = (
-        F.col("rejected")
-        if "rejected" in states.columns
-        else F.array().cast("array<struct<field:string,message:string,previous:string>>")
-    )
+    rejected = F.col("rejected")
     last = F.coalesce(
         *[F.col(c) for c in sorted((c for c in states.columns if c.startswith("response_")), reverse=True)]
     )

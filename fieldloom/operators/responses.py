@@ -7,6 +7,7 @@ attempts of a document side by side) followed by projections.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,7 @@ NOT_JSON = "response is not valid JSON"
 NOT_AN_OBJECT = "response is not a JSON object"
 
 EVIDENCE_TYPE = "map<string,struct<page:int,excerpt:string,xml_field:string>>"
+REJECTED_TYPE = "array<struct<field:string,message:string,previous:string>>"
 
 
 def _null(kind: str) -> Column:
@@ -293,14 +295,42 @@ def fields_to_ask(answers: DataFrame) -> DataFrame:
 # ---- the repair protocol ---------------------------------------------------
 
 
-def attempts_wide(calls: DataFrame, max_repairs: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: response_k and error_k for each attempt."""
+def attempt_columns(at: Callable[[int], Column], max_repairs: int, prefix: str = "") -> list[Column]:
+    """Aggregates: for each attempt k its response_k and error_k, from one whole call.
+
+    ``at`` says which rows are attempt k. Of several calls of one attempt the
+    one with a response counts, then the one of the larger text, so that
+    response and error are never taken from two calls.
+    """
+    order = F.struct(F.col("response").isNotNull().alias("answered"), "response", "error")
     cells = []
     for k in range(max_repairs + 1):
-        at = F.col("attempt") == k
-        cells.append(F.max(F.when(at, F.col("response"))).alias(f"response_{k}"))
-        cells.append(F.max(F.when(at, F.col("error"))).alias(f"error_{k}"))
-    return calls.groupBy(*keys).agg(*cells)
+        chosen = F.max(F.when(at(k), order))
+        cells += [chosen[name].alias(f"{prefix}{name}_{k}") for name in ("response", "error")]
+    return cells
+
+
+def attempt_counts(attempts: dict[str, tuple[Column, int]]) -> list[Column]:
+    """Aggregates calls_ignored and calls_repeated over phases, each with its rows and max_repairs.
+
+    Ignored are calls of attempts that the protocol does not have; repeated
+    are calls of an attempt beyond its first.
+    """
+    ignored, repeated = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for mine, most in attempts.values():
+        inside = F.coalesce(F.col("attempt").between(0, most), F.lit(False))
+        ignored = ignored + F.count_if(mine & ~inside)
+        for k in range(most + 1):
+            repeated = repeated + F.greatest(F.count_if(mine & (F.col("attempt") == k)) - 1, F.lit(0))
+    return [ignored.alias("calls_ignored"), repeated.alias("calls_repeated")]
+
+
+def attempts_wide(calls: DataFrame, max_repairs: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: response_k and error_k for each attempt, calls_ignored and calls_repeated."""
+    return calls.groupBy(*keys).agg(
+        *attempt_columns(lambda k: F.col("attempt") == k, max_repairs),
+        *attempt_counts({"all": (F.lit(True), max_repairs)}),
+    )
 
 
 def _value_of(answer: Column, warnings: Column) -> Column:
@@ -383,6 +413,16 @@ def _advance(rows: DataFrame, k: int, max_repairs: int) -> DataFrame:
         .when(narrow & (F.size("_asked") == 0), F.lit("done"))
         .otherwise(F.lit("narrow"))
     )
+    # Why a field has to be asked again: the newest refusal of it.
+    fresh = F.filter(answer["rejected"], lambda r: full | F.array_contains(asked, r["field"]))
+    older = F.filter(
+        F.col("rejected"), lambda r: ~F.exists(fresh, lambda n: n["field"] == r["field"])
+    )
+    refusals = (
+        F.when(full & (verdict == "salvaged") & better, answer["rejected"])
+        .when(narrow & replied, F.concat(older, fresh))
+        .otherwise(F.col("rejected"))
+    )
     raw = quoted_echo(bounded_echo(F.col(f"response_{k}"), RAW_RESPONSE_LIMIT, "...(truncated)"))
     terminal = (
         F.when(F.col("_value").isNotNull() | ~full, F.col("terminal"))
@@ -401,6 +441,7 @@ def _advance(rows: DataFrame, k: int, max_repairs: int) -> DataFrame:
             "value": F.col("_value"),
             "mode": mode,
             "asked": F.when(mode == "narrow", F.col("_asked")).otherwise(none_asked),
+            "rejected": F.when(nothing_new, F.col("rejected")).otherwise(refusals),
             "terminal": F.when(nothing_new, F.col("terminal")).otherwise(terminal),
             "crashed": crashed,
             "fault": F.when(nothing_new, F.col("fault")).otherwise(
@@ -417,13 +458,15 @@ def resolve_attempts(wide: DataFrame, max_repairs: int = 1) -> DataFrame:
 
     Adds ``value`` (the fields and their warnings, null when the first call
     raised), ``crashed`` (that error), ``mode`` (``done`` or what still has to
-    be asked), ``asked`` and ``attempts``.
+    be asked), ``asked``, ``rejected`` (refused values, the newest of each
+    field) and ``attempts``.
     """
     state = wide.select(
         "*",
         _no_value().alias("value"),
         F.lit("full").alias("mode"),
         F.array().cast("array<string>").alias("asked"),
+        F.array().cast(REJECTED_TYPE).alias("rejected"),
         _null("string").alias("terminal"),
         _null("string").alias("crashed"),
         _null("string").alias("fault"),

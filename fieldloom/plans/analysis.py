@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.stages import settle
 from fieldloom.operators import attachments as attachment_ops
-from fieldloom.operators import merge, naming, responses
+from fieldloom.operators import merge, naming, prompts, responses
+from fieldloom.operators.pages import assemble_pages
 
 PHASES = {"extraction": "", "shortening": "short_"}
 
 
-def calls_wide(calls: DataFrame, max_repairs: int = 1) -> DataFrame:
-    """All attempts of both phases of a document in one row, in one shuffle."""
-    cells = []
+def calls_wide(calls: DataFrame, max_repairs: int = 1, short_repairs: int = 1) -> DataFrame:
+    """All attempts of both phases of a document in one row, in one shuffle.
+
+    calls_ignored counts calls that no attempt of the protocol stands for,
+    calls_repeated those of an attempt beyond its first.
+    """
+    repairs = {"extraction": max_repairs, "shortening": short_repairs}
+    cells, attempts = [], {}
     for phase, prefix in PHASES.items():
-        for k in range(max_repairs + 1):
-            at = (F.col("phase") == phase) & (F.col("attempt") == k)
-            cells.append(F.max(F.when(at, F.col("response"))).alias(f"{prefix}response_{k}"))
-            cells.append(F.max(F.when(at, F.col("error"))).alias(f"{prefix}error_{k}"))
-    return calls.groupBy("doc_id").agg(*cells)
+        mine = F.coalesce(F.col("phase") == phase, F.lit(False))
+        cells += responses.attempt_columns(lambda k, m=mine: m & (F.col("attempt") == k), repairs[phase], prefix)
+        attempts[phase] = (mine, repairs[phase])
+    attempts["other"] = (~F.coalesce(F.col("phase").isin(*PHASES), F.lit(False)), -1)
+    return calls.groupBy("doc_id").agg(*cells, *responses.attempt_counts(attempts))
 
 
 def _fact(name: str) -> Column:
@@ -35,6 +41,45 @@ def _page_counters(pages: DataFrame) -> DataFrame:
     )
 
 
+def _routed(documents: DataFrame, attachments: DataFrame, calls: DataFrame, max_repairs: int, short_repairs: int) -> DataFrame:
+    """Documents with what their XML holds and all their calls; images hold no XML."""
+    discovered = attachment_ops.discover_xml(documents, attachments)
+    wide = calls_wide(responses.usable_completions(calls), max_repairs, short_repairs)
+    joined = (
+        documents.select("doc_id", "extension", "shorten")
+        .join(discovered, "doc_id")
+        .join(wide, "doc_id", "left")
+    )
+    found = [c for c in discovered.columns if c not in ("doc_id", "xml_status")]
+    held = joined.withColumns({c: F.when(~_is_image(), F.col(c)) for c in found}).withColumn(
+        "xml_status", F.when(_is_image(), F.lit("none")).otherwise(F.col("xml_status"))
+    )
+    complete = merge.supplies_filename(_fact)
+    return settle(
+        held,
+        {
+            "complete": complete & F.col("facts").isNotNull(),
+            "xml_fields_used": merge.fields_used(_fact),
+        },
+    )
+
+
+def _is_image() -> Column:
+    return F.lower("extension").isin(".jpg", ".jpeg")
+
+
+def _resolved(routed: DataFrame, max_repairs: int) -> DataFrame:
+    """The state of each document's extraction; nothing is asked where XML answers alone."""
+    masked = routed.withColumns(
+        {
+            f"{kind}_{k}": F.when(~F.col("complete"), F.col(f"{kind}_{k}"))
+            for k in range(max_repairs + 1)
+            for kind in ("response", "error")
+        }
+    )
+    return responses.resolve_attempts(masked, max_repairs)
+
+
 def analyse(
     documents: DataFrame,
     attachments: DataFrame,
@@ -55,39 +100,15 @@ def analyse(
     Discovery and the calls are each brought to one row per document; the rest
     is projection. Responses of documents that XML answers alone are blanked
     before they would be parsed. ``state`` is ``done``, ``failed`` (the model
-    raised and XML held nothing), or ``awaiting`` an answer.
+    raised and XML held nothing), or ``awaiting`` an answer. calls_ignored and
+    calls_repeated count calls that took no part.
     """
-    discovered = attachment_ops.discover_xml(documents, attachments)
-    wide = calls_wide(responses.usable_completions(calls), max(max_repairs, short_repairs))
-    joined = (
-        documents.select("doc_id", "extension", "shorten")
-        .join(discovered, "doc_id")
-        .join(wide, "doc_id", "left")
-    )
-    image = F.lower("extension").isin(".jpg", ".jpeg")
-    found = [c for c in discovered.columns if c not in ("doc_id", "xml_status")]
-    joined = joined.withColumns({c: F.when(~image, F.col(c)) for c in found}).withColumn(
-        "xml_status", F.when(image, F.lit("none")).otherwise(F.col("xml_status"))
-    )
+    image = _is_image()
+    routed = _routed(documents, attachments, calls, max_repairs, short_repairs)
     if pages is not None:
-        joined = joined.join(_page_counters(pages), "doc_id", "left")
-    complete = merge.supplies_filename(_fact)
-    routed = settle(
-        joined,
-        {
-            "complete": complete & F.col("facts").isNotNull(),
-            "xml_fields_used": merge.fields_used(_fact),
-        },
-    )
+        routed = routed.join(_page_counters(pages), "doc_id", "left")
+    resolved = _resolved(routed, max_repairs)
     asked = ~F.col("complete")
-    masked = routed.withColumns(
-        {
-            f"{kind}_{k}": F.when(asked, F.col(f"{kind}_{k}"))
-            for k in range(max_repairs + 1)
-            for kind in ("response", "error")
-        }
-    )
-    resolved = responses.resolve_attempts(masked, max_repairs)
 
     crashed = asked & F.col("crashed").isNotNull()
     kept_xml = F.size("xml_fields_used") > 0
@@ -119,7 +140,7 @@ def analyse(
                 merge.extraction_source(F.size("xml_fields_used"), F.col("complete"))
             ),
         },
-    ).drop("facts", "value", "asked")
+    ).drop("facts", "value", "asked", "rejected")
 
     shortenable = F.col("shorten") & ~F.col("fallback_used")
     gated = values.withColumns(
@@ -165,6 +186,7 @@ def analyse(
         "naming_warnings",
         "requires_review",
         (F.col("shorten") & ~F.col("fallback_used") & (F.col("state") == "done")).alias("shortenable"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls_ignored", "calls_repeated")),
         *counters,
     )
 
@@ -173,3 +195,31 @@ def split_results(analysed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """(proposals, dead letters, documents still awaiting an answer)."""
     by = lambda s: analysed.filter(F.col("state") == s)
     return by("done"), by("failed"), by("awaiting")
+
+
+def next_prompts(
+    documents: DataFrame,
+    attachments: DataFrame,
+    calls: DataFrame,
+    pages: DataFrame,
+    max_repairs: int = 1,
+    short_repairs: int = 1,
+) -> DataFrame:
+    """Every prompt the analysis still waits for: doc_id, phase, attempt, prompt.
+
+    Takes what ``analyse`` takes. A document that awaits an answer gets the
+    prompt of its state (extraction, a repair of everything, or of the fields
+    still missing), over all its pages; one that is done and may be shortened
+    gets its shortening prompt, once. Scored and appended to ``calls``, the
+    answers take the analysis on, until no prompt is left.
+    """
+    routed = _routed(documents, attachments, calls, max_repairs, short_repairs)
+    waiting = _resolved(routed.where(~F.col("complete")), max_repairs).where(
+        F.col("crashed").isNull() & (F.col("mode") != "done")
+    )
+    assembled = assemble_pages(pages).select("doc_id", "pages")
+    read = waiting.join(assembled, "doc_id", "left")
+    none = F.array().cast(assembled.schema["pages"].dataType)
+    extraction = prompts.pending_prompts(read.withColumn("pages", F.coalesce("pages", none)))
+    analysed = analyse(documents, attachments, calls, max_repairs, short_repairs)
+    return extraction.unionByName(prompts.pending_shortening(analysed, calls))

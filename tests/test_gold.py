@@ -449,6 +449,16 @@ def test_repair_protocol(spark):
     assert waiting["mode"] == "narrow" and sorted(waiting["asked"]) == ["currency", "gross_total", "invoice_date", "product_summary"]
 
 
+def test_calls_are_taken_whole_and_counted(spark):
+    """Two calls of one attempt are never mixed; calls beyond the protocol are counted."""
+    rows = [(1, 0, "b", None), (1, 0, None, "boom"), (1, 0, "a", "x"), (1, 1, None, "late"), (1, 2, "{}", None), (1, None, "{}", None), (2, 0, None, "e")]
+    frame = spark.createDataFrame(rows, "doc_id int, attempt int, response string, error string")
+    got = {r["doc_id"]: r for r in responses.attempts_wide(frame, 1).collect()}
+    assert (got[1]["response_0"], got[1]["error_0"], got[1]["error_1"]) == ("b", None, "late")
+    assert (got[1]["calls_ignored"], got[1]["calls_repeated"]) == (2, 2)
+    assert (got[2]["response_0"], got[2]["error_0"], got[2]["calls_ignored"], got[2]["calls_repeated"]) == (None, "e", 0, 0)
+
+
 def test_worse_full_repair_never_wins(spark):
     """Evidence-only rejection asks in full; a poorer answer must not replace it."""
     rich = '{"invoice_date":"2026-01-01","seller":"A","product_summary":"B","gross_total":"1","currency":"EUR","evidence":[1]}'
