@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import statistics
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -707,12 +710,28 @@ def test_cancelled_jobs(spark):
 def test_exact_medians(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice([0.0, -2.5, 1.0, rng.uniform(0, 50)])) for k in "abc" for _ in range(rng.randint(1, 40))]
-    import statistics
-
     got = {r["k"]: r["median"] for r in fleet.exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
     assert got == {k: pytest.approx(statistics.median([v for kk, v in rows if kk == k])) for k in "abc"}
 
 
+@pytest.mark.parametrize("many", [20_000, 20_001])
+def test_medians_of_crowded_values(spark, many):
+    """Values within one percent, in a few last bits, and far apart; none is ranked with many others."""
+    spreads = {
+        "within": lambda i: 100 + (i * 7919 % 20_011) / 20_011,
+        "bits": lambda i: float(np.float64(1.5) + (i % 9973) * 2.0**-52),
+        "powers": lambda i: 1.0 + 2.0 ** -(i % 50) + (i % 4000) * 2.0**-44,
+        "signs": lambda i: (-1.0) ** i * (1 + i * 1e-9),
+    }
+    rows = [(k, f(i)) for k, f in spreads.items() for i in range(many)]
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"])).repartition(4)
+    counted = frame.withColumn("_bucket", fleet._octave(F.col("v"))).groupBy("k", "_bucket", "v").agg(F.count(F.lit(1)).alias("_n"))
+    assert counted.groupBy("k", "_bucket").count().agg(F.max("count")).first()[0] > 5000
+    assert fleet.middle_segments(counted, ["k"], "v", 100).agg(F.max("_values")).first()[0] <= 100
+    got = {r["k"]: r["median"] for r in fleet.exact_medians(frame, ["k"], "v", 100).collect()}
+    assert got == {k: statistics.median([v for kk, v in rows if kk == k]) for k in spreads}
+
+
 def test_one_decimal_follows_the_binary_value(spark):
     samples = [18.15, 0.25, 0.35, 0.05, 2.5, 1234.45, 0.3, 99.95, 7.0]
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(samples)], "i int, v double").orderBy("i")
