@@ -135,8 +135,8 @@ def first_case(cases: list[tuple]) -> tuple[Column, Column]:
     return status.otherwise(F.lit("supported")), warning
 
 
-def classify(counted: DataFrame) -> DataFrame:
-    """The decision per document from its counts and its first content."""
+def classify(counted: DataFrame, *kept: str) -> DataFrame:
+    """The decision per document from its counts and its first content; ``kept`` columns stay."""
     fact = lambda name: F.col(f"facts.{name}")
     shown = quoted_echo(fact("attachment_name"))
     no_text = F.lit(None).cast("string")
@@ -184,6 +184,7 @@ def classify(counted: DataFrame) -> DataFrame:
     profiled = single & ~broken & (fact("root_tag") == ROOT_TAG) & (fact("n_profiles") <= 1)
     return decided.select(
         "doc_id",
+        *kept,
         "xml_status",
         F.when(single, fact("attachment_name")).alias("xml_attachment_name"),
         F.when(profiled, fact("profile_id")).alias("xml_profile_id"),
@@ -192,14 +193,16 @@ def classify(counted: DataFrame) -> DataFrame:
     )
 
 
+def count_attachments(documents: DataFrame, attachments: DataFrame, order: str = "revision_no") -> DataFrame:
+    """``documents`` with the counts of their attachments and the first content."""
+    counts = name_counts(attachments, order)
+    contents = distinct_contents(attachment_facts(attachments, order), order)
+    return documents.join(counts, "doc_id", "left").join(contents, "doc_id", "left")
+
+
 def discover_xml(
     documents: DataFrame, attachments: DataFrame, order: str = "revision_no"
 ) -> DataFrame:
     """One row per document: status, attachment, profile, warning and, for a
     supported attachment, the mapped fields in ``facts``."""
-    counts = name_counts(attachments, order)
-    contents = distinct_contents(attachment_facts(attachments, order), order)
-    counted = (
-        documents.select("doc_id").join(counts, "doc_id", "left").join(contents, "doc_id", "left")
-    )
-    return classify(counted)
+    return classify(count_attachments(documents.select("doc_id"), attachments, order))

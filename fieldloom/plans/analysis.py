@@ -41,16 +41,20 @@ def _page_counters(pages: DataFrame) -> DataFrame:
     )
 
 
-def _routed(documents: DataFrame, attachments: DataFrame, calls: DataFrame, max_repairs: int, short_repairs: int) -> DataFrame:
-    """Documents with what their XML holds and all their calls; images hold no XML."""
-    discovered = attachment_ops.discover_xml(documents, attachments)
+def gather(
+    documents: DataFrame, attachments: DataFrame, calls: DataFrame, max_repairs: int = 1, short_repairs: int = 1
+) -> DataFrame:
+    """One row per document: the counts of its attachments, its first XML content, and all its calls."""
     wide = calls_wide(responses.usable_completions(calls), max_repairs, short_repairs)
-    joined = (
-        documents.select("doc_id", "extension", "shorten")
-        .join(discovered, "doc_id")
-        .join(wide, "doc_id", "left")
-    )
-    found = [c for c in discovered.columns if c not in ("doc_id", "xml_status")]
+    counted = attachment_ops.count_attachments(documents.select("doc_id", "extension", "shorten"), attachments)
+    return counted.join(wide, "doc_id", "left")
+
+
+def _route(gathered: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Which source each gathered document is read from; images hold no XML."""
+    calls = [c for c in gathered.columns if c.startswith(("response_", "error_", "short_", "calls_"))]
+    joined = attachment_ops.classify(gathered, "extension", "shorten", *calls, *kept)
+    found = ("xml_attachment_name", "xml_profile_id", "xml_warning", "facts")
     held = joined.withColumns({c: F.when(~_is_image(), F.col(c)) for c in found}).withColumn(
         "xml_status", F.when(_is_image(), F.lit("none")).otherwise(F.col("xml_status"))
     )
@@ -103,10 +107,24 @@ def analyse(
     raised and XML held nothing), or ``awaiting`` an answer. calls_ignored and
     calls_repeated count calls that took no part.
     """
-    image = _is_image()
-    routed = _routed(documents, attachments, calls, max_repairs, short_repairs)
+    routed = _route(gather(documents, attachments, calls, max_repairs, short_repairs))
     if pages is not None:
         routed = routed.join(_page_counters(pages), "doc_id", "left")
+    return _conclude(routed, max_repairs, short_repairs, pages is not None)
+
+
+def conclude(gathered: DataFrame, max_repairs: int = 1, short_repairs: int = 1, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Gathered documents to proposal rows, as ``analyse``; a projection, for tables and streams.
+
+    ``kept`` columns of ``gathered`` stay, behind the others.
+    """
+    return _conclude(_route(gathered, kept), max_repairs, short_repairs, False, kept)
+
+
+def _conclude(
+    routed: DataFrame, max_repairs: int, short_repairs: int, paged: bool, kept: tuple[str, ...] = ()
+) -> DataFrame:
+    image = _is_image()
     resolved = _resolved(routed, max_repairs)
     asked = ~F.col("complete")
 
@@ -157,7 +175,7 @@ def analyse(
     proposals = naming.propose_filenames(shortened, F.col("extension"))
     failed = F.col("state") == "failed"
     counters = []
-    if pages is not None:
+    if paged:
         nothing = F.array().cast("array<bigint>")
         total = F.when(image, 1).otherwise(F.coalesce("_pages", F.lit(0))).cast("bigint")
         read = F.when(image, F.array(F.lit(1).cast("bigint"))).when(F.col("complete"), nothing)
@@ -188,6 +206,7 @@ def analyse(
         (F.col("shorten") & ~F.col("fallback_used") & (F.col("state") == "done")).alias("shortenable"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls_ignored", "calls_repeated")),
         *counters,
+        *kept,
     )
 
 
@@ -213,7 +232,7 @@ def next_prompts(
     gets its shortening prompt, once. Scored and appended to ``calls``, the
     answers take the analysis on, until no prompt is left.
     """
-    routed = _routed(documents, attachments, calls, max_repairs, short_repairs)
+    routed = _route(gather(documents, attachments, calls, max_repairs, short_repairs))
     waiting = _resolved(routed.where(~F.col("complete")), max_repairs).where(
         F.col("crashed").isNull() & (F.col("mode") != "done")
     )
