@@ -382,33 +382,25 @@ def next_prompts(spark, sf_dir):
     )
 
 
-@query(
-    "udf1_scored_prompts",
-    "UDF-1 UDF-3",
-    oracle(
-        """, docs as (select doc_id, string_agg('x','') marks from v_pages group by 1)
+SCORED_SQL = oracle(
+    """, docs as (select doc_id, string_agg('x','') marks from v_pages group by 1)
 select doc_id, doc_id%5=0 raised, case when doc_id%5<>0 then length(cast(doc_id as varchar)) end response_length from docs""",
-        "v_pages",
-    ),
+    "v_pages",
 )
-def scored_prompts(spark, sf_dir):
-    def load_scorer():
-        def scorer(prompt: str) -> str:
-            key = prompt.split("\n", 1)[0]
-            if int(key) % 5 == 0:
-                raise ValueError("scripted failure")
-            return key
 
-        return scorer
 
+def keyed_prompts(spark, sf_dir):
+    """Extraction prompts that begin with their document's number."""
     documents = pages.assemble_pages(routed_pages(spark, sf_dir))
-    rows = documents.select(
+    return documents.select(
         "doc_id",
         F.concat(
             F.col("doc_id").cast("string"), F.lit("\n"), prompts.extraction_prompt(F.col("pages"))
         ).alias("prompt"),
     )
-    calls = prompts.score_prompts(rows, load_scorer)
+
+
+def scored(calls):
     return calls.select(
         "doc_id",
         F.col("error").isNotNull().alias("raised"),
@@ -416,6 +408,32 @@ def scored_prompts(spark, sf_dir):
     )
 
 
+@query("udf1_batched_prompts", "UDF-1 UDF-3", SCORED_SQL)
+def batched_prompts(spark, sf_dir):
+    def load_scorer():
+        def scorer(texts: list[str]) -> list:
+            keys = [t.split("\n", 1)[0] for t in texts]
+            return [ValueError("scripted failure") if int(k) % 5 == 0 else k for k in keys]
+
+        return scorer
+
+    return scored(prompts.score_batches(keyed_prompts(spark, sf_dir), "scripted", load_scorer))
+
+
+@query("udf1_scored_prompts", "UDF-1 UDF-3", SCORED_SQL)
+def scored_prompts(spark, sf_dir):
+    def load_scorer():
+        def scorer(prompt: str) -> str:
+            key = prompt.split("\n", 1)[0]
+            if int(key) % 5 == 0:
+                raise ValueError("scripted failure")
+            return key
+
+        return scorer
+
+    return scored(prompts.score_prompts(keyed_prompts(spark, sf_dir), load_scorer))
+
+
 @query(
     "udf2_recognised_pages",
     "UDF-2",

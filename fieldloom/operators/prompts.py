@@ -194,6 +194,91 @@ def score_prompts(
     return prompts.mapInPandas(run, f"{ddl}, response string, error string")
 
 
+#: Scorers of this worker process by name, with the error of a failed load.
+_SCORERS: dict[str, tuple[Callable | None, str | None]] = {}
+
+
+def _shared(name: str, load: Callable[[], Callable]) -> tuple[Callable | None, str | None]:
+    if name not in _SCORERS:
+        try:
+            _SCORERS[name] = (load(), None)
+        except Exception as error:  # noqa: BLE001 - recorded with every call
+            _SCORERS[name] = (None, repr(error))
+    return _SCORERS[name]
+
+
+def length_buckets(lengths: list[int], most: int, most_chars: int) -> Iterator[list[int]]:
+    """Places of prompts of like length: ``most`` at once, and ``most_chars`` when padded to the longest."""
+    held: list[int] = []
+    for place in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if held and (len(held) >= most or lengths[place] * (len(held) + 1) > most_chars):
+            yield held
+            held = []
+        held.append(place)
+    if held:
+        yield held
+
+
+def _score_frame(scorer: Callable[[list[str]], list], texts: list[str | None], most: int, most_chars: int) -> list[tuple]:
+    """(response, error) of each text; a batch that raises is tried again prompt by prompt."""
+    results: list[tuple] = [(None, "there is no prompt")] * len(texts)
+
+    def ask(places: list[int]) -> None:
+        try:
+            answers = list(scorer([texts[i] for i in places]))
+            if len(answers) != len(places):
+                raise ValueError(f"{len(answers)} answers to {len(places)} prompts")
+        except Exception as error:  # noqa: BLE001 - recorded with the call
+            if len(places) > 1:
+                for i in places:
+                    ask([i])
+            else:
+                results[places[0]] = (None, repr(error))
+            return
+        for i, answer in zip(places, answers):
+            results[i] = (None, repr(answer)) if isinstance(answer, Exception) else (answer, None)
+
+    given = [i for i, text in enumerate(texts) if text is not None]
+    for bucket in length_buckets([len(texts[i]) for i in given], most, most_chars):
+        ask([given[k] for k in bucket])
+    return results
+
+
+def score_batches(
+    prompts: DataFrame,
+    name: str,
+    load_scorer: Callable[[], Callable[[list[str]], list]],
+    most: int = 32,
+    most_chars: int = 1 << 18,
+) -> DataFrame:
+    """Runs a user's batch scorer over prompt rows and records every call.
+
+    The scorer takes a list of prompts and gives as many answers; an exception
+    among them is the error of its prompt alone. Prompts of a frame go to it in
+    batches of like length. ``load_scorer`` is called once per worker process
+    and ``name``, whatever the number of tasks; the scorer then stays loaded. A
+    failed load is not tried again and is the error of every row.
+    """
+    kept = [f for f in prompts.schema.fields if f.name not in ("response", "error")]
+    names = [f.name for f in kept]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def run(batches: Iterator) -> Iterator:
+        from fieldloom.operators import prompts as here  # the process's own module, not a copy of it
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            scorer, fault = here._shared(name, load_scorer)
+            if fault:
+                results = [(None, fault)] * len(pdf)
+            else:
+                results = here._score_frame(scorer, pdf["prompt"].tolist(), most, most_chars)
+            yield pdf[names].assign(response=[r for r, _ in results], error=[error for _, error in results])
+
+    return prompts.mapInPandas(run, f"{ddl}, response string, error string")
+
+
 def recognise_pages(
     pages: DataFrame, load_recogniser: Callable[[], Callable[[bytes], tuple[str, float | None]]]
 ) -> DataFrame:

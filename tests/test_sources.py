@@ -109,3 +109,41 @@ def test_progress_is_observed(spark):
     observed, progress = observe_progress(rows, "scored")
     observed.write.format("noop").mode("overwrite").save()
     assert progress.get == {"rows": 10, "failed": 5}
+
+
+def test_batched_scorer_loads_once_per_worker(spark):
+    """Few calls for many prompts, one load per process over several tasks, errors of single prompts."""
+
+    def load_scorer():
+        import os
+        import uuid
+
+        load, calls = uuid.uuid4().hex, [0]
+
+        def scorer(texts):
+            calls[0] += 1
+            if "raises" in texts:
+                raise RuntimeError("this batch")
+            return [ValueError("refused") if t == "bad" else f"{os.getpid()}/{load}/{calls[0]}/{max(map(len, texts))}" for t in texts]
+
+        return scorer
+
+    texts = ["x" * (i % 40 + 1) for i in range(2000)] + ["bad", "raises", None, ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, prompt string").repartition(16)
+    rows = prompts.score_batches(table, "test_batched", load_scorer, most=50).collect()
+    assert len(rows) == len(texts)
+    told = [(len(texts[r.k]), *r.response.split("/")) for r in rows if r.response]
+    assert len(told) == 2001
+    loads = {(pid, load) for _, pid, load, _, _ in told}
+    assert len({pid for pid, _ in loads}) == len(loads)
+    assert len({(load, call) for _, _, load, call, _ in told}) < len(texts) / 10
+    errors = {texts[r.k]: r.error for r in rows if r.error}
+    assert errors == {"bad": "ValueError('refused')", "raises": "RuntimeError('this batch')", None: "there is no prompt"}
+    broken = prompts.score_batches(table, "test_broken", lambda: 1 / 0).select("error").distinct().collect()
+    assert [r.error for r in broken] == ["ZeroDivisionError('division by zero')"]
+
+
+def test_length_buckets():
+    lengths = [5, 1, 9, 1, 30, 2]
+    assert list(prompts.length_buckets(lengths, 2, 20)) == [[1, 3], [5, 0], [2], [4]]
+    assert list(prompts.length_buckets([], 2, 20)) == []
