@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import as_bytes, row_hash, slices, written
 from fieldloom.llm.components import components
+from fieldloom.llm.similar_texts import similar_links
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -185,11 +186,15 @@ def close_links(prints: DataFrame, distance: int = MAX_DISTANCE, tile: int = TIL
     return dealt.mapInArrow(_links(distance), "a long, b long")
 
 
-def _rooted(prints: DataFrame, distance: int, tile: int) -> DataFrame:
-    """(bits, least, root) of the distinct fingerprints of ``prints`` (doc_id, bits): root names the component."""
+def _rooted(prints: DataFrame, distance: int, tile: int, more: DataFrame | None = None) -> DataFrame:
+    """(bits, least, root) of the distinct fingerprints of ``prints`` (doc_id, bits): root names the component.
+
+    ``more`` holds further links (a, b) between fingerprints.
+    """
     # Equal fingerprints are one node, so a large group of copies is one row from here on.
     distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(close_links(distinct.select("bits"), distance, tile))
+    links = close_links(distinct.select("bits"), distance, tile)
+    roots = components(links if more is None else links.union(more))
     return distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
         "root", F.coalesce("root", "bits")
     )
@@ -221,9 +226,13 @@ def near_duplicates(
 _ROW_KEY = ["text_key", "row_key"]
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+def keep_first(
+    docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, similarity: float | None = None
+) -> DataFrame:
     """``docs`` without near duplicates: of each group one row, the row of its smallest doc_id.
 
+    With a ``similarity``, texts whose five-word shingles are alike by that
+    share or more link as close fingerprints do (``similar_texts``).
     Groups are told apart by their texts, so a doc_id that stands in two groups
     may stay in both. If that doc_id stands on several rows of the group, the
     row of the smallest text hash stays, then of the smallest hash of the whole
@@ -239,7 +248,13 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_
         rows.mapInArrow(_fingerprints(words, *_ROW_KEY), "doc_id long, text_key long, row_key long, bits long"),
         "prints",
     )
-    rooted = _rooted(prints.select("doc_id", "bits"), distance, TILE)
+    more = None
+    if similarity is not None:
+        bits = prints.select("text_key", "bits").distinct()
+        links = similar_links(rows, similarity)
+        links = links.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+        more = links.select(F.col("bits_a").alias("a"), F.col("bits_b").alias("b"))
+    rooted = _rooted(prints.select("doc_id", "bits"), distance, TILE, more)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *_ROW_KEY)
     first = (
         prints.join(rooted.select("bits", "root"), "bits")

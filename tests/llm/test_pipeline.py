@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as contract
 from fieldloom.llm import decontaminate, langid, mixing, simhash
 from fieldloom.llm.common import documents, written
+from plain_similarity import class_of, close_pairs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,7 +26,9 @@ def test_stages_take_effect(spark):
     told = {r.doc_id: r for r in langid.languages(docs).collect()}
     assert ids[1] == [i for i in ids[0] if told[i].lang_pred != "und" and told[i].score >= langid.LEAST_OVER_CHANCE / 4]
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(inputs[1]).collect()}
-    assert ids[2] == sorted(set(groups.values()))
+    texts = {r.doc_id: r.text for r in inputs[1].select("doc_id", "text").collect()}
+    named = class_of(groups, close_pairs(texts))
+    assert ids[2] == sorted(set(named.values()))
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     leaked = {r.doc_id for r in decontaminate.leaks(inputs[2], items).collect()}
     assert leaked and ids[3] == [i for i in ids[2] if i not in leaked]
