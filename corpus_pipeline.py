@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, langid, mixing, simhash, token_files
+from fieldloom.llm import decontaminate, langid, mixing, similar_texts, simhash, token_files
 from fieldloom.llm.common import documents, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with close fingerprints, the one of the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of documents with close fingerprints or similar texts, the one of the smallest doc_id stays."""
+    return simhash.keep_first(docs, similarity=similar_texts.SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
