@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABEL_TYPE = "map<string,map<string,string>>"
+from fieldloom.sources.json_entries import SPLIT_BYTES, json_entries
+
+LABEL_FIELDS = "map<string,string>"
+LABEL_TYPE = f"map<string,{LABEL_FIELDS}>"
 
 
 def explode_labels(files: DataFrame) -> DataFrame:
@@ -19,9 +22,14 @@ def explode_labels(files: DataFrame) -> DataFrame:
         F.from_json("value", LABEL_TYPE, {"mode": "FAILFAST"}).alias("labels"),
     )
     listed = parsed.select("_file", F.posexplode(F.map_entries("labels")).alias("_at", "_entry"))
-    documents = listed.groupBy("_file", F.col("_entry.key").alias("document")).agg(
-        F.max_by("_entry.value", "_at").alias("fields")
+    return _last_fields(
+        listed.select("_file", "_at", F.col("_entry.key").alias("document"), F.col("_entry.value").alias("fields"))
     )
+
+
+def _last_fields(entries: DataFrame) -> DataFrame:
+    """(document, field, expected) of entries (_file, _at, document, fields); the last of a file counts."""
+    documents = entries.groupBy("_file", "document").agg(F.max_by("fields", "_at").alias("fields"))
     fields = F.map_entries("fields")
     # A document has few fields, so looking for a later one of the same name is cheap.
     last = F.filter(
@@ -36,9 +44,16 @@ def explode_labels(files: DataFrame) -> DataFrame:
     )
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label files, one JSON object per file."""
-    return explode_labels(spark.read.text(path, wholetext=True))
+def read_labels(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Label files, one JSON object per file, each read by as many tasks as its size asks for.
+
+    A missing path holds no labels; a corrupt file is an error.
+    """
+    found = json_entries(spark, path, split_bytes)
+    fields = F.from_json("value", LABEL_FIELDS, {"mode": "FAILFAST"})
+    return _last_fields(
+        found.select(F.col("path").alias("_file"), F.col("place").alias("_at"), F.col("key").alias("document"), fields.alias("fields"))
+    )
 
 
 def labels_to_json(labels: DataFrame) -> DataFrame:
