@@ -50,7 +50,8 @@ def read_labels(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     A missing path holds no labels; a corrupt file is an error.
     """
     found = json_entries(spark, path, split_bytes)
-    fields = F.from_json("value", LABEL_FIELDS, {"mode": "FAILFAST"})
+    # A null entry is a document without labels; a parser of maps would refuse it.
+    fields = F.when(F.col("value") != "null", F.from_json("value", LABEL_FIELDS, {"mode": "FAILFAST"}))
     return _last_fields(
         found.select(F.col("path").alias("_file"), F.col("place").alias("_at"), F.col("key").alias("document"), fields.alias("fields"))
     )
