@@ -220,10 +220,12 @@ def parent_dir(path: Column) -> Column:
 
 def split_name(name: Column) -> tuple[Column, Column]:
     """Stem and extension. A leading dot alone does not start an extension."""
-    pattern = "(?s)^(.+)(\\.[^.]*)$"
-    dotted = name.rlike(pattern)
-    stem = F.when(dotted, F.regexp_extract(name, pattern, 1)).otherwise(name)
-    extension = F.when(dotted, F.regexp_extract(name, pattern, 2)).otherwise(F.lit(""))
+    # Planned names go through this for every request, so no pattern is scanned.
+    after = F.substring_index(name, ".", -1)
+    ahead = F.length(name) - F.length(after) - 1
+    dotted = ahead > 0
+    stem = F.when(dotted, F.left(name, ahead)).otherwise(name)
+    extension = F.when(dotted, F.concat(F.lit("."), after)).otherwise(F.lit(""))
     return stem, extension
 
 

@@ -35,22 +35,26 @@ FAMILY = ["batch_id", "dir", "desired_filename"]
 CHAIN = ["batch_id", "dir", "root"]
 
 # Longer numbers are past anything a table of requests could be given.
-_NUMBERED = "(?s)^(.+) \\(([1-9][0-9]{0,17})\\)\\z"
+_NUMBER_TAIL = "^[1-9][0-9]{0,17}\\)\\z"
 
 
 def numbered(name: Column) -> tuple[Column, Column]:
     """(family, number) of a generated name; nulls for any other name."""
     stem, extension = split_name(name)
-    is_numbered = stem.rlike(_NUMBERED)
-    family = F.when(is_numbered, F.concat(F.regexp_extract(stem, _NUMBERED, 1), extension))
-    number = F.when(is_numbered, F.regexp_extract(stem, _NUMBERED, 2).cast("bigint"))
+    # The number holds no bracket, so it starts at the last one.
+    tail = F.substring_index(stem, " (", -1)
+    ahead = F.length(stem) - F.length(tail) - 2
+    is_numbered = stem.endswith(")") & (ahead > 0) & tail.rlike(_NUMBER_TAIL)
+    family = F.when(is_numbered, F.concat(F.left(stem, ahead), extension))
+    number = F.when(is_numbered, F.left(tail, F.length(tail) - 1).cast("bigint"))
     return family, number
 
 
 def root_name(name: Column) -> Column:
     """The name without any trailing numbers: what a chain of families shares."""
     stem, extension = split_name(name)
-    return F.concat(F.regexp_replace(stem, "( \\([1-9][0-9]{0,17}\\))+\\z", ""), extension)
+    bare = F.regexp_replace(stem, "( \\([1-9][0-9]{0,17}\\))+\\z", "")
+    return F.concat(F.when(stem.endswith(")"), bare).otherwise(stem), extension)
 
 
 def numbered_name(name: Column, number: Column) -> Column:
@@ -226,6 +230,9 @@ def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None
     """
     options = {"stretch": stretch} if stretch else {}
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # Several steps read both tables; a single input file would keep each of them in one task.
+    requests = cut_lineage(requests.repartition("batch_id", "ordinal"))
+    files = cut_lineage(files.select("dir", "name").distinct())
     families = requests.groupBy(*FAMILY).agg(F.min("ordinal").alias("first_ordinal"))
     disk = _disk_numbers(families, files)
     specials = cut_lineage(_special_rows(requests, files, families))
