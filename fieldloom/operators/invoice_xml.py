@@ -27,6 +27,7 @@ from fieldloom.functions.values import (
     is_decimal_text,
 )
 from fieldloom.operators.line_items import rank_array, summary_of_ranked
+from fieldloom.operators.xml_leaves import read_leaves
 
 # Size and nesting bounds, root namespace, accepted profile.
 MAX_XML_BYTES = 10 * 1024 * 1024
@@ -49,6 +50,9 @@ FIELD_PATHS = {
     "currency": f"{_HEADER}/ram:ApplicableHeaderTradeSettlement/ram:InvoiceCurrencyCode",
 }
 
+#: Larger documents are not handed to the quick reader, as many of them make one batch.
+QUICK_BYTES = 64 * 1024
+
 _FALLBACK = "; falling back to AI extraction"
 
 
@@ -119,7 +123,8 @@ def _only_text(matches: Column) -> Column:
 
 
 # Fixed value: what the namespaces of an invoice have in common.
-_INVOICE_SPACES = "=\\s*[\"']urn:un:unece:uncefact:"
+_SPACE_START = "urn:un:unece:uncefact:"
+_INVOICE_SPACES = f"=\\s*[\"']{_SPACE_START}"
 
 # ---- safety checks ---------------------------------------------------------
 
@@ -284,20 +289,25 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """Check and parse a BINARY column of candidate invoice XML.
 
     Returns ``keep`` plus ``xml_fault`` (null when parsable), ``root_tag``,
-    ``n_profiles``, ``profile_id`` and the parsed tree ``x``. Guards run from
-    cheap to costly, and a row that fails one is not parsed.
+    ``n_profiles``, ``profile_id`` and ``x``, what ``map_fields`` maps. Plain
+    documents are read in one pass (``xml_leaves``). Of the others, guards run
+    from cheap to costly, and a row that fails one is not parsed.
     """
     size = F.length(content)
-    decoded = documents.select(
+    quick = read_leaves(F.col(content), QUICK_BYTES, MAX_XML_DEPTH, _SPACE_START)
+    read = F.col("_leaves").isNotNull()
+    decoded = documents.select(*keep, content, quick.alias("_leaves")).select(
         *keep,
+        "_leaves",
         (size > MAX_XML_BYTES).alias("_oversized"),
-        F.when(size <= MAX_XML_BYTES, _xml_text(F.col(content))).alias("_text"),
+        F.when(~read & (size <= MAX_XML_BYTES), _xml_text(F.col(content))).alias("_text"),
     )
     text = F.col("_text")
     # One step per select: later steps read a column, not its expression again.
     guarded = decoded.withColumn(
         "_early",
-        F.when(F.col("_oversized"), F.lit("oversized"))
+        F.when(read, F.lit(None).cast("string"))
+        .when(F.col("_oversized"), F.lit("oversized"))
         .when(text.isNull(), F.lit("unreadable text encoding"))
         .when(
             F.contains(text, F.lit("<!DOCTYPE"))
@@ -305,7 +315,7 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
             F.lit("declares a document type"),
         ),
     )
-    clean = F.col("_early").isNull()
+    clean = F.col("_early").isNull() & ~read
     traced = guarded.withColumn("_quick", F.when(clean & _is_plain(text), _quick_outline(text)))
     reduced = traced.withColumn("_quick_rest", _strip_levels(F.col("_quick")))
     sound = F.coalesce(_is_single(F.col("_quick")) & (F.col("_quick_rest") == ""), F.lit(False))
@@ -313,40 +323,67 @@ def read_xml(documents: DataFrame, content: str, keep: list[str]) -> DataFrame:
     peeled = exact.withColumn("_rest", _strip_levels(F.col("_outline")))
     outlined = peeled.withColumn(
         "_fault",
-        F.when(~clean, F.col("_early")).when(
+        F.when(F.col("_early").isNotNull(), F.col("_early")).when(
             F.col("_outline").isNotNull(), _outline_fault(F.col("_outline"), F.col("_rest"))
         ),
     )
     parsed = _with_root_tag(
-        outlined.withColumn("x", F.when(F.col("_fault").isNull(), F.from_xml(_foreign_renamed(text), _SCHEMA, _OPTIONS)))
+        outlined.withColumn("x", F.when(~read & F.col("_fault").isNull(), F.from_xml(_foreign_renamed(text), _SCHEMA, _OPTIONS)))
     )
     fault = F.coalesce(
         F.col("_fault"), F.when(F.col("x._corrupt_record").isNotNull(), F.lit("not well-formed"))
     )
+    told = parsed.select(
+        *keep, fault.alias("xml_fault"), "root_tag", F.when(read, F.col("_leaves")).otherwise(_tree_leaves()).alias("x")
+    )
+    return told.select(
+        *keep,
+        "xml_fault",
+        F.coalesce("x.root_tag", "root_tag").alias("root_tag"),
+        F.col("x.n_profiles").alias("n_profiles"),
+        F.when(F.col("x.n_profiles") > 0, ustrip(F.coalesce("x.profile", F.lit("")))).alias("profile_id"),
+        "x",
+    )
+
+
+def _tree_leaves() -> Column:
+    """What ``xml_leaves`` gives, from the parsed tree ``x``."""
+    trade = F.col("x.SupplyChainTradeTransaction")
+    settlement = _matches(trade, "ApplicableHeaderTradeSettlement")
     profiles = _matches(
         F.col("x.ExchangedDocumentContext"), "GuidelineSpecifiedDocumentContextParameter", "ID"
     )
-    return parsed.select(
-        *keep,
-        fault.alias("xml_fault"),
-        "root_tag",
-        _count(profiles).alias("n_profiles"),
-        F.when(_count(profiles) > 0, ustrip(F.coalesce(F.get(profiles, 0), F.lit("")))).alias(
-            "profile_id"
+    dates = _matches(F.col("x.ExchangedDocument"), "IssueDateTime", "DateTimeString")
+    texts = {
+        "seller": ("n_sellers", _matches(trade, "ApplicableHeaderTradeAgreement", "SellerTradeParty", "Name")),
+        "currency": ("n_currencies", _matches(settlement, "InvoiceCurrencyCode")),
+        "total": (
+            "n_totals",
+            _matches(settlement, "SpecifiedTradeSettlementHeaderMonetarySummation", "GrandTotalAmount"),
         ),
-        "x",
+    }
+    counted = [
+        column
+        for name, (many, matches) in texts.items()
+        for column in (_count(matches).alias(many), _only_text(matches).alias(name))
+    ]
+    return F.struct(
+        F.lit(None).cast("string").alias("root_tag"),
+        _count(profiles).alias("n_profiles"),
+        F.get(profiles, 0).alias("profile"),
+        _count(dates).alias("n_dates"),
+        F.when(_count(dates) == 1, F.get(dates, 0)["_VALUE"]).alias("date"),
+        F.get(dates, 0)["_format"].alias("date_format"),
+        *counted,
+        _tree_items(_matches(trade, "IncludedSupplyChainTradeLineItem")).alias("items"),
     )
 
 
 # ---- field mapping ---------------------------------------------------------
 
 
-def _read_items(lines: Column) -> Column:
-    """Line elements to (ord, name, amount); unusable values become null.
-
-    Lambdas share no subexpressions, so the work is cut into passes that each
-    hand plain fields to the next.
-    """
+def _tree_items(lines: Column) -> Column:
+    """Line elements of the parsed tree to the texts of their single name and total."""
     matched = F.transform(
         lines,
         lambda item: F.struct(
@@ -358,13 +395,24 @@ def _read_items(lines: Column) -> Column:
             ).alias("totals"),
         ),
     )
-    texts = F.transform(
+    return F.transform(
         matched,
         lambda m: F.struct(
-            F.when(F.size(m["names"]) == 1, ustrip(own_text(F.get(m["names"], 0)))).alias("name"),
-            F.when(F.size(m["totals"]) == 1, ustrip(own_text(F.get(m["totals"], 0)))).alias("total"),
+            F.when(F.size(m["names"]) == 1, own_text(F.get(m["names"], 0))).alias("name"),
+            F.when(F.size(m["totals"]) == 1, own_text(F.get(m["totals"], 0))).alias("total"),
         ),
     )
+
+
+def _read_items(lines: Column) -> Column:
+    """Lines of two texts to (ord, name, amount); unusable values become null.
+
+    Lambdas share no subexpressions, so the work is cut into passes that each
+    hand plain fields to the next.
+    """
+    texts = F.transform(
+        lines, lambda t: F.struct(ustrip(t["name"]).alias("name"), ustrip(t["total"]).alias("total"))
+    )
     amounts = F.transform(
         texts,
         lambda t: F.struct(
@@ -392,42 +440,24 @@ def _rejected(field: str, reason: str, shown: Column | None = None, tail: str =
 
 
 def map_fields(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """The parsed tree ``x`` to validated fields; each field stands alone.
+    """The texts ``x`` of ``read_xml`` to validated fields; each field stands alone.
 
     Returns ``keep`` plus the five fields, ``items``, ``evidence`` (paths of
     the fields found) and ``warnings`` in field order.
     """
-    trade = F.col("x.SupplyChainTradeTransaction")
-    settlement = _matches(trade, "ApplicableHeaderTradeSettlement")
+    only = lambda name: F.nullif(ustrip(F.col(f"x.{name}")), F.lit(""))
+    counts = {"_dates": "n_dates", "_sellers": "n_sellers", "_currencies": "n_currencies", "_totals": "n_totals"}
     raw = parsed.select(
         *keep,
-        _matches(F.col("x.ExchangedDocument"), "IssueDateTime", "DateTimeString").alias("_dates"),
-        _matches(trade, "ApplicableHeaderTradeAgreement", "SellerTradeParty", "Name").alias(
-            "_sellers"
-        ),
-        _matches(settlement, "InvoiceCurrencyCode").alias("_currencies"),
-        _matches(
-            settlement, "SpecifiedTradeSettlementHeaderMonetarySummation", "GrandTotalAmount"
-        ).alias("_totals"),
-        _read_items(_matches(trade, "IncludedSupplyChainTradeLineItem")).alias("items"),
-    )
-    dates = F.col("_dates")
-    texts = raw.select(
-        *keep,
-        "items",
-        rank_array(F.col("items")).alias("_ranked"),
-        *[
-            (_count(F.col(c)) > 1).alias(f"{c}_repeated")
-            for c in ("_dates", "_sellers", "_currencies", "_totals")
-        ],
-        F.when(_count(dates) == 1, F.nullif(ustrip(F.get(dates, 0)["_VALUE"]), F.lit(""))).alias(
-            "_date"
-        ),
-        F.get(dates, 0)["_format"].alias("_date_format"),
-        _only_text(F.col("_sellers")).alias("_seller"),
-        _only_text(F.col("_currencies")).alias("_currency"),
-        _only_text(F.col("_totals")).alias("_total"),
+        _read_items(F.col("x.items")).alias("items"),
+        *[(F.col(f"x.{n}") > 1).alias(f"{c}_repeated") for c, n in counts.items()],
+        only("date").alias("_date"),
+        F.col("x.date_format").alias("_date_format"),
+        only("seller").alias("_seller"),
+        only("currency").alias("_currency"),
+        only("total").alias("_total"),
     )
+    texts = raw.select("*", rank_array(F.col("items")).alias("_ranked"))
     known_format = F.coalesce(F.col("_date_format") == DATE_FORMAT_CODE, F.lit(False))
     valued = texts.select(
         "*",

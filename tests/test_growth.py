@@ -48,3 +48,109 @@ def test_requests_of_one_file_are_planned_by_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(r.number for r in planned.collect()) == list(range(3000))
+
+
+_NS = {
+    "rsm": "urn:un:unece:uncefact:data:standard:CrossIndustryInvoice:100",
+    "ram": "urn:un:unece:uncefact:data:standard:ReusableAggregateBusinessInformationEntity:100",
+    "udt": "urn:un:unece:uncefact:data:standard:UnqualifiedDataType:100",
+}
+_PLAIN = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<rsm:CrossIndustryInvoice '
+    + " ".join(f'xmlns:{p}="{u}"' for p, u in _NS.items())
+    + """><rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID> urn:cen.eu:en16931:2017 </ram:ID>
+</ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext>
+<rsm:ExchangedDocument><ram:IssueDateTime><udt:DateTimeString format="102">20240105</udt:DateTimeString></ram:IssueDateTime></rsm:ExchangedDocument>
+<rsm:SupplyChainTradeTransaction><ram:IncludedSupplyChainTradeLineItem><ram:SpecifiedTradeProduct><ram:Name>Käse &amp; Brot</ram:Name>
+</ram:SpecifiedTradeProduct><ram:SpecifiedLineTradeSettlement><ram:SpecifiedTradeSettlementLineMonetarySummation><ram:LineTotalAmount>5.50</ram:LineTotalAmount>
+</ram:SpecifiedTradeSettlementLineMonetarySummation></ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>
+<ram:ApplicableHeaderTradeAgreement><ram:SellerTradeParty><ram:Name>A > B GmbH</ram:Name></ram:SellerTradeParty></ram:ApplicableHeaderTradeAgreement>
+<ram:ApplicableHeaderTradeSettlement><ram:InvoiceCurrencyCode>EUR</ram:InvoiceCurrencyCode><ram:SpecifiedTradeSettlementHeaderMonetarySummation>
+<ram:GrandTotalAmount>7.25</ram:GrandTotalAmount></ram:SpecifiedTradeSettlementHeaderMonetarySummation></ram:ApplicableHeaderTradeSettlement>
+</rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>
+"""
+)
+_ITEM = _PLAIN[_PLAIN.index("<ram:Included") : _PLAIN.index("</ram:IncludedSupplyChainTradeLineItem>") + 39]
+_SELLER = "<ram:Name>A > B GmbH</ram:Name>"
+_END = "</rsm:CrossIndustryInvoice>"
+#: (what is replaced, by what, whether the quick reader may take it)
+_ODD = [
+    ("", "", True),
+    (_ITEM, _ITEM * 3, True),
+    (_ITEM, "", True),
+    (_ITEM, "<ram:IncludedSupplyChainTradeLineItem/>" + _ITEM, False),
+    (_ITEM, _ITEM.replace("Käse &amp; Brot", " ") + _ITEM, False),
+    ("<ram:Name>Käse &amp; Brot</ram:Name>", "", True),
+    ("<ram:Name>Käse &amp; Brot</ram:Name>", "<ram:Name>a</ram:Name><ram:Name>b</ram:Name>", True),
+    ("Käse &amp; Brot", "x &lt;b>y&lt;/b>", False),
+    ("Käse &amp; Brot", "x &nbsp; y", False),
+    ("Käse &amp; Brot", "x &#65; y", False),
+    ("Käse &amp; Brot", "<b>x</b> y", False),
+    ("Käse &amp; Brot", "a\x0bb", False),
+    ("Käse &amp; Brot", "a ", True),
+    ("Käse &amp; Brot", "a ]]> b", False),
+    ("5.50", "5,50", True),
+    ("5.50", "\n 5.50\t", True),
+    ("<ram:LineTotalAmount>", '<ram:LineTotalAmount currencyID="EUR">', False),
+    ("\n</ram:SpecifiedTradeProduct>", " stray </ram:SpecifiedTradeProduct>", False),
+    (_SELLER, "", True),
+    (_SELLER, _SELLER + "<ram:Name>Other</ram:Name>", True),
+    (_SELLER, "<ram:Name></ram:Name>", False),
+    (_SELLER, "<ram:Name> </ram:Name>", True),
+    (_SELLER, '<z:Name xmlns:z="urn:other">No</z:Name>' + _SELLER, False),
+    (_SELLER, "<!-- c -->" + _SELLER, False),
+    (_SELLER, "<ram:Name><![CDATA[C & D]]></ram:Name>", False),
+    ('xmlns:udt=', 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:udt=', True),
+    (_NS["ram"], "urn:other", True),
+    (' format="102"', "", False),
+    ('format="102"', 'format="610"', True),
+    ("20240105", "20241305", True),
+    ("urn:cen.eu:en16931:2017", "urn:other", True),
+    ("</ram:ID>", "</ram:ID><ram:ID>b</ram:ID>", True),
+    ("rsm:CrossIndustryInvoice", "rsm:Order", True),
+    ("rsm:CrossIndustryInvoice", "Order", True),
+    ("UTF-8", "ISO-8859-1", False),
+    (_END, "", False),
+    (_END, "<q>" * 49 + "</q>" * 49 + _END, True),
+    (_END, "<q>" * 50 + "</q>" * 50 + _END, False),
+    (_END, "<q><r></q></r>" + _END, False),
+    (_END, '<q a="1" a="2"/>' + _END, False),
+    (_END, '<q a="x>y">t</q>' + _END, False),
+    (_END, "<q/>" + _END, True),
+    (_END, _END + " tail", False),
+    (_END, "<?pi x?>" + _END, False),
+    ("<rsm:Cross", "<!DOCTYPE x><rsm:Cross", False),
+    ("<?xml", " <?xml", False),
+    ("\n", "\r\n", False),
+]
+
+
+def test_quick_reader_of_xml_tells_what_the_full_checks_tell(spark, monkeypatch):
+    from fieldloom.operators import invoice_xml
+
+    rows = [(i, _PLAIN.replace(a, b).encode() if a else _PLAIN.encode()) for i, (a, b, _) in enumerate(_ODD)]
+    rows += [(len(rows), None), (len(rows) + 1, b""), (len(rows) + 2, b"\xff<a/>"), (len(rows) + 3, b"<a/>")]
+    documents = spark.createDataFrame(rows, "doc_id long, content binary")
+    checks = ["doc_id", "xml_fault", "root_tag", "n_profiles", "profile_id"]
+
+    def told():
+        read = invoice_xml.read_xml(documents, "content", ["doc_id"])
+        mapped = invoice_xml.map_fields(read, checks).orderBy("doc_id")
+        return mapped.collect(), read.orderBy("doc_id").select(F.col("x.root_tag").isNotNull()).collect()
+
+    found, quick = told()
+    assert [q[0] for q in quick[: len(_ODD)]] == [taken for _, _, taken in _ODD]
+    monkeypatch.setattr(invoice_xml, "QUICK_BYTES", -1)
+    for mine, full in zip(found, told()[0], strict=True):
+        assert mine == full, _ODD[mine.doc_id] if mine.doc_id < len(_ODD) else mine.doc_id
+
+
+def test_line_items_are_exploded_from_one_reading(spark):
+    from fieldloom.operators import invoice_xml, line_items
+
+    documents = spark.createDataFrame([(1, _PLAIN.encode())], "doc_id long, content binary")
+    mapped = invoice_xml.map_fields(invoice_xml.read_xml(documents, "content", ["doc_id"]), ["doc_id"])
+    rows = line_items.explode_items(mapped)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    assert [(r.ord, r.name, float(r.amount)) for r in rows.collect()] == [(1, "Käse & Brot", 5.5)]
