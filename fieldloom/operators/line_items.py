@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.stages import settle
 from fieldloom.functions.text import FIELD_TEXT_LIMIT
 
 # When one item dominates, and how two are combined.
@@ -125,7 +126,9 @@ def summary_of_ranked(ranked: Column) -> tuple[Column, Column]:
 
 def explode_items(documents: DataFrame, items: str = "items") -> DataFrame:
     """One row per line item of a parsed document, in document order."""
-    return documents.select("doc_id", F.posexplode(items).alias("pos", "item")).select(
+    # A generator's input is also tested for rows; that test must not repeat how the items were made.
+    settled = settle(documents.select("doc_id", F.col(items).alias("items")), {"items": F.col("items")})
+    return settled.select("doc_id", F.posexplode("items").alias("pos", "item")).select(
         "doc_id",
         (F.col("pos") + 1).cast("bigint").alias("ord"),
         F.col("item.name").alias("name"),
