@@ -99,11 +99,10 @@ def preflight(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _disk_numbers(families: DataFrame, files: DataFrame) -> DataFrame:
-    """(family, number) pairs whose name exists in the folder."""
+    """(family, number) pairs whose name exists in the folder; ``files`` lists each name once."""
     family, number = numbered(F.col("name"))
-    names = files.select("dir", "name").distinct()
-    own = names.select("dir", F.col("name").alias("desired_filename"), F.lit(0).cast("bigint").alias("number"))
-    generated = names.select("dir", family.alias("desired_filename"), number.alias("number")).filter(
+    own = files.select("dir", F.col("name").alias("desired_filename"), F.lit(0).cast("bigint").alias("number"))
+    generated = files.select("dir", family.alias("desired_filename"), number.alias("number")).filter(
         F.col("desired_filename").isNotNull()
     )
     return own.unionByName(generated).join(families.select(*FAMILY), ["dir", "desired_filename"])
@@ -114,8 +113,8 @@ def _special_rows(requests: DataFrame, files: DataFrame, families: DataFrame) ->
 
     Columns: FAMILY (the family the number belongs to), ordinal, kind,
     number, name (what is claimed), child (the literal family, if any).
+    ``files`` lists each name once, so a join with it repeats no row.
     """
-    on_disk = files.select("dir", "name").distinct()
     parent, number = numbered(F.col("desired_filename"))
     literal = (
         families.select(
@@ -130,8 +129,10 @@ def _special_rows(requests: DataFrame, files: DataFrame, families: DataFrame) ->
         .filter(F.col("_parent").isNotNull())
         .withColumnRenamed("_parent", "desired_filename")
         .join(families.select(*FAMILY), FAMILY, "left_semi")
-        .join(on_disk, ["dir", "name"], "left_anti")
     )
+    # The few literal names are sent to the listing, not the listing to them.
+    held = literal.select("dir", "name").distinct().join(files, ["dir", "name"])
+    literal = literal.join(held, ["dir", "name"], "left_anti").select(*literal.columns)
     own_family, own_number = numbered(F.col("source_name"))
     same = F.col("source_name") == F.col("desired_filename")
     own = (
@@ -143,8 +144,8 @@ def _special_rows(requests: DataFrame, files: DataFrame, families: DataFrame) ->
             F.col("source_name").alias("name"),
         )
         .filter(F.col("number").isNotNull())
-        .join(on_disk, ["dir", "name"], "left_semi")
     )
+    own = own.join(files, ["dir", "name"]).select(*own.columns)
     return literal.unionByName(own)
 
 
@@ -233,8 +234,9 @@ def plan_destinations(requests: DataFrame, files: DataFrame, stretch: int | None
     # Several steps read both tables; a single input file would keep each of them in one task.
     requests = cut_lineage(requests.repartition("batch_id", "ordinal"))
     files = cut_lineage(files.select("dir", "name").distinct())
-    families = requests.groupBy(*FAMILY).agg(F.min("ordinal").alias("first_ordinal"))
-    disk = _disk_numbers(families, files)
+    # Several steps read these two as well; made once, they are small next to the tables.
+    families = cut_lineage(requests.groupBy(*FAMILY).agg(F.min("ordinal").alias("first_ordinal")))
+    disk = cut_lineage(_disk_numbers(families, files))
     specials = cut_lineage(_special_rows(requests, files, families))
     # Only families with such rows are measured; mostly there are none.
     touched = specials.select(*FAMILY).distinct()

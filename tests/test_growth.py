@@ -154,3 +154,21 @@ def test_line_items_are_exploded_from_one_reading(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml") == 1
     assert [(r.ord, r.name, float(r.amount)) for r in rows.collect()] == [(1, "Käse & Brot", 5.5)]
+
+
+def test_rename_planning_groups_its_tables_once(spark, monkeypatch):
+    frames = []
+    cut = rename.cut_lineage
+    monkeypatch.setattr(rename, "cut_lineage", lambda rows: frames.append(rows) or cut(rows))
+    asked = spark.createDataFrame(
+        [("b", 1, "r1", "/d", "s1", "n (1).pdf"), ("b", 2, "r2", "/d", "n (2).pdf", "n.pdf"), ("b", 3, "r3", "/d", "s3", "n.pdf"),
+         ("b", 4, "r4", "/d", "s4", "n (3).pdf")],
+        "batch_id string, ordinal long, request_id string, dir string, source_name string, desired_filename string",
+    )
+    listing = spark.createDataFrame([("/d", n) for n in ("s1", "n (2).pdf", "n (2).pdf", "s3", "s4", "n (3).pdf")], "dir string, name string")
+    planned = rename.plan_destinations(asked, listing)
+    specials = next(f for f in frames if f.columns[-3:] == ["kind", "number", "name"])
+    assert specials._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 1
+    assert {r.ordinal: r.destination_name for r in planned.collect()} == {
+        1: "n (1).pdf", 2: "n.pdf", 3: "n (4).pdf", 4: "n (3) (1).pdf",
+    }
