@@ -161,7 +161,10 @@ where rank=1""",
     ),
 )
 def best_salvage(spark, sf_dir):
-    answers = responses.parse_responses(both_attempts(spark, sf_dir), "response")
+    # Placed by document before they are parsed: parsing costs far more than reading,
+    # and a small file has few splits.
+    calls = both_attempts(spark, sf_dir).repartition("doc_id")
+    answers = responses.parse_responses(calls, "response")
     return responses.best_salvage(answers).select(
         "doc_id",
         F.col("attempt").cast("bigint").alias("attempt"),

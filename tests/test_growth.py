@@ -156,6 +156,14 @@ def test_line_items_are_exploded_from_one_reading(spark):
     assert [(r.ord, r.name, float(r.amount)) for r in rows.collect()] == [(1, "Käse & Brot", 5.5)]
 
 
+def test_responses_of_one_small_file_are_parsed_by_many_tasks(spark):
+    from fieldloom.catalog.registry import load
+
+    plan = load()["win3_best_salvage"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+    assert plan.index("RepartitionByExpression") > plan.index("try_variant_get")
+
+
 def test_rename_planning_groups_its_tables_once(spark, monkeypatch):
     frames = []
     cut = rename.cut_lineage
