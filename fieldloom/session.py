@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # JSON objects keep the last of two equal keys instead of failing the row.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Java compiles no function of over 8,000 bytes; longer stages, such as the reading
+    # of responses, are generated operator by operator, in short functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -156,6 +156,12 @@ def test_line_items_are_exploded_from_one_reading(spark):
     assert [(r.ord, r.name, float(r.amount)) for r in rows.collect()] == [(1, "Käse & Brot", 5.5)]
 
 
+def test_stages_stay_below_the_size_that_java_compiles(spark):
+    from fieldloom.session import apply_settings
+
+    assert int(apply_settings(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_responses_of_one_small_file_are_parsed_by_many_tasks(spark):
     from fieldloom.catalog.registry import load
 
