@@ -300,9 +300,7 @@ def still_missing(spark, sf_dir):
     wide = responses.attempts_wide(both_attempts(spark, sf_dir), 2)
     resolved = responses.resolve_attempts(wide, 2)
     order = F.array(*[F.lit(n) for n in responses.ASKED_FIELDS])
-    return resolved.filter(F.col("response_0").isNotNull() & F.col("mode").isin("narrow", "done")).join(
-        first_answers(spark, sf_dir).filter(F.col("answer.verdict") != "failed").select("doc_id"), "doc_id", "left_semi"
-    ).select("doc_id", F.array_join(F.array_intersect(order, F.col("asked")), ",").alias("still_missing"))
+    return resolved.filter((F.col("opened") != "failed") & F.col("mode").isin("narrow", "done")).select("doc_id", F.array_join(F.array_intersect(order, F.col("asked")), ",").alias("still_missing"))
 
 
 @query(

@@ -444,6 +444,7 @@ def _advance(rows: DataFrame, k: int, max_repairs: int) -> DataFrame:
             "rejected": F.when(nothing_new, F.col("rejected")).otherwise(refusals),
             "terminal": F.when(nothing_new, F.col("terminal")).otherwise(terminal),
             "crashed": crashed,
+            "opened": verdict if k == 0 else F.col("opened"),
             "fault": F.when(nothing_new, F.col("fault")).otherwise(
                 F.coalesce(answer["fault"], F.col("fault"))
             ),
@@ -459,7 +460,7 @@ def resolve_attempts(wide: DataFrame, max_repairs: int = 1) -> DataFrame:
     Adds ``value`` (the fields and their warnings, null when the first call
     raised), ``crashed`` (that error), ``mode`` (``done`` or what still has to
     be asked), ``asked``, ``rejected`` (refused values, the newest of each
-    field) and ``attempts``.
+    field), ``opened`` (the verdict on the first response) and ``attempts``.
     """
     state = wide.select(
         "*",
@@ -469,6 +470,7 @@ def resolve_attempts(wide: DataFrame, max_repairs: int = 1) -> DataFrame:
         F.array().cast(REJECTED_TYPE).alias("rejected"),
         _null("string").alias("terminal"),
         _null("string").alias("crashed"),
+        _null("string").alias("opened"),
         _null("string").alias("fault"),
         F.lit(0).alias("attempts"),
     )

@@ -156,6 +156,27 @@ def test_line_items_are_exploded_from_one_reading(spark):
     assert [(r.ord, r.name, float(r.amount)) for r in rows.collect()] == [(1, "Käse & Brot", 5.5)]
 
 
+def test_still_missing_fields_parse_each_attempt_once(spark, monkeypatch):
+    from fieldloom.catalog.registry import load
+    from fieldloom.operators import responses
+
+    parsed, parse = [], responses.parse_responses
+    monkeypatch.setattr(responses, "parse_responses", lambda rows, r, *o: parsed.append(r) or parse(rows, r, *o))
+    load()["set3_still_missing"].run(spark, "/root/testdata/sf0.001")
+    assert parsed == ["response_0", "response_1", "response_2"]
+
+
+def test_first_verdict_is_kept_by_the_repair_protocol(spark):
+    from fieldloom.operators import responses
+
+    rows = [(1, "no json", '{"seller": "A"}'), (2, '{"seller": "A"}', "no json"), (3, '{"seller": "A", "gross_total": "x"}', None), (4, None, "[]")]
+    wide = spark.createDataFrame(rows, "doc_id long, response_0 string, response_1 string").selectExpr(
+        "*", "cast(null as string) error_0", "cast(null as string) error_1"
+    )
+    told = responses.resolve_attempts(wide, 1).orderBy("doc_id").collect()
+    assert [r.opened for r in told] == ["failed", "ok", "salvaged", None]
+
+
 def test_stages_stay_below_the_size_that_java_compiles(spark):
     from fieldloom.session import apply_settings
 
