@@ -123,14 +123,15 @@ def languages(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float | None = None) -> DataFrame:
     """``docs`` without texts of no language: ``und``, or a best score below ``least``.
 
-    ``least`` is LEAST_OVER_CHANCE over the number of languages unless given.
+    ``least`` is LEAST_OVER_CHANCE over the number of languages unless given; where one
+    language alone was learned, every text has it, and all texts with a letter stay.
     Without any labelled document outside the held-out fold no language can be
     told; then all texts with a letter stay. All columns are kept, as are
     repeated rows.
     """
     net, names = fit(docs.select(F.col("doc_id").cast("long"), "text", "lang"))
     if least is None:
-        least = LEAST_OVER_CHANCE / max(1, len(names))
+        least = LEAST_OVER_CHANCE / len(names) if len(names) > 1 else 0.0
     return docs.mapInArrow(_keep(net, names, least), docs.schema)
 
 
