@@ -8,12 +8,13 @@ columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import decontaminate, langid, mixing, similar_texts, simhash, token_files
-from fieldloom.llm.common import documents, written
+from fieldloom.llm.common import bound_batches, documents, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,12 +44,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.token_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with bounded batches, whoever made its session."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mix),
-    ("tokens", tokens),
+    ("language", _bounded(language)),
+    ("near_dedup", _bounded(near_dedup)),
+    ("decontamination", _bounded(decontamination)),
+    ("mixing", _bounded(mix)),
+    ("tokens", _bounded(tokens)),
 ]
 
 #: The network, the random mix and the tokenizer are beyond SQL; tests compare with plain Python.

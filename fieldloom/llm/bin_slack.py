@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import as_bytes, slices, written
 from fieldloom.llm.token_files import END_ID, id_type
-from fieldloom.llm.tokenizing import WordEncoder
+from fieldloom.llm.tokenizing import word_encoder
 
 CAPACITY = 4096
-_ENCODERS: dict[tuple, WordEncoder] = {}
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
@@ -41,9 +40,7 @@ def _cut(path: str, dtype: str, end_id: int, capacity: int, with_ids: bool):
     """mapInArrow function: texts to pieces, each with its place among the task's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, dtype) not in _ENCODERS:
-            _ENCODERS[path, dtype] = WordEncoder(path, dtype)
-        encoder, task = _ENCODERS[path, dtype], TaskContext.get().partitionId()
+        encoder, task = word_encoder(path, dtype), TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         seen: dict[int, int] = {}
         for batch in slices(batches, "text"):

@@ -144,8 +144,11 @@ def train(
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=-1, keepdims=True))
-    return logits / logits.sum(axis=-1, keepdims=True)
+    """In place, as the logits of a block of windows are its largest array."""
+    logits -= logits.max(axis=-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=-1, keepdims=True)
+    return logits
 
 
 def cut(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +181,7 @@ def position_sums(net: Network, texts: list[bytes], counted: np.ndarray) -> np.n
         inside = (places >= begin[own][:, None]) & (places < (begin[own] + np.array(sizes)[own])[:, None])
         symbols = np.where(inside, joined[np.clip(places, 0, len(joined) - 1)], PAD).astype(np.int64)
         symbols = np.ascontiguousarray(symbols.T)
+        del places, inside
         logits = np.zeros((WINDOW, len(own), classes), np.float32)
         hidden = net.hidden
         for way, steps in ((0, range(WINDOW + CONTEXT)), (1, range(WINDOW + 2 * CONTEXT - 1, CONTEXT - 1, -1))):
@@ -187,7 +191,8 @@ def position_sums(net: Network, texts: list[bytes], counted: np.ndarray) -> np.n
                 h = _step(net.inputs[way], net.states[way], symbols[t], h)[3]
                 if CONTEXT <= t < WINDOW + CONTEXT:
                     logits[t - CONTEXT] += h @ weights
-        chances = _softmax(logits + net.bias)
+        logits += net.bias
+        chances = _softmax(logits)
         named = symbols[CONTEXT : CONTEXT + WINDOW]
         use = np.append(counted, False)[named] & (np.arange(WINDOW)[:, None] < (e - s)[None, :])
         chances *= use[..., None]

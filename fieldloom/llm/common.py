@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,12 +15,54 @@ from pyspark.sql import functions as F
 
 from fieldloom.session import checkpoint_root, ship_package
 
-#: Rows per Arrow batch at most; long texts end a batch earlier (BATCH_BYTES).
+#: Bytes of an Arrow batch, one row at least: of those Spark sends and of their slices.
 BATCH_BYTES = 8 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python functions of this session get batches of about BATCH_BYTES instead of Spark's 64 MB.
+
+    A batch is held whole by the JVM and by the worker, besides what the function makes of it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_KEPT: dict[Hashable, dict[Hashable, Any]] = {}
+
+
+def keep_only(owner: Hashable = None) -> dict[Hashable, Any]:
+    """What ``owner`` keeps in this process between its tasks; what others kept is dropped.
+
+    Spark uses a worker process for one step after another. Without this it would
+    hold the vocabularies of all steps it ever ran.
+    """
+    if owner not in _KEPT:
+        dropped = any(_KEPT.values())
+        _KEPT.clear()
+        _KEPT[owner] = {}
+        if dropped:
+            _trim()
+    return _KEPT[owner]
+
+
+def kept(owner: Hashable, key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object of ``key`` that the tasks of ``owner`` share in this process."""
+    own = keep_only(owner)
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where its library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

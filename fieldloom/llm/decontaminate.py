@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import as_bytes, slices, written
+from fieldloom.llm.common import as_bytes, kept, slices, written
 
 #: Template tokens of a window, and how many of them must be words.
 WINDOW = 8
@@ -177,16 +177,13 @@ _LEAK_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("matched", pa.int64()),
      ("run", pa.int64()), ("exact", pa.bool_())]
 )
-_READER: list[Reader] = []
 
 
 def _windows(key: str, widths: tuple[int, ...] | None, bitmap: np.ndarray | None):
     """mapInArrow function: windows of texts. ``widths`` None: each text's own width, for items."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _READER:
-            _READER.append(Reader())
-        reader = _READER[0]
+        reader = kept("templates", "reader", Reader)
         for batch in slices(batches, "text"):
             out = []
             texts = as_bytes(batch.column("text"))

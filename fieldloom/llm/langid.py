@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import byte_gru
-from fieldloom.llm.common import as_bytes, fold, slices
+from fieldloom.llm.common import as_bytes, fold, keep_only, slices
 
 UNDETERMINED = "und"
 FOLDS, HELD_FOLD = 4, 2
@@ -139,6 +139,7 @@ def _keep(net: byte_gru.Network | None, names: list[str], least: float):
     label = _label(net, names) if net else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches, "text"):
             if label is None:
                 yield batch.filter(pa.array([_has_letter(t) for t in as_bytes(batch.column("text"))]))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import as_bytes, row_hash, slices, written
+from fieldloom.llm.common import as_bytes, keep_only, row_hash, slices, written
 from fieldloom.llm.components import components
 from fieldloom.llm.similar_texts import similar_links
 
@@ -52,6 +52,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> bytes:
 
 def _fingerprints(words: int, *keys: str):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches, "text"):
             prints = [fingerprint(t, words) for t in as_bytes(batch.column("text"))]
             values = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)

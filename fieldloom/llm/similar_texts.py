@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import as_bytes, slices, written
+from fieldloom.llm.common import as_bytes, keep_only, slices, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -73,6 +73,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(text_key, sketch, bands) of the distinct texts of ``texts`` (text_key, text)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in slices(batches, "text"):
             made = [sketch(t) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(

@@ -24,18 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import as_bytes, shared_path, slices
-from fieldloom.llm.tokenizing import WordEncoder, tokenizer
+from fieldloom.llm.tokenizing import tokenizer, word_encoder
 
 END_ID = 1
 NO_ID = -(2**63)
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def _encoder(path: str, dtype: str) -> WordEncoder:
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = WordEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
-
 
 #: Schemes under which Spark and Arrow know the same store by different names.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
@@ -75,7 +67,7 @@ def _write_part(path: str, dtype: str, end_id: int, where: str):
         sizes, ids = [], []
         with files.open_output_stream(f"{top}/{stem}.bin") as out:
             for batch in slices(batches, "text"):
-                for data in _encoder(path, dtype).encode(as_bytes(batch.column("text"))):
+                for data in word_encoder(path, dtype).encode(as_bytes(batch.column("text"))):
                     out.write(data + end)
                     sizes.append(len(data) // width + 1)
                 ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))

@@ -19,21 +19,31 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from fieldloom.llm.common import kept  # noqa: E402
+
 #: Words and cut units a process remembers, and the longest word in bytes.
 REMEMBERED, REMEMBERED_UNITS = 1_000_000, 200_000
 LONG_WORD = 64
 
-_OPEN: dict[str, Tokenizer] = {}
+#: Owner of tokenizers and word memories in a worker process (``common.kept``).
+OWNER = "tokens"
+
+
+def _opened(path: str) -> Tokenizer:
+    opened = Tokenizer.from_file(path)
+    opened.no_padding()
+    opened.no_truncation()
+    return opened
 
 
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a file, opened once per process, without padding or truncation."""
-    if path not in _OPEN:
-        opened = Tokenizer.from_file(path)
-        opened.no_padding()
-        opened.no_truncation()
-        _OPEN[path] = opened
-    return _OPEN[path]
+    return kept(OWNER, path, lambda: _opened(path))
+
+
+def word_encoder(path: str, dtype: str) -> WordEncoder:
+    """The encoder of a file and a type of ids, made once per process."""
+    return kept(OWNER, (path, dtype), lambda: WordEncoder(path, dtype))
 
 
 def encode_batch(path: str, texts: list[bytes]) -> list[list[int]]:

@@ -5,11 +5,13 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 from fieldloom.llm import decontaminate, langid, mixing, simhash
-from fieldloom.llm.common import documents, written
+from fieldloom.llm.common import BATCH_BYTES, documents, written
 from plain_similarity import class_of, close_pairs
 
 SMALL = "/root/testdata/sf0.001"
@@ -87,6 +89,21 @@ def test_language_stage_without_labels(spark):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_batches_are_bounded(spark):
+    """Python functions of a stage get a few MB at once, however long the texts are."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text = F.repeat(F.lit("word "), 20_000)
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    corpus_pipeline.STAGES[3][1](spark, docs, SMALL)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 300 and max(r.size for r in found) < 1.5 * BATCH_BYTES
+
+
 def test_registered():
     names = contract.queries()
     assert {"pipeline"} | {n.split("_")[0] for n in names if n.startswith("op")} >= {"pipeline"} | {f"op{i}" for i in range(1, 14)}
