@@ -107,6 +107,10 @@ def shorten_prompt(seller: Column, product: Column) -> Column:
     )
 
 
+def can_shorten() -> Column:
+    return F.col("seller").isNotNull() | F.col("product_summary").isNotNull()
+
+
 def pending_shortening(analysed: DataFrame, calls: DataFrame) -> DataFrame:
     """The shortening prompt of every analysed document that has none answered yet.
 
@@ -114,9 +118,8 @@ def pending_shortening(analysed: DataFrame, calls: DataFrame) -> DataFrame:
     saved by their XML after a failed call are not sent again.
     """
     tried = calls.filter(F.col("phase") == "shortening").select("doc_id").distinct()
-    given = F.col("seller").isNotNull() | F.col("product_summary").isNotNull()
     return (
-        analysed.filter(F.col("shortenable") & given)
+        analysed.filter(F.col("shortenable") & can_shorten())
         .join(tried, "doc_id", "left_anti")
         .select(
             "doc_id",
@@ -127,26 +130,33 @@ def pending_shortening(analysed: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def pending_prompts(states: DataFrame) -> DataFrame:
-    """The next prompt of every document that still needs an answer.
-
-    ``states`` joins ``resolve_attempts`` output with the assembled pages.
-    """
-    original = extraction_prompt(F.col("pages"))
-    rejected = F.col("rejected")
-    last = F.coalesce(
+def last_response(states: DataFrame) -> Column:
+    """The response of the highest attempt that has one."""
+    return F.coalesce(
         *[F.col(c) for c in sorted((c for c in states.columns if c.startswith("response_")), reverse=True)]
     )
-    prompt = (
+
+
+def next_extraction(last: Column) -> Column:
+    """The prompt that an unfinished state asks for; ``last`` is its last response."""
+    original = extraction_prompt(F.col("pages"))
+    return (
         F.when(F.col("attempts") == 0, original)
-        .when(F.col("mode") == "narrow", field_repair_prompt(F.col("pages"), F.col("asked"), rejected))
+        .when(F.col("mode") == "narrow", field_repair_prompt(F.col("pages"), F.col("asked"), F.col("rejected")))
         .otherwise(full_repair_prompt(original, last, F.col("fault")))
     )
+
+
+def pending_prompts(states: DataFrame) -> DataFrame:
+    """The next prompt of every document that still needs an answer.
+
+    ``states`` joins ``resolve_attempts`` output with the assembled pages.
+    """
     return states.filter(F.col("mode") != "done").select(
         "doc_id",
         F.lit("extraction").alias("phase"),
         F.col("attempts").alias("attempt"),
-        prompt.alias("prompt"),
+        next_extraction(last_response(states)).alias("prompt"),
     )
 
 

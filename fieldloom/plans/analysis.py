@@ -17,7 +17,8 @@ def calls_wide(calls: DataFrame, max_repairs: int = 1, short_repairs: int = 1) -
     """All attempts of both phases of a document in one row, in one shuffle.
 
     calls_ignored counts calls that no attempt of the protocol stands for,
-    calls_repeated those of an attempt beyond its first.
+    calls_repeated those of an attempt beyond its first, short_tried tells
+    whether there is any call of the shortening phase.
     """
     repairs = {"extraction": max_repairs, "shortening": short_repairs}
     cells, attempts = [], {}
@@ -26,7 +27,8 @@ def calls_wide(calls: DataFrame, max_repairs: int = 1, short_repairs: int = 1) -
         cells += responses.attempt_columns(lambda k, m=mine: m & (F.col("attempt") == k), repairs[phase], prefix)
         attempts[phase] = (mine, repairs[phase])
     attempts["other"] = (~F.coalesce(F.col("phase").isin(*PHASES), F.lit(False)), -1)
-    return calls.groupBy("doc_id").agg(*cells, *responses.attempt_counts(attempts))
+    tried = (F.count_if(attempts["shortening"][0]) > 0).alias("short_tried")
+    return calls.groupBy("doc_id").agg(*cells, *responses.attempt_counts(attempts), tried)
 
 
 def _fact(name: str) -> Column:
@@ -84,6 +86,30 @@ def _resolved(routed: DataFrame, max_repairs: int) -> DataFrame:
     return responses.resolve_attempts(masked, max_repairs)
 
 
+def _crashed() -> Column:
+    """The model raised where it was asked."""
+    return ~F.col("complete") & F.col("crashed").isNotNull()
+
+
+def _used_model() -> Column:
+    return ~F.col("complete") & F.col("crashed").isNull()
+
+
+def _model_value(name: str) -> Column:
+    return F.when(_used_model(), F.col(f"value.{name}"))
+
+
+def _state() -> Column:
+    """``done``, ``failed`` or ``awaiting``, of a resolved document."""
+    return (
+        F.when(F.col("complete"), F.lit("done"))
+        .when(_crashed() & (F.size("xml_fields_used") > 0), F.lit("done"))
+        .when(_crashed(), F.lit("failed"))
+        .when(F.col("mode") != "done", F.lit("awaiting"))
+        .otherwise(F.lit("done"))
+    )
+
+
 def analyse(
     documents: DataFrame,
     attachments: DataFrame,
@@ -126,12 +152,8 @@ def _conclude(
 ) -> DataFrame:
     image = _is_image()
     resolved = _resolved(routed, max_repairs)
-    asked = ~F.col("complete")
-
-    crashed = asked & F.col("crashed").isNotNull()
-    kept_xml = F.size("xml_fields_used") > 0
-    used_model = asked & F.col("crashed").isNull()
-    model = lambda f: F.when(used_model, F.col(f"value.{f}"))
+    crashed, used_model = _crashed(), _used_model()
+    model = _model_value
     merged = merge.merged_columns(F.col("facts").isNotNull(), _fact, model)
     # Document warnings go before the model's own: discovery first.
     discovery_warning = F.when(used_model, F.array_compact(F.array("xml_warning")))
@@ -141,18 +163,11 @@ def _conclude(
     merged["warnings"] = merge.concat_warnings(
         _fact("warnings"), discovery_warning, model("warnings"), fallback
     )
-    state = (
-        F.when(F.col("complete"), F.lit("done"))
-        .when(crashed & kept_xml, F.lit("done"))
-        .when(crashed, F.lit("failed"))
-        .when(F.col("mode") != "done", F.lit("awaiting"))
-        .otherwise(F.lit("done"))
-    )
     values = settle(
         resolved,
         {
             **merged,
-            "state": state,
+            "state": _state(),
             "fallback_used": crashed,
             "extraction_source": F.when(crashed, F.lit("xml")).otherwise(
                 merge.extraction_source(F.size("xml_fields_used"), F.col("complete"))
@@ -232,13 +247,31 @@ def next_prompts(
     gets its shortening prompt, once. Scored and appended to ``calls``, the
     answers take the analysis on, until no prompt is left.
     """
-    routed = _route(gather(documents, attachments, calls, max_repairs, short_repairs))
-    waiting = _resolved(routed.where(~F.col("complete")), max_repairs).where(
-        F.col("crashed").isNull() & (F.col("mode") != "done")
+    resolved = _resolved(_route(gather(documents, attachments, calls, max_repairs, short_repairs)), max_repairs)
+    # A document awaits an answer or is done, so that one pass tells its one prompt.
+    merged = merge.merged_columns(F.col("facts").isNotNull(), _fact, _model_value)
+    told = settle(
+        resolved.withColumn("_last", prompts.last_response(resolved)),
+        {
+            "seller": merged["seller"],
+            "product_summary": merged["product_summary"],
+            "_state": _state(),
+            "_untried": F.col("shorten") & ~_crashed() & ~F.coalesce("short_tried", F.lit(False)),
+        },
     )
-    assembled = assemble_pages(pages).select("doc_id", "pages")
-    read = waiting.join(assembled, "doc_id", "left")
+    shortened = (F.col("_state") == "done") & F.col("_untried") & prompts.can_shorten()
+    phase = F.when(F.col("_state") == "awaiting", F.lit("extraction")).when(shortened, F.lit("shortening"))
+    state = ("attempts", "mode", "asked", "rejected", "fault", "_last", "seller", "product_summary")
+    waiting = settle(told, {"phase": phase}).select("doc_id", "phase", *state).where(F.col("phase").isNotNull())
+    assembled = assemble_pages(pages).select(F.col("doc_id").alias("_read"), "pages")
+    asks = F.col("phase") == "extraction"
+    read = waiting.join(assembled, (F.col("doc_id") == F.col("_read")) & asks, "left")
     none = F.array().cast(assembled.schema["pages"].dataType)
-    extraction = prompts.pending_prompts(read.withColumn("pages", F.coalesce("pages", none)))
-    analysed = analyse(documents, attachments, calls, max_repairs, short_repairs)
-    return extraction.unionByName(prompts.pending_shortening(analysed, calls))
+    extraction = prompts.next_extraction(F.col("_last"))
+    shortening = prompts.shorten_prompt(F.col("seller"), F.col("product_summary"))
+    return read.withColumn("pages", F.coalesce("pages", none)).select(
+        "doc_id",
+        "phase",
+        F.when(asks, F.col("attempts")).otherwise(0).alias("attempt"),
+        F.when(asks, extraction).otherwise(shortening).alias("prompt"),
+    )
