@@ -294,7 +294,7 @@ def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = (
         lines.select("doc_id", "ord", item.alias("item"))
         .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "item"))).alias("items"))
         .select("doc_id", F.array_join(F.col("items.item"), "").alias("items_xml"))
     )
     doc_id = F.col("doc_id")

@@ -93,7 +93,8 @@ def summarize_products(items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
 
 def rank_array(items: Column) -> Column:
     """ARRAY<STRUCT<ord,name,amount>> to the counts and the two largest items."""
-    ranked = F.array_sort(
+    # Not array_sort, which compares by an interpreted function; no element is null here.
+    ranked = F.sort_array(
         F.transform(
             items,
             lambda i: F.struct(

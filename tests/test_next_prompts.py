@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.stages import settle
 from fieldloom.operators import pages as page_ops
 from fieldloom.operators import prompts
+from fieldloom.operators.line_items import rank_array
 from fieldloom.plans import analysis
 
 GOOD = '{"invoice_date": "2024-01-02", "seller": "A", "product_summary": "P", "gross_total": "5", "currency": "EUR", "language": "en"}'
@@ -107,3 +108,11 @@ def test_settled_columns_are_computed_below_their_generator(spark):
     assert [tuple(r) for r in rows.where("text <> 'N1'").orderBy("id").collect()] == [(0, "N0", 0), (2, "N2", 4)]
     made = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
     assert len(made) == 1 and "upper" not in made[0]
+
+
+def test_items_are_ranked_without_an_interpreted_comparison(spark):
+    listed = ((1, "x", 5), (2, "y", None), (3, "z", 7), (4, "w", 7))
+    items = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(a).cast("decimal(38,10)").alias("amount")) for i, n, a in listed]
+    ranked = spark.range(1).select(F.array(*items).alias("items")).select(rank_array(F.col("items")).alias("r"))
+    assert [t.name for t in ranked.first().r.top] == ["z", "w"]
+    assert "array_sort" not in ranked._jdf.queryExecution().analyzed().toString()
