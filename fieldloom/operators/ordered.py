@@ -5,7 +5,9 @@ moderate size. A larger group is cut into stretches of the order column that
 hold about equally many rows, whatever its values: the cuts are quantiles from a
 sketch of the group. Each stretch is summed on its own, and the totals of
 earlier stretches are added: only one row per stretch is ever ordered across
-the group.
+the group. Cuts and totals are one row per stretch of a large group, so they are
+small next to the rows; they are stored, and Spark sends them to the rows by
+their measured size.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.session import cut_lineage
+from fieldloom.session import stored
 
 #: Rows of a group that are ordered in one task, about; and the most stretches of a group.
 STRETCH = 1 << 18
@@ -37,7 +39,7 @@ def stretch_cuts(rows: DataFrame, keys: list[str], order: str, stretch: int = ST
     heavy (values that fill stretches of their own, and how many).
     """
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stretch)
-    hot = cut_lineage(hot)
+    hot = stored(hot)
     if hot.isEmpty():
         return None
     shares = [i / MOST_STRETCHES for i in range(1, MOST_STRETCHES)]
@@ -58,33 +60,32 @@ def stretch_cuts(rows: DataFrame, keys: list[str], order: str, stretch: int = ST
     cuts = F.array_distinct("_picked")
     often = F.transform(cuts, lambda c: F.struct(c.alias("value"), F.size(F.filter("_picked", lambda p: p == c)).alias("many")))
     # Sketches depend on the order in which they are merged, so they are made once.
-    return cut_lineage(
+    return stored(
         chosen.select(*keys, cuts.alias("_cuts"), F.filter(often, lambda h: h["many"] > 1).alias("_heavy"))
     )
 
 
 def with_stretch(
-    rows: DataFrame, keys: list[str], order: str, cuts: DataFrame, ties: tuple[str, ...] = ()
+    rows: DataFrame, keys: list[str], order: str, cuts: DataFrame, ties: tuple[str, ...] = (), how: str = "left"
 ) -> DataFrame:
     """Adds ``_stretch``, which rises with ``order``; nulls come first.
 
     Rows of one order value that fill several stretches are dealt to them by a
     hash, as their order is open; if ``ties`` order them, they stay together.
+    An inner join keeps the groups that are cut only.
     """
-    steps = [1 << i for i in range(MOST_STRETCHES.bit_length() - 1, -1, -1)]
-    joined = _joined(rows, cuts, keys, "left")
-    # Binary search: how many cuts are at most the value.
-    number = F.aggregate(
-        F.array(*map(F.lit, steps)),
-        F.lit(0),
-        lambda p, step: F.when(F.get("_cuts", p + step - 1) <= F.col(order), p + step).otherwise(p),
-    )
-    stretch = number.cast("long") * (MOST_STRETCHES + 1)
+    found = _joined(rows, cuts, keys, how).withColumn("_found", F.lit(0))
+    # Binary search, a compiled projection for each step: how many cuts are at most the value.
+    for step in (1 << i for i in range(MOST_STRETCHES.bit_length() - 1, -1, -1)):
+        reached = F.get("_cuts", F.col("_found") + (step - 1)) <= F.col(order)
+        found = found.withColumn("_found", F.when(reached, F.col("_found") + step).otherwise(F.col("_found")))
+    stretch = F.col("_found").cast("long") * (MOST_STRETCHES + 1)
     if not ties:
         own = F.get(F.filter("_heavy", lambda h: h["value"] == F.col(order)), F.lit(0))["many"]
         dealt = F.pmod(F.xxhash64(*rows.columns), own.cast("long"))
-        stretch = stretch + F.coalesce(dealt, F.lit(MOST_STRETCHES).cast("long"))
-    return joined.withColumn("_stretch", stretch).drop("_cuts", "_heavy")
+        many = F.when(F.size("_heavy") > 0, dealt)
+        stretch = stretch + F.coalesce(many, F.lit(MOST_STRETCHES).cast("long"))
+    return found.withColumn("_stretch", stretch).drop("_cuts", "_heavy", "_found")
 
 
 def _running(
@@ -109,7 +110,8 @@ def _running(
         return rows.select(*rows.columns, *[combine(F.lit(None), c).alias(o) for o, c in folds(keys).items()])
     cut = with_stretch(rows, keys, order, cuts, ties)
     folded = cut.withColumns({f"_local_{o}": c for o, c in folds([*keys, "_stretch"]).items()})
-    totals = cut.groupBy(*keys, "_stretch").agg(
+    # Groups that are not cut have nothing before their one stretch.
+    totals = with_stretch(rows, keys, order, cuts, ties, "inner").groupBy(*keys, "_stretch").agg(
         *[fold(c).alias(f"_total_{o}") for o, c in columns.items()]
     )
     across = Window.partitionBy(*keys).orderBy("_stretch")
@@ -119,7 +121,7 @@ def _running(
         "_stretch",
         *[fold(f"_total_{o}").over(earlier).alias(f"_offset_{o}") for o in columns],
     )
-    joined = _joined(folded, offsets, [*keys, "_stretch"])
+    joined = _joined(folded, stored(offsets), [*keys, "_stretch"], "left")
     return joined.select(
         *rows.columns,
         *[combine(F.col(f"_offset_{o}"), F.col(f"_local_{o}")).alias(o) for o in columns],

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from fieldloom.operators import rename
+from fieldloom.operators import own_numbers, rename
 
 NAMES = [
     "n.pdf", "n (1).pdf", "n (01).pdf", "n (0).pdf", "n (2) (13).pdf", " (1).pdf", "n (1)", "(1).pdf", ".hidden",
@@ -207,3 +208,26 @@ def test_rename_planning_groups_its_tables_once(spark, monkeypatch):
     assert {r.ordinal: r.destination_name for r in planned.collect()} == {
         1: "n (1).pdf", 2: "n.pdf", 3: "n (4).pdf", 4: "n (3) (1).pdf",
     }
+
+
+def test_own_numbers_of_many_blocks_take_as_many_passes_as_of_few(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, expected = [], {}
+    for family, size in ((1, 2000), (2, 450), (3, 60)):
+        lost = 0
+        for k in range(size):
+            free = rng.randint(-5, size)
+            rows.append((family, k, free, k, k))
+            expected[family, k] = lost >= free
+            lost += lost < free
+    assert 0 < sum(expected.values()) < len(rows)
+    own = spark.createDataFrame(rows, "family long, ordinal long, free_below long, before long, own_before long").repartition(3)
+    tables, store = [], own_numbers.stored
+    monkeypatch.setattr(own_numbers, "stored", lambda rows: tables.append(rows) or store(rows))
+    passes = []
+    for block in (300, 20):
+        tables.clear()
+        told = own_numbers.keepers(own, ["family"], block).collect()
+        assert {(r.family, r.ordinal): r.granted for r in told} == expected
+        passes.append(len(tables))
+    assert passes[0] == passes[1]
