@@ -205,7 +205,7 @@ def _decide(specials: DataFrame) -> DataFrame:
             told = pdf[columns].rename(columns={"request": "_row"})
             yield told.assign(granted=pd.Series(granted, dtype="bool", index=pdf.index))
 
-    # No column of numbers holds nulls, which pandas would turn into floats; nor does it name a tuple's field "_row".
+    # pandas turns whole numbers with nulls into floats, and its tuples have no field "_row".
     whole = specials.withColumns(
         {"child": F.coalesce("child", F.lit(-1).cast("bigint")), "request": F.coalesce("_row", F.lit(-1).cast("bigint"))}
     ).drop("_row")

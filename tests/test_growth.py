@@ -34,6 +34,12 @@ def test_numbers_of_names_without_scanning_patterns(spark):
     assert "regexp_extract" not in plan
 
 
+def test_numbers_of_names_found_part_by_part(spark):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)], "id long, name string")
+    told = rename.with_numbers(rows, "name").orderBy("id").collect()
+    assert [(r["_base"], r["_number"]) for r in told] == [by_pattern(n) for n in NAMES]
+
+
 def test_requests_of_one_file_are_planned_by_many_tasks(spark, monkeypatch):
     kept = []
     cut = rename.cut_lineage
